@@ -28,7 +28,7 @@ def buckets(spark: SparkSession) -> int:
 
 P1, P2, SPREAD = 2147483647, 2147483629, 1640531527
 #: groups that hold whole documents are this many times finer than shuffle partitions
-FINER = 4
+FINER = 2
 
 
 def owner_bucket(owner: np.ndarray, n: int) -> np.ndarray:
@@ -102,16 +102,13 @@ def shared_facts(facts: DataFrame, n: int, dtype: str, respond: str = "all") ->
             for i, kind in enumerate(kinds):
                 for into, col in zip(got if kind == FACT else told, cols, strict=True):
                     into.append(col[i])
-        owner, key = unpack(*told, dtype)
-        out = pack(owner_bucket(owner, n * FINER), TOLD, owner, key)
-        if out is not None:
-            yield out
         owner, key = distinct(*unpack(*got, dtype))
         first, size = groups(key)
         many = np.repeat(size > 1, size)
         if respond == "later":
             many[first] = False
-        owner, key = owner[many], key[many]
+        known, known_key = unpack(*told, dtype)
+        owner, key = np.concatenate([known, owner[many]]), np.concatenate([known_key, key[many]])
         out = pack(owner_bucket(owner, n * FINER), TOLD, owner, key)
         if out is not None:
             yield out
