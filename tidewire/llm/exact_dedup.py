@@ -65,7 +65,8 @@ def _split_collisions(plain: DataFrame, differs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; one row of repeated rows stays."""
-    stays = assign_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(stays, F.coalesce(docs["doc_id"].cast("bigint"), F.lit(-(1 << 63)).cast("bigint")) == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that stay, with their columns.  Of rows with one ``doc_id`` one
+    stays; rows with a null ``doc_id`` can't be told apart by it and all stay."""
+    named = docs.filter("doc_id IS NOT NULL")
+    stays = assign_groups(named.select("doc_id", "text")).filter("kept").select("doc_id")
+    return named.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, masked_lm, quality, sentencepiece_fst, substring_dedup
+from tidewire.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, masked_lm, quality, sentencepiece_fst, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -112,3 +112,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_ngram_jaccard")
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
+@register("op4_suffix_array_dedup")
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
