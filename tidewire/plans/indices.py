@@ -12,17 +12,21 @@ from tidewire.plans.registry import query
 from tidewire.plans.views import AS_OF
 
 T = f"TIMESTAMP '{AS_OF}'"
+#: the mentions end on the 30th, the articles of small tables before it
+MENTIONS_AS_OF = "2024-01-30 00:00:00"
+TM = f"TIMESTAMP '{MENTIONS_AS_OF}'"
+HOURS = 720
 SIG = "CASE WHEN ({v}) <= 0 THEN 0.0 ELSE 100.0 / (1.0 + exp(-4.0 * ((({v}) - {m}) / {m}))) END"
 SEV = "CASE event_type WHEN 'Battles' THEN 3.0 WHEN 'Violence against civilians' THEN 4.0 WHEN 'Explosions/Remote violence' THEN 3.5 WHEN 'Protests' THEN 1.0 WHEN 'Riots' THEN 1.5 WHEN 'Strategic developments' THEN 2.0 ELSE 1.0 END"
 C = "lower(trim(regexp_extract({}, '^([^(\\-:]*)', 1)))"
-RECENCY = f"greatest(0.0, 1.0 - least(greatest(0.0, (epoch_us({T}) - epoch_us(published_at)) / 3.6e9) / 72.0, 1.0))"
-SPIKE = f"""spike AS (SELECT entity, min(entity_type) FILTER (WHERE mentioned_at > {T} - INTERVAL 2 DAY) AS entity_type,
- count(*) FILTER (WHERE mentioned_at > {T} - INTERVAL 2 DAY) AS recent, count(*) FILTER (WHERE mentioned_at <= {T} - INTERVAL 2 DAY AND mentioned_at > {T} - INTERVAL 7 DAY) AS base FROM mentions_v GROUP BY entity),
+RECENCY = f"greatest(0.0, 1.0 - least(greatest(0.0, (epoch_us({T}) - epoch_us(published_at)) / 3.6e9) / {HOURS}.0, 1.0))"
+SPIKE = f"""spike AS (SELECT entity, min(entity_type) FILTER (WHERE mentioned_at > {TM} - INTERVAL 2 DAY) AS entity_type,
+ count(*) FILTER (WHERE mentioned_at > {TM} - INTERVAL 2 DAY) AS recent, count(*) FILTER (WHERE mentioned_at <= {TM} - INTERVAL 2 DAY AND mentioned_at > {TM} - INTERVAL 7 DAY) AS base FROM mentions_v GROUP BY entity),
 spikes AS (SELECT entity, entity_type, recent, base, CASE WHEN base = 0 THEN recent * 2.0 ELSE recent / (base / 3.5) END AS spike_ratio FROM spike WHERE recent > 0)"""
 
 CONFLICT = f"SELECT {C.format('country')} AS country, count(*) AS event_count, CAST(sum(fatalities) AS BIGINT) AS fatalities, sum({SEV}) AS weighted_count FROM structured_v GROUP BY 1"
 SEVERE = f"SELECT {C.format('country')} AS country, CAST(sum(fatalities) AS BIGINT) AS total_fatalities, count(*) FILTER (WHERE fatalities >= 10) AS high_fatality_events FROM structured_v GROUP BY 1"
-MEDIA = f"SELECT lower(region) AS country, sum(1.0 + 1.5 * {RECENCY}) AS weighted_articles, count(DISTINCT a.source_domain) AS source_count FROM articles_v a JOIN registry_v r USING (source_domain) WHERE published_at >= {T} - INTERVAL 72 HOUR AND region <> 'global' GROUP BY 1"
+MEDIA = f"SELECT lower(region) AS country, sum(1.0 + 1.5 * {RECENCY}) AS weighted_articles, count(DISTINCT a.source_domain) AS source_count FROM articles_v a JOIN registry_v r USING (source_domain) WHERE published_at >= {T} - INTERVAL {HOURS} HOUR AND region <> 'global' GROUP BY 1"
 FOG = f"SELECT {C.format('name')} AS country, CAST(sum(contradiction_count) AS BIGINT) AS contradiction_count, count(*) AS event_count FROM (SELECT event_key, contradiction_count, arg_min(lower(n_name), n_nationkey) AS name FROM disputes_v JOIN nation ON contains(event_label, lower(n_name)) GROUP BY 1, 2) GROUP BY 1"
 MOVED = f"SELECT {C.format('n_name')} AS country, avg(spike_ratio) AS avg_ratio, count(*) AS spikes FROM spikes JOIN nation ON entity = concat('E', n_nationkey) WHERE entity_type = 'GPE' AND spike_ratio >= 1.5 GROUP BY 1"
 FRAMES = f"SELECT {C.format('subject_key')} AS country, count(DISTINCT dominant_frame) AS frames FROM framing_v GROUP BY 1"
@@ -51,8 +55,8 @@ def places(nation: DataFrame) -> DataFrame:
 def parts(structured, articles, registry, disputes, mentions, framing, nation) -> DataFrame:
     regional = articles.join(F.broadcast(registry.select("source_domain", "region")), "source_domain")
     return I.components(
-        conflict=I.conflict(structured), media_attention=I.attention(regional, AS_OF), contradiction=I.contradictions(disputes, gazetteer(nation)),
-        event_severity=I.severity(structured), entity_activity=I.activity(A.entity_spikes(mentions, AS_OF, limit=None, threshold=0.0), places(nation)), narrative_volatility=I.volatility(framing),
+        conflict=I.conflict(structured), media_attention=I.attention(regional, AS_OF, HOURS), contradiction=I.contradictions(disputes, gazetteer(nation)),
+        event_severity=I.severity(structured), entity_activity=I.activity(A.entity_spikes(mentions, MENTIONS_AS_OF, limit=None, threshold=0.0), places(nation)), narrative_volatility=I.volatility(framing),
     )
 
 
@@ -63,7 +67,7 @@ def a12(structured):
 
 @query("A13_media_attention", "articles_v", "registry_v", sql=f"SELECT country, round(weighted_articles, 4) AS weighted_articles, source_count, round({SIG.format(v='weighted_articles', m='30.0')}, 4) AS score FROM ({MEDIA})")
 def a13(articles, registry):
-    return rounded(I.attention(articles.join(F.broadcast(registry.select("source_domain", "region")), "source_domain"), AS_OF), "weighted_articles", "score")
+    return rounded(I.attention(articles.join(F.broadcast(registry.select("source_domain", "region")), "source_domain"), AS_OF, HOURS), "weighted_articles", "score")
 
 
 @query("A14_contradiction_density", "disputes_v", "nation", sql=f"SELECT country, contradiction_count, event_count, round({SIG.format(v='contradiction_count', m='3.0')}, 4) AS score FROM ({FOG})")
@@ -78,7 +82,7 @@ def a15(structured):
 
 @query("A16_entity_activity", "mentions_v", "nation", sql=f"WITH {SPIKE} SELECT country, round(avg_ratio, 4) AS avg_ratio, spikes, round({SIG.format(v='avg_ratio', m='2.0')}, 4) AS score FROM ({MOVED})")
 def a16(mentions, nation):
-    return rounded(I.activity(A.entity_spikes(mentions, AS_OF, limit=None, threshold=0.0), places(nation)), "avg_ratio", "score")
+    return rounded(I.activity(A.entity_spikes(mentions, MENTIONS_AS_OF, limit=None, threshold=0.0), places(nation)), "avg_ratio", "score")
 
 
 @query("A17_narrative_volatility", "framing_v", sql=f"SELECT country, frames, round({SIG.format(v='frames', m='4.0')}, 4) AS score FROM ({FRAMES})")
@@ -120,9 +124,9 @@ def w4(structured):
     return I.trend(daily.filter("event_date = DATE '2024-01-30'").select("country", "score"), snapshots, AS_OF)
 
 
-@query("A11_region_attention", "articles_v", "registry_v", sql=f"""WITH w AS (SELECT region, a.source_domain, published_at, 1.0 + 1.75 * {RECENCY} AS w FROM articles_v a JOIN registry_v r USING (source_domain) WHERE published_at >= {T} - INTERVAL 72 HOUR),
+@query("A11_region_attention", "articles_v", "registry_v", sql=f"""WITH w AS (SELECT region, a.source_domain, published_at, 1.0 + 1.75 * {RECENCY} AS w FROM articles_v a JOIN registry_v r USING (source_domain) WHERE published_at >= {T} - INTERVAL {HOURS} HOUR),
  g AS (SELECT region, sum(w) AS weight, count(*) AS articles, count(DISTINCT source_domain) AS sources, max(published_at) AS latest FROM w GROUP BY region)
  SELECT region, articles, sources, latest, round(weight, 4) AS weight, round(weight / sum(weight) FILTER (WHERE region <> 'global') OVER (), 4) AS share, round(weight / max(weight) FILTER (WHERE region <> 'global') OVER (), 4) AS size FROM g""")
 def a11(articles, registry):
     """Region attention: weight, sources, share and size, 'global' kept apart from the totals."""
-    return rounded(A.region_attention(articles.join(F.broadcast(registry.select("source_domain", "region")), "source_domain"), AS_OF), "weight", "share", "size")
+    return rounded(A.region_attention(articles.join(F.broadcast(registry.select("source_domain", "region")), "source_domain"), AS_OF, HOURS), "weight", "share", "size")
