@@ -13,7 +13,7 @@ T = f"TIMESTAMP '{AS_OF}'"
 #: a fetch queue made of the customers: state by segment, age by key
 QUEUE = "SELECT concat('https://c.example/', c_custkey) AS url, CASE c_mktsegment WHEN 'BUILDING' THEN 'pending' WHEN 'MACHINERY' THEN 'retry' WHEN 'AUTOMOBILE' THEN 'failed' ELSE 'fetched' END AS fetch_status, CAST(c_acctbal AS DOUBLE) AS created_at, CAST(c_nationkey % 5 AS INT) AS attempt_count, CASE c_nationkey % 4 WHEN 0 THEN 'HTTP 503 from host' WHEN 1 THEN 'read timed out' WHEN 2 THEN 'HTTP 404' ELSE 'no parser' END AS error FROM customer"
 #: translations of the German and French articles that came before the 15th
-TRANSLATED = "SELECT url AS article_url, upper(title) AS translated_title, CAST(NULL AS VARCHAR) AS translated_description FROM articles_v WHERE language IN ('de', 'fr') AND published_at < TIMESTAMP '2024-01-15 00:00:00'"
+TRANSLATED = "SELECT url AS article_url, concat('T: ', title) AS translated_title, CAST(NULL AS VARCHAR) AS translated_description FROM articles_v WHERE language IN ('de', 'fr') AND published_at < TIMESTAMP '2024-01-15 00:00:00'"
 
 
 def queue(customer):
@@ -25,7 +25,7 @@ def queue(customer):
 
 def translated(articles):
     rows = articles.filter("language IN ('de', 'fr') AND published_at < TIMESTAMP '2024-01-15 00:00:00'")
-    return rows.select(F.col("url").alias("article_url"), F.upper("title").alias("translated_title"), F.lit(None).cast("string").alias("translated_description"))
+    return rows.select(F.col("url").alias("article_url"), F.concat(F.lit("T: "), "title").alias("translated_title"), F.lit(None).cast("string").alias("translated_description"))
 
 
 @query("P1_recent_articles", "articles_v", sql=f"WITH tr AS ({TRANSLATED}), a AS (SELECT * FROM articles_v WHERE published_at >= {T} - INTERVAL 720 HOUR AND topic = 'economics' ORDER BY published_at DESC, url LIMIT 60) SELECT a.url, coalesce(translated_title, title) AS title, description, source, source_domain, language, published_at, topic FROM a LEFT JOIN tr ON tr.article_url = a.url")

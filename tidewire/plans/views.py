@@ -6,6 +6,7 @@ The texts run unchanged in Spark (session zone UTC) and DuckDB.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -25,10 +26,16 @@ TEXTS = {"articles_v": ARTICLES, "structured_v": STRUCTURED, "mentions_v": MENTI
 TABLES = ("documents", "events", "nation", "lineitem")
 
 
+def zoned(df: DataFrame) -> DataFrame:
+    """Stored times without a zone as instants of the session zone (UTC)."""
+    local = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in local}) if local else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view by name, or a stored table."""
     if name not in TEXTS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return zoned(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     text = TEXTS[name]
     used = {}
     for t in TABLES:
@@ -36,7 +43,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             if f"{lead}{t}" in text:
                 text = text.replace(f"{lead}{t}", f"{lead}{{{t}}}")
                 used[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return spark.sql(text, **used)
+    return zoned(spark.sql(text, **used))
 
 
 def with_views(sql: str) -> str:
