@@ -13,7 +13,7 @@ def components(links: DataFrame) -> DataFrame:
     the shuffle, so an id of any degree is fine), then the label of that label.  Labels
     are written to the checkpoint folder each round, so a lost executor costs one round.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()  # one plan for all rounds
     labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")).checkpoint()
     while True:
         around = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))

@@ -17,7 +17,7 @@ shingle).  Documents without words link with nothing.
    share one.  Heavier sets, and light ones that could link with heavier, enter inverted
    lists of the n - t + 1 rarest shingles.  The boundary ``x`` is where the number of subsets
    outgrows the summed length of the lists that would be scanned instead.
-5. *Links.*  The sets of a key are first compared with a leader, in three rounds with
+5. *Links.*  The sets of a key are first compared with a leader, in two rounds with
    different leaders; sets found connected need no further comparison.  What is left, pairs
    of one key that lie in different components, is compared exhaustively.  All comparisons
    are exact over whole sets, and no pair that could join two components is left out.
@@ -43,7 +43,7 @@ from tidewire.llm.components import components
 from tidewire.llm.skew import join_on_key
 from tidewire.llm.words import Words, mix, shingle_sets, slices
 
-SHINGLE, PERCENT, SUBSET, ROUNDS = 5, 80, 2, 3
+SHINGLE, PERCENT, SUBSET, ROUNDS = 5, 80, 2, 2
 SECOND = np.uint64(0xA0761D6478BD642F)
 
 
@@ -256,11 +256,9 @@ def links(sets: DataFrame) -> DataFrame:
     all_keys = keys(prefix, boundary(prefix))
     sizes = all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     open_keys = join_on_key(all_keys, sizes, "key", weight="size").checkpoint()
-    found = spark.createDataFrame([], "a bigint, b bigint")
-    done = spark.createDataFrame([], "a bigint, b bigint")
-    labels = spark.createDataFrame([], "id bigint, component bigint")
+    found = done = labels = None
     for number in range(ROUNDS + 1):
-        named = open_keys.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        named = open_keys.withColumn("component", F.col("id")) if labels is None else open_keys.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(number))).alias("lead")).filter("low <> high")
         joined = join_on_key(named.drop("size"), mixed, "key", weight="size").checkpoint()
         if number < ROUNDS:
@@ -269,15 +267,17 @@ def links(sets: DataFrame) -> DataFrame:
             other = joined.select("key", F.col("id").alias("i"), F.col("n").alias("ln"), F.col("component").alias("c"))
             pairs = joined.select("key", F.col("id").alias("l"), "n", "component").join(other, "key").filter("l < i AND component <> c")
         pairs = pairs.filter(_fits("n", "ln")).select(F.least("l", "i").alias("a"), F.greatest("l", "i").alias("b")).distinct()
-        pairs = pairs.join(done, ["a", "b"], "left_anti").checkpoint()
-        if pairs.isEmpty() and number >= ROUNDS:
-            break
+        pairs = (pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")).checkpoint()
+        if pairs.isEmpty():
+            if number >= ROUNDS or joined.isEmpty():
+                break
+            continue
         new = _linked(pairs, sets).checkpoint()
-        found = found.unionByName(new)
-        done = done.unionByName(pairs)
+        found = new if found is None else found.unionByName(new)
+        done = pairs if done is None else done.unionByName(pairs)
         labels = components(found)
         open_keys = joined.select("key", "id", "n")
-    return labels
+    return spark.createDataFrame([], "id bigint, component bigint") if labels is None else labels
 
 
 def join_components(docs: DataFrame) -> DataFrame:

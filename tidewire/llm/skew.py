@@ -16,10 +16,12 @@ def join_on_key(rows: DataFrame, groups: DataFrame, key: str, weight: str, how:
     Keys with over 1 / HEAVY_SHARE of all rows number at most HEAVY_SHARE, so their group
     rows are broadcast; a row whose key is heavy never goes through the shuffle.
     """
-    total = groups.agg(F.sum(weight)).first()[0] or 0
-    heavy = groups.filter(F.col(weight) > max(1000, total // HEAVY_SHARE))
-    light = groups.filter(F.col(weight) <= max(1000, total // HEAVY_SHARE))
+    total, most = groups.agg(F.sum(weight), F.max(weight)).first()
     fields = [c for c in groups.columns if c != key and c not in rows.columns]
+    limit = max(1000, (total or 0) // HEAVY_SHARE)
+    if (most or 0) <= limit:
+        return rows.join(groups.select(key, *fields), key, how).select(*rows.columns, *fields)
+    heavy, light = groups.filter(F.col(weight) > limit), groups.filter(F.col(weight) <= limit)
     packed = heavy.select(key, F.struct(*fields).alias("_heavy"))
     marked = rows.join(F.broadcast(packed), key, "left")
     by_shuffle = marked.filter("_heavy IS NULL").drop("_heavy").join(light.select(key, *fields), key, how)
