@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,6 +140,22 @@ def _record(length: int) -> np.dtype:
     return np.dtype([("owner", "<i8"), ("at", "<i8"), ("rs", "u1"), ("ls", "u1"), ("right", "u1", (length,)), ("left", "u1", (length - SEED,))])
 
 
+def _shrink(rec: np.ndarray) -> bytes:
+    """Suffix records field by field, compressed: they are mostly text, all over the bucket's documents."""
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(rec[f]).tobytes() for f in rec.dtype.names))
+
+
+def _grow(data: bytes, record: np.dtype) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    rec = np.empty(len(raw) // record.itemsize, record)
+    at = 0
+    for f in record.names:
+        kind = record[f]
+        rec[f] = np.frombuffer(raw, kind.base, len(rec) * int(np.prod(kind.shape)), at).reshape(len(rec), *kind.shape)
+        at += len(rec) * kind.itemsize
+    return rec
+
+
 def _wide(m: np.ndarray) -> np.ndarray:
     """Columns padded to whole 8-byte words."""
     return np.pad(m, ((0, 0), (0, -m.shape[1] % 8)))
@@ -183,12 +200,12 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rec["rs"], rec["ls"] = np.minimum(off[r + 1] - p, length), np.minimum(p - off[r], back)
                 rec["right"] = padded[(p + back)[:, None] + np.arange(length)] * (np.arange(length) < rec["rs"][:, None])
                 rec["left"] = padded[(p + back - 1)[:, None] - np.arange(back)] * (np.arange(back) < rec["ls"][:, None])
-                rows.append((int(b[a]), rec.tobytes()))
+                rows.append((int(b[a]), _shrink(rec)))
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "suffixes"])
 
     def scan_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [x for batch in batches for x in batch.column("suffixes").to_pylist()]
-        rec = np.frombuffer(b"".join(got), record)
+        rec = np.concatenate([_grow(x, record) for x in got]) if got else np.zeros(0, record)
         del got
         if not len(rec):
             return

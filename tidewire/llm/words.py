@@ -24,7 +24,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 GRAM_BASE = 0xD6E8FEB86659FD93
 LONG_WORD = 256
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
