@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidewire.llm.words import BASE, Words, mix, powers, slices
 
 BITS = 20
-SAMPLE = 20_000
+SAMPLE = 8_000
 KEEP_AT = 0.5
 PUNCT = np.zeros(256, dtype=bool)
 PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
