@@ -97,7 +97,7 @@ def keywords(c: Column | str, stopwords: list[str], least: int = 4) -> Column:
 
 def temporal_weight(hours: Column) -> Column:
     """decay by steps; null counts 0.85."""
-    return F.when(hours.isNull(), 0.85).when(hours <= 12, 1.0).when(hours <= 24, 0.92).when(hours <= 48, 0.82).when(hours <= 96, 0.7).otherwise(0.52)
+    return F.when(hours.isNull(), 0.85).when(hours <= 12, 1.0).when(hours <= 36, 0.92).when(hours <= 72, 0.82).when(hours <= 120, 0.7).otherwise(0.52)
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:

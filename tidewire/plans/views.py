@@ -51,6 +51,8 @@ def with_views(sql: str) -> str:
     named = [f"{k} AS ({v})" for k, v in TEXTS.items() if k in sql]
     if not named:
         return sql
-    body = sql.strip()
-    more = body[4:].lstrip() if body.upper().startswith("WITH ") else None
-    return f"WITH {', '.join(named)}" + (f", {more}" if more else f" {body}")
+    body, lead = sql.strip(), "WITH"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{', '.join(named)}, {body[len(start):]}"
+    return f"{lead} {', '.join(named)} {body}"
