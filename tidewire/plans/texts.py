@@ -1 +1,176 @@
-"""Registered queries."""
+"""Queries of scalar functions (F*) with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewire.functions import scalars as S
+from tidewire.functions import texts as X
+from tidewire.plans.registry import query
+
+BOTH = "lower(concat_ws(' ', title, description))"
+
+
+def text():
+    return F.concat_ws(" ", "title", "description")
+
+
+@query("F1_canonical_url", "pages", sql="SELECT page_id, regexp_replace(concat(lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)), regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '/+$', '') AS canonical_url, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '') AS domain FROM pages")
+def f1(pages):
+    return pages.select("page_id", S.canonical_url("url").alias("canonical_url"), S.domain("url").alias("domain"))
+
+
+@query("F2_content_hash", "articles_v", sql="SELECT url, sha256(concat(trim(title), '|', trim(description), '|', trim(source))) AS digest FROM articles_v")
+def f2(articles):
+    return articles.select("url", S.stable_hash("title", "description", "source").alias("digest"))
+
+
+@query("F3_timestamps", "orders", sql="SELECT o_orderkey, date_trunc('day', o_orderdate) AS compact, date_trunc('day', o_orderdate) AS iso FROM orders")
+def f3(orders):
+    return orders.select("o_orderkey", S.timestamp(F.date_format("o_orderdate", "yyyyMMdd'T'000000'Z'")).alias("compact"), S.timestamp(F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00+00:00")).alias("iso"))
+
+
+@query("F4_fragment", "pages", sql="SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text FROM pages")
+def f4(pages):
+    return pages.select("page_id", S.fragment("html").alias("text"))
+
+
+@query("F5_english", "articles_v", sql="SELECT url, language = 'en' AS english FROM articles_v")
+def f5(articles):
+    return articles.select("url", S.is_english("language").alias("english"))
+
+
+@query("F6_keywords", "articles_v", sql="SELECT url, list_sort(list_filter(list_distinct(regexp_extract_all(lower(title), '[a-z]{4,}')), lambda x: x NOT IN ('that', 'with', 'this'))) AS keywords FROM articles_v")
+def f6(articles):
+    return articles.select("url", F.sort_array(S.keywords("title", ["that", "with", "this"])).alias("keywords"))
+
+
+@query("F9_temporal_weight", "orders", sql="SELECT o_orderkey, CASE WHEN h IS NULL THEN 0.85 WHEN h <= 12 THEN 1.0 WHEN h <= 36 THEN 0.92 WHEN h <= 72 THEN 0.82 WHEN h <= 120 THEN 0.7 ELSE 0.52 END::DOUBLE AS w FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderkey % 150 END AS h FROM orders)")
+def f9(orders):
+    return orders.select("o_orderkey", S.temporal_weight(F.when(F.col("o_orderstatus") != "O", F.col("o_orderkey") % 150)).alias("w"))
+
+
+@query("F10_jaccard", "articles_v", sql="SELECT url, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) ELSE 0.0 END AS j FROM (SELECT url, list_distinct(regexp_extract_all(lower(title), '[a-z]{4,}')) AS a, list_distinct(regexp_extract_all(lower(description), '[a-z]{4,}')) AS b FROM articles_v)")
+def f10(articles):
+    return articles.select("url", F.round(S.jaccard(S.words("title"), S.words("description")), 6).alias("j"))
+
+
+@query("F12_numbers", "documents", sql="SELECT doc_id, list_transform(regexp_extract_all(text, '\\b(\\d[\\d,]*(?:\\.\\d+)?)\\b', 1), lambda x: replace(x, ',', '')) AS numbers FROM documents WHERE lang = 'en'")
+def f12(documents):
+    return documents.filter("lang = 'en'").select("doc_id", S.numbers("text").alias("numbers"))
+
+
+@query("F13_country", "nation", sql="SELECT n_nationkey, lower(trim(regexp_extract(n_name, '^([^(\\-:]*)', 1))) AS country FROM nation")
+def f13(nation):
+    return nation.select("n_nationkey", S.country("n_name").alias("country"))
+
+
+@query("F16_quality_score", "articles_v", "registry_v", sql=f"""SELECT url, CAST(CASE WHEN active THEN 3 ELSE 0 END + CASE WHEN region NOT IN ('global', 'united-states', 'europe') THEN 2 ELSE 0 END + CASE WHEN trust_tier = 'tier_2' THEN 1 ELSE 0 END + CASE WHEN length(t) BETWEEN 24 AND 180 THEN 2 ELSE 0 END + CASE WHEN d <> '' AND d <> t AND length(d) >= 48 THEN 2 ELSE 0 END + 2
+ - CASE WHEN len(list_filter(regexp_split_to_array(t, '[ \\t\\n\\r]+'), lambda x: x <> '')) < 5 THEN 2 ELSE 0 END - CASE WHEN d = t AND length(d) < 80 THEN 2 ELSE 0 END AS INT) AS quality FROM (SELECT *, trim(title) AS t, trim(description) AS d FROM articles_v) JOIN registry_v USING (source_domain)""")
+def f16(articles, registry):
+    rows = articles.join(F.broadcast(registry.select("source_domain", "active", "region", "trust_tier")), "source_domain")
+    score = X.quality_score(F.col("title"), F.col("description"), F.col("published_at"), F.col("language"), F.col("source_domain"), F.col("active"), F.col("region"), F.col("trust_tier"), F.lit(0))
+    return rows.select("url", score.alias("quality"))
+
+
+FRAMES_SQL = "CASE " + " ".join(f"WHEN n{i} = greatest({', '.join(f'n{j}' for j in range(12))}) AND n{i} > 0 THEN '{k}'" for i, k in sorted(enumerate(X.FRAMES), key=lambda e: e[1])) + " END"
+COUNTS_SQL = ", ".join("(" + " + ".join("CAST(contains(t, '{}') AS INT)".format(w) for w in v) + f") AS n{i}" for i, v in enumerate(X.FRAMES.values()))
+
+
+@query("F17_dominant_frame", "documents", sql=f"SELECT doc_id, {FRAMES_SQL} AS frame FROM (SELECT doc_id, {COUNTS_SQL} FROM (SELECT doc_id, lower(text) AS t FROM documents))")
+def f17(documents):
+    return documents.select("doc_id", X.dominant(X.frame_counts(X.matched_terms("text"))).alias("frame"))
+
+
+@query("F18_claims", "articles_v")
+def f18(articles):
+    return articles.select("url", F.explode(X.claims("title", text())).alias("claim"))
+
+
+TYPES_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in v) + f" THEN '{k}'" for k, v in X.CLAIM_TYPES.items()) + " ELSE 'fact' END"
+
+
+@query("F19_claim_type", "documents", sql=f"SELECT doc_id, {TYPES_SQL} AS claim_type FROM (SELECT doc_id, lower(text) AS t FROM documents)")
+def f19(documents):
+    return documents.select("doc_id", X.claim_type("text").alias("claim_type"))
+
+
+@query("F20_claim_key", "claims_v", sql="SELECT l_orderkey, l_linenumber, sha256(concat(event_key, '|', source_name, '|', claim_type)) AS claim_key FROM claims_v")
+def f20(claims):
+    return claims.select("l_orderkey", "l_linenumber", S.stable_hash("event_key", "source_name", "claim_type").alias("claim_key"))
+
+
+@query("F22_number_in_text", "documents", sql="SELECT doc_id, TRY_CAST(replace(regexp_extract(text, '(\\d[\\d,]*(?:\\.\\d+)?)', 1), ',', '') AS DOUBLE) AS number FROM documents WHERE regexp_matches(text, '\\d')")
+def f22(documents):
+    return documents.filter(F.col("text").rlike(r"\d")).select("doc_id", X.number("text").alias("number"))
+
+
+@query("F26_event_key", "claims_v", sql="SELECT event_key, sha256(string_agg(source_name, '|' ORDER BY source_name)) AS digest FROM (SELECT DISTINCT event_key, source_name FROM claims_v) GROUP BY event_key")
+def f26(claims):
+    return claims.groupBy("event_key").agg(F.sha2(F.array_join(F.sort_array(F.collect_set("source_name")), "|"), 256).alias("digest"))
+
+
+@query("F27_week_anchor", "structured_v", sql="SELECT event_id, CAST(date_trunc('week', event_date) AS DATE) AS week, substr(sha256(concat(event_type, '|', lower(country), '|', CAST(CAST(date_trunc('week', event_date) AS DATE) AS VARCHAR))), 1, 16) AS anchor FROM structured_v")
+def f27(structured):
+    week = S.week_floor("event_date")
+    return structured.select("event_id", week.alias("week"), F.substring(S.stable_hash("event_type", F.lower("country"), week), 1, 16).alias("anchor"))
+
+
+@query("F29_haversine", "structured_v", sql="SELECT event_id, round(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(48.85 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(48.85)) * pow(sin(radians(2.35 - longitude) / 2), 2)))), 4) AS km FROM structured_v")
+def f29(structured):
+    return structured.select("event_id", F.round(S.haversine("latitude", "longitude", F.lit(48.85), F.lit(2.35)), 4).alias("km"))
+
+
+@query("F30_hotspot_weight", "structured_v", sql="SELECT event_id, round((1.0 + ln(1 + fatalities) * 0.9 + 0.2) * (0.35 + 0.65 * 0.5), 6) AS w FROM structured_v")
+def f30(structured):
+    return structured.select("event_id", F.round(X.hotspot_weight(F.col("fatalities"), F.lit(1), F.lit(0.5)), 6).alias("w"))
+
+
+@query("F31_place_key", "part", sql="SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS place FROM part")
+def f31(part):
+    return part.select("p_partkey", S.place_key("p_name").alias("place"))
+
+
+@query("F34_event_rank", "structured_v", sql="WITH g AS (SELECT country, count(*) AS n, count(DISTINCT dataset) AS s FROM structured_v GROUP BY 1) SELECT country, least(n, 10) * 2 + least(s, 8) * 3 + 8 AS rank FROM g")
+def f34(structured):
+    g = structured.groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dataset").alias("s"))
+    return g.select("country", X.event_rank(F.col("n"), F.col("s"), F.lit(20)).alias("rank"))
+
+
+@query("F37_importance", "structured_v", sql="WITH g AS (SELECT country, event_date, CAST(sum(fatalities) AS DOUBLE) AS f, count(*) AS n FROM structured_v GROUP BY 1, 2) SELECT country, event_date, round(least(ln(1 + f) * 3.5, 25) + least(n * 2.0, 20), 6) AS importance FROM g")
+def f37(structured):
+    g = structured.groupBy("country", "event_date").agg(F.sum("fatalities").alias("f"), F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0.0)
+    return g.select("country", "event_date", F.round(X.importance(F.col("f"), zero, F.col("n"), zero, zero), 6).alias("importance"))
+
+
+@query("F43_entity_names", "customer", sql="SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL WHEN c_mktsegment = 'MACHINERY' THEN 'Engines' ELSE concat(upper(substr(c_mktsegment, 1, 1)), lower(substr(c_mktsegment, 2))) END AS entity FROM customer")
+def f43(customer):
+    return customer.select("c_custkey", X.entity_name("c_mktsegment", ["building"], {"machinery": "Engines"}).alias("entity"))
+
+
+@query("F45_label_errors", "labels", sql="SELECT doc_id, list_filter([CASE WHEN quality IS NULL OR quality NOT IN (0, 1) THEN 'quality' END, CASE WHEN toxic IS NULL OR toxic <> 0 THEN 'toxic' END], lambda x: x IS NOT NULL) AS errors FROM labels")
+def f45(labels):
+    checks = {"quality": F.coalesce(~F.col("quality").isin(0, 1), F.lit(True)), "toxic": F.coalesce(F.col("toxic") != 0, F.lit(True))}
+    return labels.select("doc_id", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()])).alias("errors"))
+
+
+@query("F46_cosine", "embeddings", sql="SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(list_reverse(embedding) AS DOUBLE[])), 5) AS c FROM embeddings")
+def f46(embeddings):
+    return embeddings.select("vec_id", F.round(S.cosine("embedding", F.reverse("embedding")), 5).alias("c"))
+
+
+@query("F47_payload", "events", sql="SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def f47(events):
+    return events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("F48_week_label", "orders", sql="SELECT o_orderkey, concat(isoyear(o_orderdate), '-W', lpad(CAST(week(o_orderdate) AS VARCHAR), 2, '0')) AS week FROM orders")
+def f48(orders):
+    return orders.select("o_orderkey", S.week_label("o_orderdate").alias("week"))
+
+
+@query("F49_signal_lines", "mentions_v", sql="SELECT entity, concat('- ', entity, ': ', count(*), ' mentions in ', count(DISTINCT article_url), ' articles') AS line FROM mentions_v GROUP BY entity")
+def f49(mentions):
+    g = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("article_url").alias("a"))
+    return g.select("entity", F.format_string("- %s: %d mentions in %d articles", "entity", "n", "a").alias("line"))
