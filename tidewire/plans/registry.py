@@ -29,6 +29,20 @@ def query(name: str, *tables: str, sql: str | None = None) -> Callable[[Callable
     return add
 
 
+def stored(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query that needs the session and the folder of the tables themselves."""
+
+    def add(f: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = with_views(sql)
+        return f
+
+    return add
+
+
 def _load() -> None:
     for m in MODULES:
         import_module(f"tidewire.plans.{m}")

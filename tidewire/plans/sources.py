@@ -1 +1,82 @@
-"""Registered queries."""
+"""Queries of scans and normalisers (S*) over files that Spark derives from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewire.plans.registry import query, stored
+from tidewire.sources import scans as R
+from tidewire.streaming.streams import shared_folder
+
+
+@stored("S1_json_archive", sql="SELECT url, title, description, source, language FROM articles_v WHERE trim(title) <> '' AND trim(description) <> ''")
+def s1(spark, sf_dir):
+    from tidewire.plans.views import view
+
+    out = shared_folder(spark, "s1")
+    view(spark, sf_dir, "articles_v").filter("trim(title) <> '' AND trim(description) <> ''").select(F.col("url").alias("link"), F.col("title").alias("headline"), F.col("description").alias("summary"), F.col("source").alias("publisher"), F.col("language").alias("lang")).write.json(out)
+    got = R.as_articles(R.read_records(spark, out, "jsonl"))
+    want = view(spark, sf_dir, "articles_v").select("url", F.col("title").alias("t"), F.col("description").alias("d"))
+    return got.join(want, "url").select("url", F.col("t").alias("title"), F.col("d").alias("description"), "source", "language")
+
+
+@query("S3_alias_projection", "documents", sql="SELECT CAST(doc_id AS VARCHAR) AS url, trim(text, chr(32)) AS title, lang AS language FROM documents WHERE trim(text, chr(32)) <> ''")
+def s3(documents):
+    return R.as_articles(documents.select(F.col("doc_id").alias("link"), F.col("text").alias("headline"), "lang")).select("url", "title", "language")
+
+
+@query("S4_topic_routing", "articles_v", sql="SELECT url, topic FROM articles_v WHERE topic = 'economics' UNION ALL SELECT url, 'general' FROM articles_v WHERE topic <> 'economics'")
+def s4(articles):
+    rows = articles.select("url", F.array("topic").alias("topics"))
+    return R.route_topics(rows, ["economics"], inferred=F.array(F.lit("general")))
+
+
+@query("S8_event_export", "structured_v", sql="SELECT CAST(event_id AS VARCHAR) AS event_id, event_date, CASE event_type WHEN 'Battles' THEN 'Battles' WHEN 'Protests' THEN 'Protests' ELSE 'Strategic developments' END AS event_type, country FROM structured_v WHERE event_type IN ('Battles', 'Protests', 'Riots')")
+def s8(structured):
+    root = F.when(F.col("event_type") == "Battles", "19").when(F.col("event_type") == "Protests", "14").when(F.col("event_type") == "Riots", "15").otherwise("03")
+    line = F.concat_ws("\t", F.col("event_id").cast("string"), F.date_format("event_date", "yyyyMMdd"), root, F.lit("1"), "country", F.concat_ws(", ", "country", "country"), F.col("latitude").cast("string"), F.col("longitude").cast("string"), "actor_primary", F.lit("1"))
+    return R.export_events(structured.select(line.alias("line"))).select("event_id", "event_date", "event_type", "country")
+
+
+@stored("S11_feed_items", sql="SELECT url, count(*) AS n FROM articles_v GROUP BY url")
+def s11(spark, sf_dir):
+    from tidewire.plans.views import view
+
+    out = shared_folder(spark, "s11")
+    rows = view(spark, sf_dir, "articles_v").select("title", F.col("url").alias("link"), "description", F.col("published_at").cast("string").alias("pubDate"), F.col("url").alias("guid"))
+    rows.select("link", "pubDate", "guid").write.option("rowTag", "item").option("rootTag", "channel").xml(out)
+    return R.feed_items(spark, out).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("S13_page_articles", "pages")
+def s13(pages):
+    return R.page_articles(pages)
+
+
+@query("S14_page_links", "pages", sql="""WITH a AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS base, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a FROM pages)
+ SELECT DISTINCT page_id, concat(base, regexp_extract(a, 'href="([^"]*)', 1)) AS url FROM a WHERE length(trim(regexp_replace(replace(replace(replace(a, '&quot;', '"'), '&lt;', '<'), '&amp;', '&'), '<[^>]*>', ' ', 'g'))) >= 6""")
+def s14(pages):
+    return R.page_links(pages, least=6).select("page_id", "url")
+
+
+@query("S16_registry_documents", "articles_v", "registry_v", sql="SELECT url, trust_tier FROM articles_v JOIN registry_v USING (source_domain) WHERE active")
+def s16(articles, registry):
+    from tidewire.operators.joins import resolve_sources
+
+    rows = resolve_sources(articles, registry.filter("active"), "source_name").filter("registry IS NOT NULL")
+    return rows.select("url", "registry.trust_tier")
+
+
+@query("S18_source_packs", "registry_v", sql="SELECT source_name, CASE WHEN trust_tier = 'tier_1' THEN 'core' WHEN region <> 'global' THEN 'regional' ELSE 'other' END AS pack FROM registry_v WHERE trust_tier <> 'tier_4'")
+def s18(registry):
+    pack = F.when(F.col("trust_tier") == "tier_1", "core").when(F.col("region") != "global", "regional").otherwise("other")
+    return registry.filter("trust_tier <> 'tier_4'").select("source_name", pack.alias("pack"))
+
+
+@query("S19_label_lines", "labels", sql="SELECT concat('f', CAST(doc_id % 5 AS VARCHAR)) AS file, count(*) AS n, count(*) FILTER (WHERE toxic = 0) AS valid FROM labels GROUP BY 1")
+def s19(labels):
+    """Lines whose JSON is cut short are counted, not fatal."""
+    line = F.to_json(F.struct("doc_id", "quality"))
+    line = F.when(F.col("toxic") == 0, line).otherwise(F.concat(F.lit("{"), line))
+    rows = labels.select(F.concat(F.lit("f"), (F.col("doc_id") % 5).cast("string")).alias("file"), line.alias("line"))
+    return R.label_lines(rows, "doc_id bigint, quality int").groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("valid"))

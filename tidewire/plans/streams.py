@@ -1 +1,58 @@
-"""Registered queries."""
+"""Queries of streaming forms (T1-T10); each must give what the batch form gives."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewire.operators.merge import merge_upsert
+from tidewire.plans.registry import query, stored
+from tidewire.streaming import streams as T
+
+
+def events(spark, sf_dir):
+    return T.file_stream(spark, f"{sf_dir}/events.parquet*")
+
+
+@stored("T1_event_upserts", sql="SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n FROM events GROUP BY user_id")
+def t1(spark, sf_dir):
+    def step(batch, old):
+        new = batch.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.count(F.lit(1)).alias("n"))
+        return new if old is None else merge_upsert(old, new, ["user_id"], {"n": "sum"}).drop("_action")
+
+    return T.run_batches(events(spark, sf_dir), "t1", step)
+
+
+@stored("T3_sliding_windows", sql="""WITH w AS (SELECT time_bucket(INTERVAL 12 HOUR, ts) AS b, event_type FROM events), s AS (SELECT b AS start, event_type FROM w UNION ALL SELECT b - INTERVAL 12 HOUR, event_type FROM w)
+ SELECT start, start + INTERVAL 24 HOUR AS "end", event_type, count(*) AS n FROM s GROUP BY start, event_type""")
+def t3(spark, sf_dir):
+    """Every row's two windows; complete mode, so that windows still open count."""
+    stream = T.windowed_counts(events(spark, sf_dir), "ts", "24 hours", "12 hours", "event_type")
+    return T.run_batches(stream, "t3", lambda batch, old: batch, "complete")
+
+
+@stored("T4_daily_counts", sql="SELECT CAST(ts AS DATE)::TIMESTAMP AS start, CAST(ts AS DATE)::TIMESTAMP + INTERVAL 1 DAY AS \"end\", user_id, count(*) AS n FROM events GROUP BY 1, 2, 3")
+def t4(spark, sf_dir):
+    return T.run_batches(T.windowed_counts(events(spark, sf_dir), "ts", "1 day", None, "user_id"), "t4", lambda batch, old: batch, "complete")
+
+
+@stored("T6_stateful_trend")
+def t6(spark, sf_dir):
+    stream = events(spark, sf_dir).select("event_type", "ts", "value")
+    return T.run_available(T.trends(stream, "event_type", "value", "ts", 5.0), "t6")
+
+
+@stored("T7_once_per_key", sql="SELECT DISTINCT user_id, event_type FROM events")
+def t7(spark, sf_dir):
+    stream = T.distinct_within(events(spark, sf_dir).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "400 days")
+    return T.run_available(stream, "t7").select("user_id", "event_type")
+
+
+@stored("T8_first_last_seen", sql="SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY user_id")
+def t8(spark, sf_dir):
+    return T.run_batches(events(spark, sf_dir), "t8", lambda batch, old: T.seen(batch, old, "user_id", "ts"))
+
+
+@query("T10_staleness", "articles_v", sql="SELECT topic, max(published_at) AS newest, max(published_at) < TIMESTAMP '2024-01-31' - INTERVAL 8 HOUR AS stale FROM articles_v GROUP BY topic")
+def t10(articles):
+    newest = F.max("published_at")
+    return articles.groupBy("topic").agg(newest.alias("newest"), (newest < F.lit("2024-01-31").cast("timestamp") - F.expr("INTERVAL 8 HOURS")).alias("stale"))
