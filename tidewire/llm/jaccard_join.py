@@ -19,7 +19,8 @@ shingle).  Documents without words link with nothing.
    outgrows the summed length of the lists that would be scanned instead.
 5. *Links.*  The sets of a key are first compared with a leader, in two rounds with
    different leaders; sets found connected need no further comparison.  What is left, pairs
-   of one key that lie in different components, is compared exhaustively.  All comparisons
+   of one key that lie in different components, is bounded exhaustively, in blocks, by 1024-bit
+   parity maps and compared where these allow a link.  All comparisons
    are exact over whole sets, and no pair that could join two components is left out.
 
 Null text has no words.  Rows with a null id are left out.  Rows that repeat an id each
@@ -44,6 +45,8 @@ from tidewire.llm.skew import join_on_key
 from tidewire.llm.words import Words, mix, shingle_sets, slices
 
 SHINGLE, PERCENT, SUBSET, ROUNDS = 5, 80, 2, 2
+#: bits of a set's parity map; pairs of a group are bounded in square blocks of BLOCK sets
+BITS, BLOCK = 1024, 1024
 SECOND = np.uint64(0xA0761D6478BD642F)
 
 
@@ -160,7 +163,7 @@ def _total_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _prefix(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Rare-first prefixes of the sets of a block: (id, n, single, wide, lists)."""
+    """Rare-first prefixes of the sets of a block: (id, n, single, wide, bits)."""
     keys = np.frombuffer(b"".join(right.column("keys").to_pylist()), np.uint64)
     count = np.frombuffer(b"".join(right.column("counts").to_pylist()), np.uint32)
     order = np.argsort(keys)
@@ -175,24 +178,26 @@ def _prefix(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             continue  # fewer shared shingles than any link needs
         g, c = g[both], count[at[both]]
         rare = np.lexsort((g, c))[: spare + SUBSET]
-        for col, v in zip(out, (i, len(data) // 8, spare + 1, g[rare].tobytes(), int(c[rare[: spare + 1]].sum())), strict=True):
+        bits = np.bincount((np.frombuffer(data, np.uint64) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+        for col, v in zip(out, (i, len(data) // 8, spare + 1, g[rare].tobytes(), np.packbits(bits.astype(np.uint8)).tobytes()), strict=True):
             col.append(v)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-    return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["id", "n", "single", "wide", "lists"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["id", "n", "single", "wide", "bits"])
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
     n = X.buckets(sets.sparkSession)
     blocks = sets.withColumn("block", X.owner_bucket_column(F.col("id"), n * X.FINER)).groupBy("block")
     counts = blocks.applyInArrow(_gram_counts(n), "bucket int, block int, counts binary, keys binary").repartitionById(n, "bucket").mapInArrow(_total_counts, "block int, counts binary, keys binary")
-    return blocks.cogroup(counts.groupBy("block")).applyInArrow(_prefix, "id bigint, n bigint, single bigint, wide binary, lists bigint")
+    return blocks.cogroup(counts.groupBy("block")).applyInArrow(_prefix, "id bigint, n bigint, single bigint, wide binary, bits binary")
 
 
 def boundary(prefix: DataFrame) -> int:
-    """The largest size at which enumerating subsets costs no more than scanning lists."""
+    """The largest size at which enumerating subsets costs no more than scanning lists: a light
+    set sends its subsets, a heavy one its lists' entries and a comparison for each list."""
     wide = F.col("single") + (SUBSET - 1)
     cost = prefix.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 4).alias("band")).agg(
-        F.max("n").alias("n"), F.sum(wide * (wide - 1) / 2).alias("subsets"), F.sum("lists").alias("lists")
+        F.max("n").alias("n"), F.sum(wide * (wide - 1) / 2).alias("subsets"), F.sum(F.col("single") * 2).alias("lists")
     )
     x = 0
     for row in sorted(cost.collect()):  # bands of sizes: four for each power of two
@@ -249,6 +254,65 @@ def _fits(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
+def _possible(n: np.ndarray, bits: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether two sets may be similar enough: they differ in at least as many shingles as
+    their parity maps differ in bits, and may differ in (100 - PERCENT) / (100 + PERCENT) of both sizes."""
+    apart = np.bitwise_count(bits ^ others).sum(axis=-1, dtype=np.int64)
+    return apart * (100 + PERCENT) <= (n + m) * (100 - PERCENT)
+
+
+def _maps(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def _plausible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs (a, b) that their parity maps don't rule out."""
+    rows = pairs.join(maps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a").join(maps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keep = _possible(batch.column("na").to_numpy(), _maps(batch.column("ba")), batch.column("nb").to_numpy(), _maps(batch.column("bb")))
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return rows.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(bound, "a bigint, b bigint")
+
+
+def _across(joined: DataFrame, maps: DataFrame) -> DataFrame:
+    """All pairs (a, b) of one key and different components that their parity maps don't rule out.
+
+    The sets of a key are dealt to blocks of about BLOCK; a group is one pair of blocks, so no
+    task meets more than twice that of a key, however many sets have it.  Keys of one block
+    are grouped many at a time.
+    """
+    slots = X.buckets(joined.sparkSession) * 8
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    slot = F.when(parts > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(slots)))
+    spread = joined.select(slot.alias("slot"), "key", "id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    rows = spread.select("slot", "key", "id", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(maps.select("id", "n", "bits"), "id")
+
+    def pairs(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        keys, ids, comp, own, n = (table.column(c).to_numpy() for c in ("key", "id", "component", "own", "n"))
+        bits = _maps(table.column("bits"))
+        low, high = key[1].as_py(), key[2].as_py()
+        found: list[np.ndarray] = []
+        for at, size in zip(*(x.tolist() for x in X.groups(keys)), strict=True):
+            part = np.arange(at, at + size)
+            left, right = part[own[part] == low], part[own[part] == high]
+            for i in left.tolist():
+                j = right[right > i] if low == high else right
+                j = j[comp[j] != comp[i]]
+                if len(j):
+                    j = j[_possible(n[i], bits[i], n[j], bits[j])]
+                    found.append(np.stack([np.full(len(j), ids[i]), ids[j]], axis=1))
+        got = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(got.min(axis=1, initial=1 << 62)), "b": pa.array(got.max(axis=1, initial=-(1 << 62)))})
+
+    return rows.groupBy("slot", "low", "high").applyInArrow(pairs, "a bigint, b bigint")
+
+
 def links(sets: DataFrame) -> DataFrame:
     """(id, component) of the sets that link with another set."""
     spark = sets.sparkSession
@@ -263,16 +327,15 @@ def links(sets: DataFrame) -> DataFrame:
         joined = join_on_key(named.drop("size"), mixed, "key", weight="size").checkpoint()
         if number < ROUNDS:
             pairs = joined.filter("component <> lead.component").select(F.col("lead.id").alias("l"), F.col("id").alias("i"), "n", F.col("lead.n").alias("ln"))
+            pairs = pairs.filter(_fits("n", "ln")).select(F.least("l", "i").alias("a"), F.greatest("l", "i").alias("b")).distinct()
         else:
-            other = joined.select("key", F.col("id").alias("i"), F.col("n").alias("ln"), F.col("component").alias("c"))
-            pairs = joined.select("key", F.col("id").alias("l"), "n", "component").join(other, "key").filter("l < i AND component <> c")
-        pairs = pairs.filter(_fits("n", "ln")).select(F.least("l", "i").alias("a"), F.greatest("l", "i").alias("b")).distinct()
+            pairs = _across(joined, prefix).distinct()
         pairs = (pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")).checkpoint()
         if pairs.isEmpty():
             if number >= ROUNDS or joined.isEmpty():
                 break
             continue
-        new = _linked(pairs, sets).checkpoint()
+        new = _linked(_plausible(pairs, prefix) if number < ROUNDS else pairs, sets).checkpoint()
         found = new if found is None else found.unionByName(new)
         done = pairs if done is None else done.unionByName(pairs)
         labels = components(found)
