@@ -38,7 +38,7 @@ def t4(spark, sf_dir):
 @stored("T6_stateful_trend")
 def t6(spark, sf_dir):
     stream = events(spark, sf_dir).select("event_type", "ts", "value")
-    return T.run_available(T.trends(stream, "event_type", "value", "ts", 5.0), "t6")
+    return T.run_available(T.trends(stream, "event_type", "value", "ts", 5.0, hours=None), "t6")
 
 
 @stored("T7_once_per_key", sql="SELECT DISTINCT user_id, event_type FROM events")

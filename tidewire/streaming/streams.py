@@ -76,9 +76,9 @@ def seen(batch: DataFrame, old: DataFrame | None, key: str, time: str) -> DataFr
     return new if old is None else merge_upsert(old, new, [key], {"first_seen": "least", "last_seen": "greatest"}).drop("_action")
 
 
-def trends(stream: DataFrame, key: str, score: str, time: str, step: float, hours: int = 48) -> DataFrame:
+def trends(stream: DataFrame, key: str, score: str, time: str, step: float, hours: int | None = 48) -> DataFrame:
     """Each key's score against the one kept for it; the memory is dropped after ``hours``
-    without rows (processing time)."""
+    without rows (processing time), or never where ``hours`` is None (a run that ends)."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -90,8 +90,9 @@ def trends(stream: DataFrame, key: str, score: str, time: str, step: float, hour
         before = state.get[0] if state.exists else None
         label = "new" if before is None else "rising" if now - before > step else "falling" if now - before < -step else "stable"
         state.update((now,))
-        state.setTimeoutDuration(hours * 3_600_000)
+        if hours is not None:
+            state.setTimeoutDuration(hours * 3_600_000)
         yield pd.DataFrame({key: [k[0]], "score": [now], "trend": [label]})
 
     kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, score double, trend string", "score double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, score double, trend string", "score double", "append", GroupStateTimeout.NoTimeout if hours is None else GroupStateTimeout.ProcessingTimeTimeout)
