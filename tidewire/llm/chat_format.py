@@ -82,8 +82,8 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = state.join(parents, ["tree", "id"], "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("id"))))
     paths = ranked.filter(F.col("rank") <= branches).select("tree", F.col("id").alias("leaf"), "rank", "id")
-    for level in reversed(levels):
-        paths = paths.unionByName(paths.join(level, ["tree", "id"]).select("tree", "leaf", "rank", F.col("up").alias("id")))
+    for level in reversed(levels):  # each round reads the paths twice, so its lineage is cut
+        paths = paths.unionByName(paths.join(level, ["tree", "id"]).select("tree", "leaf", "rank", F.col("up").alias("id"))).checkpoint()
     return paths.join(state.select("tree", "id", "depth"), ["tree", "id"])
 
 
