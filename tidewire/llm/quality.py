@@ -116,7 +116,7 @@ def fit(grade: np.ndarray, features_of: list[np.ndarray], rounds: int = 200) ->
         if 0 < share < 1:
             seen = np.bincount(col[top[row]], minlength=1 << BITS)
             spread = np.sqrt(np.maximum(have * share * (1 - share), 1e-9))
-            use |= (have >= 5) & (np.abs(seen - have * share) / spread > 5.0)
+            use |= (have >= 3) & (np.abs(seen - have * share) / spread > 4.0)
     keep = use[col]
     names, col = np.unique(col[keep], return_inverse=True)
     row = row[keep]
@@ -170,7 +170,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
             f, r = features(raw, off)
             hit = w[f] != 0
             f, r = _distinct(f[hit], r[hit])
-            s = np.bincount(r, weights=w[f], minlength=len(ids))
+            s = np.bincount(r, weights=w[f], minlength=len(ids)).astype(float)
             ge1, ge2 = 1 / (1 + np.exp(np.clip(t0 - s, -40, 40))), 1 / (1 + np.exp(np.clip(t1 - s, -40, 40)))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, s, ge1, ge2, ge1 + ge2)], names=["doc_id", "score", "p_ge_1", "p_ge_2", "expected_grade"])
 
