@@ -17,8 +17,8 @@ shingle).  Documents without words link with nothing.
    share one.  Heavier sets, and light ones that could link with heavier, enter inverted
    lists of the n - t + 1 rarest shingles.  The boundary ``x`` is where the number of subsets
    outgrows the summed length of the lists that would be scanned instead.
-5. *Links.*  The sets of a key are first compared with a leader, in two rounds with
-   different leaders; sets found connected need no further comparison.  What is left, pairs
+5. *Links.*  The sets of a key are first compared with a leader, in three rounds, each set
+   with the leader that it shares most keys with; sets found connected need no further comparison.  What is left, pairs
    of one key that lie in different components, is bounded exhaustively, in blocks, by 1024-bit
    parity maps and compared where these allow a link.  All comparisons
    are exact over whole sets, and no pair that could join two components is left out.
@@ -44,7 +44,7 @@ from tidewire.llm.components import components
 from tidewire.llm.skew import join_on_key
 from tidewire.llm.words import Words, mix, shingle_sets, slices
 
-SHINGLE, PERCENT, SUBSET, ROUNDS = 5, 80, 2, 2
+SHINGLE, PERCENT, SUBSET, ROUNDS = 5, 80, 2, 3
 #: bits of a set's parity map; pairs of a group are bounded in square blocks of BLOCK sets
 BITS, BLOCK = 1024, 1024
 SECOND = np.uint64(0xA0761D6478BD642F)
@@ -285,7 +285,7 @@ def _across(joined: DataFrame, maps: DataFrame) -> DataFrame:
     task meets more than twice that of a key, however many sets have it.  Keys of one block
     are grouped many at a time.
     """
-    slots = X.buckets(joined.sparkSession) * 8
+    slots = X.buckets(joined.sparkSession)
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     slot = F.when(parts > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(slots)))
@@ -327,7 +327,9 @@ def links(sets: DataFrame) -> DataFrame:
         joined = join_on_key(named.drop("size"), mixed, "key", weight="size").checkpoint()
         if number < ROUNDS:
             pairs = joined.filter("component <> lead.component").select(F.col("lead.id").alias("l"), F.col("id").alias("i"), "n", F.col("lead.n").alias("ln"))
-            pairs = pairs.filter(_fits("n", "ln")).select(F.least("l", "i").alias("a"), F.greatest("l", "i").alias("b")).distinct()
+            # each set meets the leader with which it shares most keys
+            pairs = pairs.filter(_fits("n", "ln")).groupBy("i", "l").agg(F.count(F.lit(1)).alias("shared")).groupBy("i").agg(F.max_by("l", F.struct("shared", "l")).alias("l"))
+            pairs = pairs.select(F.least("l", "i").alias("a"), F.greatest("l", "i").alias("b")).distinct()
         else:
             pairs = _across(joined, prefix).distinct()
         pairs = (pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")).checkpoint()
