@@ -25,6 +25,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.llm.components import written
+
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 TURN = r"(?s)<s>(.*?)\[INST\](.*?)\[/INST\]</s>"
 
@@ -52,11 +54,10 @@ def _jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     branch score and whether it reached a root."""
     own = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     there = own.select("tree", F.col("id").alias("parent"), F.lit(True).alias("has"))
-    state = (
+    state = written(
         own.join(there, ["tree", "parent"], "left")
         .select("tree", "id", F.when(F.col("has"), F.col("parent")).alias("up"), F.lit(0).cast("bigint").alias("depth"), "score")
         .withColumn("depth", F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint"))
-        .checkpoint()
     )
     most = own.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     levels = []
@@ -68,10 +69,9 @@ def _jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         if (1 << (len(levels) - 1)) > most:  # only cycles are left
             return levels, state.filter("up IS NULL")
         above = state.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
-        state = (
+        state = written(
             state.join(above, ["tree", "up"], "left")
             .select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
-            .checkpoint()
         )
 
 
@@ -83,7 +83,7 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("id"))))
     paths = ranked.filter(F.col("rank") <= branches).select("tree", F.col("id").alias("leaf"), "rank", "id")
     for level in reversed(levels):  # each round reads the paths twice, so its lineage is cut
-        paths = paths.unionByName(paths.join(level, ["tree", "id"]).select("tree", "leaf", "rank", F.col("up").alias("id"))).checkpoint()
+        paths = written(paths.unionByName(paths.join(level, ["tree", "id"]).select("tree", "leaf", "rank", F.col("up").alias("id"))))
     return paths.join(state.select("tree", "id", "depth"), ["tree", "id"])
 
 

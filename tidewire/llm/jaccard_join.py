@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import exchange as X
-from tidewire.llm.components import components
+from tidewire.llm.components import components, written
 from tidewire.llm.skew import join_on_key
 from tidewire.llm.words import Words, mix, shingle_sets, slices
 
@@ -324,7 +324,7 @@ def links(sets: DataFrame) -> DataFrame:
     for number in range(ROUNDS + 1):
         named = open_keys.withColumn("component", F.col("id")) if labels is None else open_keys.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(number))).alias("lead")).filter("low <> high")
-        joined = join_on_key(named.drop("size"), mixed, "key", weight="size").checkpoint()
+        joined = written(join_on_key(named.drop("size"), mixed, "key", weight="size"))
         if number < ROUNDS:
             pairs = joined.filter("component <> lead.component").select(F.col("lead.id").alias("l"), F.col("id").alias("i"), "n", F.col("lead.n").alias("ln"))
             # each set meets the leader with which it shares most keys
@@ -332,12 +332,12 @@ def links(sets: DataFrame) -> DataFrame:
             pairs = pairs.select(F.least("l", "i").alias("a"), F.greatest("l", "i").alias("b")).distinct()
         else:
             pairs = _across(joined, prefix).distinct()
-        pairs = (pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")).checkpoint()
+        pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             if number >= ROUNDS or joined.isEmpty():
                 break
             continue
-        new = _linked(_plausible(pairs, prefix) if number < ROUNDS else pairs, sets).checkpoint()
+        new = written(_linked(_plausible(pairs, prefix) if number < ROUNDS else pairs, sets))
         found = new if found is None else found.unionByName(new)
         done = pairs if done is None else done.unionByName(pairs)
         labels = components(found)
