@@ -185,23 +185,25 @@ def greedy_dedupe(rows: DataFrame, key: str, rank: str, links: DataFrame) -> Dat
     order = F.struct(F.col(rank), F.col(key))
     names = rows.select(F.col(key).alias("n"), order.alias("o"))
     both = links.select("a", "b").union(links.select("b", "a")).toDF("a", "b").distinct()
-    edges = both.join(names.select(F.col("n").alias("a"), F.col("o").alias("oa")), "a").join(names.select(F.col("n").alias("b"), F.col("o").alias("ob")), "b").checkpoint()
+    edges = both.join(names.select(F.col("n").alias("a"), F.col("o").alias("oa")), "a").join(names.select(F.col("n").alias("b"), F.col("o").alias("ob")), "b")
+    edges = G.written(edges)
     dropped = None
     while not edges.isEmpty():
         best = edges.groupBy("a").agg(F.max("ob").alias("m"), F.first("oa").alias("o")).filter("o > m").select(F.col("a").alias("kept"))
-        gone = edges.join(best, edges["a"] == best["kept"], "left_semi").select(F.col("b").alias("gone")).distinct().checkpoint()
+        gone = G.written(edges.join(best, edges["a"] == best["kept"], "left_semi").select(F.col("b").alias("gone")).distinct())
         dropped = gone if dropped is None else dropped.unionByName(gone)
-        edges = edges.join(gone, edges["a"] == gone["gone"], "left_anti").join(gone, F.col("b") == gone["gone"], "left_anti").checkpoint()
+        edges = G.written(edges.join(gone, edges["a"] == gone["gone"], "left_anti").join(gone, F.col("b") == gone["gone"], "left_anti"))
     return rows if dropped is None else rows.join(dropped.withColumnRenamed("gone", key), key, "left_anti")
 
 
 def roots(merges: DataFrame) -> DataFrame:
     """The root id of each merged event, chains followed to their end: (id, root)."""
     G.use_checkpoints(merges.sparkSession)
-    step = merges.groupBy(F.col("event_b_id").alias("id")).agg(F.min("event_a_id").alias("root")).filter("id <> root").checkpoint()
+    step = merges.groupBy(F.col("event_b_id").alias("id")).agg(F.min("event_a_id").alias("root")).filter("id <> root")
+    step = G.written(step)
     for _ in range(40):  # doubling: chains of up to 2**40 merges; a cycle keeps its smallest label
         up = step.select(F.col("id").alias("root"), F.col("root").alias("higher"))
-        moved = step.join(up, "root", "left").select("id", F.coalesce("higher", "root").alias("next"), "root").checkpoint()
+        moved = G.written(step.join(up, "root", "left").select("id", F.coalesce("higher", "root").alias("next"), "root"))
         if moved.filter("next <> root AND next <> id").isEmpty():
             return step
         step = moved.select("id", F.col("next").alias("root"))
