@@ -36,12 +36,22 @@ def rule_query(name: str, v: str, s: str, sql_v: str, sql_s: str, both: str = "T
     @query(name, "orders", sql=sql(sql_v, sql_s, both))
     def run(orders):
         old, new = loads(orders)
-        return M.merge_upsert(old, new, ["k"], {"v": v, "s": s, "t": "old"}, when=when).drop("t")
+        return M.merge_upsert(old, new, ["k"], {"v": v, "s": s, "t": "old"}, when=when() if when else None).drop("t")
 
 
-DIFFERS = F.col("old.s") != F.col("new.s")
-rule_query("K1_article_upsert", "new", "new", "n.v", "n.s", "o.s <> n.s", DIFFERS)
-rule_query("K2_bulk_merge", "new_or_old", "new", "coalesce(n.v, o.v)", "n.s", "o.s <> n.s", DIFFERS)
+
+
+def differs():
+    return F.col("old.s") != F.col("new.s")
+
+
+def changes():
+    v = F.col("new.v").isNotNull() & ~F.col("new.v").eqNullSafe(F.col("old.v"))
+    return v | ((F.col("new.s") != "") & ~F.col("new.s").eqNullSafe(F.col("old.s")))
+
+
+rule_query("K1_article_upsert", "new", "new", "n.v", "n.s", "o.s <> n.s", differs)
+rule_query("K2_bulk_merge", "new_or_old", "new", "coalesce(n.v, o.v)", "n.s", "o.s <> n.s", differs)
 rule_query("K5_translation_upsert", "new", "new", "n.v", "n.s")
 rule_query("K6_event_upsert", "new", "old", "n.v", "o.s")
 rule_query("K7_observation_upsert", "least", "old_or_new", "least(o.v, n.v)", "coalesce(o.s, n.s)")
@@ -51,7 +61,7 @@ rule_query("K11_observation_history", "greatest", "new", "greatest(o.v, n.v)", "
 rule_query("K12_identity_map", "least", "new_unless_empty", "least(o.v, n.v)", "CASE WHEN n.s IS NULL OR n.s = '' THEN o.s ELSE n.s END")
 rule_query("K14_assignment_evidence", "new_or_old", "new_or_old", "coalesce(n.v, o.v)", "coalesce(n.s, o.s)")
 rule_query("K21_framing_upsert", "new", "new", "n.v", "n.s")
-rule_query("K22_queue_upsert", "new_or_old", "new_unless_empty", "coalesce(n.v, o.v)", "CASE WHEN n.s IS NULL OR n.s = '' THEN o.s ELSE n.s END", "(n.v IS NOT NULL AND n.v IS DISTINCT FROM o.v) OR (n.s <> '' AND n.s IS DISTINCT FROM o.s)", (F.col("new.v").isNotNull() & ~F.col("new.v").eqNullSafe(F.col("old.v"))) | ((F.col("new.s") != "") & ~F.col("new.s").eqNullSafe(F.col("old.s"))))
+rule_query("K22_queue_upsert", "new_or_old", "new_unless_empty", "coalesce(n.v, o.v)", "CASE WHEN n.s IS NULL OR n.s = '' THEN o.s ELSE n.s END", "(n.v IS NOT NULL AND n.v IS DISTINCT FROM o.v) OR (n.s <> '' AND n.s IS DISTINCT FROM o.s)", changes)
 rule_query("K24_registry_upsert", "new", "new_or_old", "n.v", "coalesce(n.s, o.s)")
 rule_query("K25_official_upsert", "new", "new", "n.v", "n.s")
 rule_query("K26_prediction_upsert", "old", "new", "o.v", "n.s")
