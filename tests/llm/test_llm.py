@@ -238,6 +238,16 @@ def test_classes_share_occurrence_vectors(spark):
     assert by["html/body/article"] == by["html/body/nav"] == by["html/body/footer"] and by["html/body/article/p"] != by["html/body/article"]
 
 
+UNNAMED = """<html><body><div class="k1"><p>Start</p><p>Shop</p></div><div class="k2"><p>Seen %d times</p></div><form><div class="widget">
+<h2>Title %d</h2><p>Long varying text number %d of the page.</p><p>More of it, %d.</p><div class="k8">Always here</div></div></form><div class="k3">A fixed notice that is longer than all the varying text of any page of this host, so that length alone would choose it over the article.</div></body></html>"""
+
+
+def test_html_slot_comes_from_classes_not_names(spark):
+    rows = [(i, f"http://n.example/{i}", UNNAMED % (i, i, i, i)) for i in range(5)] + [(9, "http://n.example/0", UNNAMED % (0, 0, 0, 0))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"Title {i % 9}\nLong varying text number {i % 9} of the page.\nMore of it, {i % 9}." for i in (0, 1, 2, 3, 4, 9)}
+
+
 def test_classifier_on_held_out_labels(spark, sf):
     big = sf.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")

@@ -1,23 +1,28 @@
 """Main-text extraction by equivalence classes of template tokens.
 
 Pages of one host come from one template.  A *token* of a page is an element path
-(``html/body/article``), the class and id of the last element included.
+(``html/body/article``), the class and id of the last element included, or a block of text
+at its path.
 
 1. *Occurrence vectors.*  For each (host, token) the vector of its counts over the pages
    of the host is folded into a fingerprint, the sum over pages of
    ``hash(page, count)``: a distributed aggregate that is combined before the shuffle, so
-   a host may hold any share of all pages.  All pages count.
-2. *Equivalence classes.*  Tokens of a host with the same fingerprint form a class.  A
-   class is valid when its tokens nest: each token's parent path is in the class itself or
-   in a class that occurs on at least as many pages.  The valid class that occurs once on
-   most pages and has the longest text below it is the skeleton of the template.
-3. *Template and slots.*  The nested valid classes make the template tree.  Each container
-   in it is a slot with the text below it; the slot that carries the article is chosen by
-   its element (article, main, or a content-like name), then by the text it holds over all
-   pages, leaving out slots of menus, headers, footers, sidebars, notices, adverts, forms
-   and comments.
+   a host may hold any share of all pages.  All pages count; exact copies of a page are one.
+2. *Equivalence classes.*  Tokens of a host with the same fingerprint form a class.
+   Template tokens occur once on each of at least LEAST pages.  An element is a template
+   container; a text is template text where an element of its own class encloses it.
+3. *Template and slots.*  Containers on most pages of the host make the template tree.
+   What varies below a container is its text without template text.  From the root down,
+   the container with over half of what varies is taken, until none has so much, or only
+   headings would be left outside.  Names are no condition: text below a name of menus,
+   headers, footers, sidebars, notices, adverts, forms or comments weighs a quarter, no
+   container without a telling name is taken below one that has it, and where no container
+   holds most, a telling name decides.
 4. *Extraction.*  Each page yields the blocks inside the chosen slot, without those in
-   excluded slots below it.
+   named junk below the slot and those in containers below it where nothing varies.
+
+Text tokens are whole blocks, so fixed words in a block that varies stay.  Hosts of fewer
+than LEAST different pages have no template; their pages fall back as below.
 
 White space inside a block becomes one space, blocks join by a line feed, character
 references are decoded.  Null html counts as empty; a page without the host's slot falls
@@ -27,6 +32,7 @@ give a row; a null url is a host of its own; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import defaultdict
@@ -46,6 +52,9 @@ DROPPED = RAW | frozenset("nav header footer aside form button select option men
 P_CLOSERS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd".split())
 SELF_CLOSERS = frozenset("li dt dd tr td th option".split())
 MAIN = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = HEADINGS | frozenset("p li dt dd tr td th pre blockquote figcaption caption".split())
+LEAST = 3  # pages on which a template token occurs
 CONTENT_NAME = re.compile(r"(?:^|[-_\s.#])(?:article|content|entry|post|story|main|body|text)(?:$|[-_\s.#])", re.I)
 JUNK_NAME = re.compile(
     r"(?:^|[-_\s.#])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|comments?|respond|replies|disqus|sidebar\w*|menu\w*|nav\w*|breadcrumbs?|header|footer|masthead|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter\w*|subscribe\w*|signup|login|social|share\w*|sharing|related|recommend\w*|widget\w*|pagination|pager|toolbar|copyright|legal)(?:$|[-_\s.#])",
@@ -152,78 +161,142 @@ def _containers(path: str) -> list[str]:
     return ["/".join(steps[: k + 1]) for k in range(len(steps))]
 
 
+def _mark(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) or 1
+
+
+def _weights(path: str, chars: int) -> tuple[int, int]:
+    """What a text counts for: outside headings, and in them."""
+    steps = path.split("/")
+    weight = chars * (1 if any(map(excluded, steps)) else 4)
+    return (0, weight) if any(x.partition(".")[0] in HEADINGS for x in steps) else (weight, 0)
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, page key, count, characters of article-like text below) for each page."""
+    """(host, path, mark, page key, count, characters) for each page; mark is 0 for an element, else the hash of a text block."""
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for host, key, page in zip(frame["host"], frame["page_key"], frame["html"], strict=True):
                 paths, found = blocks(page)
-                count: dict[str, int] = defaultdict(int)
-                below: dict[str, int] = defaultdict(int)
+                count: dict[tuple[str, int], int] = defaultdict(int)
+                chars: dict[tuple[str, int], int] = defaultdict(int)
                 for p in paths:
-                    count[p] += 1
+                    count[p, 0] += 1
                 for p, text in found:
-                    if rank(p) >= 0:
-                        for c in _containers(p):
-                            below[c] += len(text)
-                rows += [(host, p, key, c, below.get(p, 0)) for p, c in count.items()]
-            yield pd.DataFrame(rows, columns=["host", "token", "page_key", "n", "below"])
+                    at = (p, _mark(text))
+                    count[at] += 1
+                    chars[at] += len(text)
+                rows += [(host, *at, key, c, chars.get(at, 0)) for at, c in count.items()]
+            yield pd.DataFrame(rows, columns=["host", "path", "mark", "page_key", "n", "chars"])
 
-    return pages.select("host", "page_key", "html").mapInPandas(tokens, "host string, token string, page_key bigint, n bigint, below bigint")
+    return pages.select("host", "page_key", "html").mapInPandas(tokens, "host string, path string, mark bigint, page_key bigint, n bigint, chars bigint")
 
 
 def equivalence_classes(pages: DataFrame) -> DataFrame:
-    """(host, token, class, support, once, below, valid): token classes of equal occurrence vectors."""
-    vec = page_tokens(pages).groupBy("host", "token").agg(
+    """(host, token, path, mark, class, support, once, chars): token classes of equal occurrence vectors; tokens of under LEAST pages are one row for each path, without a class."""
+    token = ["host", "path", "mark"]
+    each = page_tokens(pages).groupBy(*token, "page_key").agg(F.max("n").alias("n"), F.max("chars").alias("chars"))
+    vec = each.groupBy(*token).agg(
         # the sum is taken modulo a power of ten, so that it can't overflow
         (F.sum(F.pmod(F.xxhash64("page_key", "n"), F.lit(1_000_000_000_000)).cast("decimal(38,0)")) % F.lit(10**15)).cast("bigint").alias("class"),
-        F.count(F.lit(1)).alias("support"), F.count_if(F.col("n") == 1).alias("once"), F.sum("below").alias("below"),
+        F.count(F.lit(1)).alias("support"), F.count_if(F.col("n") == 1).alias("once"), F.sum("chars").alias("chars"),
     )
-    parent = vec.select("host", F.col("token").alias("parent"), F.col("support").alias("parent_support"))
-    vec = vec.withColumn("parent", F.regexp_replace("token", "/?[^/]*$", "")).join(parent, ["host", "parent"], "left")
-    nests = F.coalesce(F.col("parent_support") >= F.col("support"), F.col("parent") == "")
-    return vec.withColumn("nests", nests).select("host", "token", "class", "support", "once", "below", "nests")
+    often = F.col("support") >= LEAST
+    kept = [F.when(often, F.col(c)).alias(c) for c in ("mark", "class", "support", "once")]
+    vec = vec.select("host", "path", *kept, "chars").groupBy("host", "path", "mark", "class", "support", "once").agg(F.sum("chars").alias("chars"))
+    name = F.when(F.col("mark") == 0, F.col("path")).otherwise(F.concat_ws("\t", "path", F.coalesce(F.col("mark").cast("string"), F.lit(""))))
+    return vec.select("host", name.alias("token"), "path", "mark", "class", "support", "once", "chars")
+
+
+def choose(below: dict[str, tuple[int, int]]) -> str:
+    """The container that holds the article, from the weights of the text below each ("" is the root)."""
+    at = ""
+    while True:
+        kids = [c for c in below if c != at and (not at or c.startswith(at + "/"))]
+        most = [c for c in kids if 2 * sum(below[c]) > sum(below[at])]
+        named = rank(at) if at else 0
+        if most:
+            kid = min(most, key=len)
+            if named > 0 and max(map(rank, most)) <= named:
+                return at
+            if below[kid][0] == below[at][0] and below[kid][1] < below[at][1]:
+                return at
+        else:
+            kids = [c for c in kids if rank(c) > 0 and sum(below[c])] if named <= 0 else []
+            if not kids:
+                return at
+            kid = max(kids, key=lambda c: (rank(c), sum(below[c]), len(c), c))
+        at = kid
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot, pages): the article slot of each host's template."""
-    classes = equivalence_classes(pages)
-    valid = classes.groupBy("host", "class").agg(F.every("nests").alias("valid"))
-    kind = F.udf(rank, "int")
-    slots = classes.join(valid.filter("valid").select("host", "class"), ["host", "class"], "left_semi").withColumn("kind", kind("token")).filter("kind >= 0 AND below > 0")
-    best = F.max(F.struct(F.when(F.col("kind") > 0, 1).otherwise(0).alias("named"), (F.col("kind") * F.col("below")).alias("weight"), "below", F.length("token").alias("depth"), "token")).alias("best")
+    """(host, slot, fixed, pages): the article slot of each host's template, and the containers below it where nothing varies, by line feeds."""
+    classes = equivalence_classes(pages).checkpoint()
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return sizes.join(slots.groupBy("host").agg(best), "host", "left").select("host", F.coalesce("best.token", F.lit("")).alias("slot"), "pages")
+    different = pages.select("host", "page_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("different"))
+    once = classes.filter("support = once")
+    element = once.filter("mark = 0")
+    around = element.groupBy("host", "class").agg(F.collect_set("path").alias("around"))
+    encloses = F.exists("around", lambda p: (F.col("path") == p) | F.startswith("path", F.concat(p, F.lit("/"))))
+    fixed = once.filter("mark <> 0").join(around, ["host", "class"]).filter(encloses).select("host", "path", (-F.col("chars")).alias("varies"))
+    texts = classes.filter("mark IS NULL OR mark <> 0").select("host", "path", F.col("chars").alias("varies"))
+    texts = texts.unionByName(fixed).groupBy("host", "path").agg(F.sum("varies").alias("varies")).filter("varies > 0")
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(h, c, *_weights(p, n)) for h, p, n in zip(frame["host"], frame["path"], frame["varies"], strict=True) for c in ("", *_containers(p))]
+            yield pd.DataFrame(rows, columns=["host", "path", "weight", "heads"])
+
+    below = texts.mapInPandas(spread, "host string, path string, weight bigint, heads bigint").groupBy("host", "path").agg(F.sum("weight").alias("weight"), F.sum("heads").alias("heads"))
+    tree = element.join(different, "host").filter("2 * support > different").select("host", "path")
+    tree = tree.unionByName(different.select("host", F.lit("").alias("path")))
+    held = tree.join(below, ["host", "path"], "left").fillna(0, ["weight", "heads"])
+
+    def pick(rows) -> tuple[str, str]:
+        found = {r["path"]: (r["weight"], r["heads"]) for r in rows}
+        slot = choose(found)
+        same = [c for c, w in found.items() if slot and c.startswith(slot + "/") and not sum(w) and c.split("/")[-1].partition(".")[0] not in LEAVES]
+        return slot, "\n".join(sorted(same))
+
+    best = held.groupBy("host").agg(F.collect_list(F.struct("path", "weight", "heads")).alias("rows"))
+    best = best.withColumn("best", F.udf(pick, "slot string, fixed string")("rows"))
+    return sizes.join(best, "host", "left").select("host", F.coalesce("best.slot", F.lit("")).alias("slot"), F.coalesce("best.fixed", F.lit("")).alias("fixed"), "pages")
 
 
-def main_text(page: str, slot: str) -> str:
+def main_text(page: str, slot: str, fixed: str = "") -> str:
     """Blocks of the slot, or of the page's own best slot where the host's is missing."""
-    _, found = blocks(page)
-    good = [(p, t) for p, t in found if rank(p) >= 0]
-    inside = [t for p, t in good if p == slot or p.startswith(slot + "/")] if slot else []
-    if not inside and good:
-        below: dict[str, int] = defaultdict(int)
-        for p, t in good:
-            for c in _containers(p) or [""]:
-                below[c] += len(t)
-        own = max(below, key=lambda c: ((rank(c) if c else 0) > 0, (rank(c) if c else 0) * below[c], below[c], len(c), c))
-        inside = [t for p, t in good if p == own or not own or p.startswith(own + "/")]
-    return "\n".join(inside)
+    paths, found = blocks(page)
+    if not slot or slot not in paths:
+        count: dict[str, int] = defaultdict(int)
+        for p in paths:
+            count[p] += 1
+        below: dict[str, tuple[int, int]] = {c: (0, 0) for c in ("", *(p for p, n in count.items() if n == 1))}
+        for p, t in found:
+            w, h = _weights(p, len(t))
+            for c in ("", *_containers(p)):
+                if c in below:
+                    below[c] = (below[c][0] + w, below[c][1] + h)
+        slot, fixed = choose(below), ""
+    same = tuple(fixed.split("\n")) if fixed else ()
+    inside = [(p, t) for p, t in found if not slot or p == slot or p.startswith(slot + "/")]
+    inside = [(p, t) for p, t in inside if not any(p == c or p.startswith(c + "/") for c in same)]
+    named = [(p, t) for p, t in inside if not any(map(excluded, p[len(slot) :].strip("/").split("/")))]
+    return "\n".join(t for _, t in named or inside)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    keyed = rows.withColumn("page_key", F.xxhash64("page_id", "url"))
+    keyed = rows.withColumn("page_key", F.xxhash64("html"))
     joined = join_on_key(rows, templates(keyed).checkpoint(), "host", weight="pages")
 
     def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame["text"] = [main_text(p, s) for p, s in zip(frame["html"], frame["slot"], strict=True)]
+            frame["text"] = [main_text(p, s, x) for p, s, x in zip(frame["html"], frame["slot"], frame["fixed"], strict=True)]
             frame["n_chars"] = frame["text"].map(len)
             yield frame[["page_id", "url", "text", "n_chars"]]
 
-    return joined.select("page_id", "url", "html", "slot").mapInPandas(texts, "page_id bigint, url string, text string, n_chars bigint")
+    return joined.select("page_id", "url", "html", "slot", "fixed").mapInPandas(texts, "page_id bigint, url string, text string, n_chars bigint")
