@@ -275,6 +275,41 @@ def test_language_model_on_odd_rows(docs, texts, none):
     assert all((r.log_prob < 0) == (r.n_words > 0) for r in got.values()) and masked_lm.score(none).count() == 0
 
 
+def test_language_model_grows_with_the_corpus(spark):
+    rows = [(i, " ".join(f"v{(7 * i + k) % 70000}" for k in range(7))) for i in range(0, 10000)]
+    counts = masked_lm.word_counts(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert counts.count() == 70000 - len(set(range(70000)) - {int(w[1:]) for _, t in rows for w in t.split()})
+    assert masked_lm.sizes(10**8)[0] > masked_lm.sizes(10**6)[0] and masked_lm.sizes(10**8)[1] > masked_lm.sizes(10**6)[1]
+
+
+def test_language_model_masks_every_position_once():
+    place = np.arange(5, 105)
+    for rounds in (1, 2, 3, 16):
+        seen = np.concatenate([masked_lm.masked(place, k, rounds) for k in range(rounds)])
+        assert sorted(seen) == list(range(100))
+
+
+def test_untrained_word_probabilities_come_from_exact_counts(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "KNOWN", 50)
+    monkeypatch.setattr(masked_lm, "start", lambda shapes: np.zeros(masked_lm.size_of(shapes), np.float32))
+    rows = [(i, " ".join(f"x{j}" for j in range(400) if i % (j % 9 + 1) == 0)) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (None, "x0"), (None, "x0")], "doc_id bigint, text string")
+    vocabulary = masked_lm.vocabulary_of(masked_lm.word_counts(docs))
+    count = {r.word: r.n for r in masked_lm.word_counts(docs).collect()}
+    _, cls, _ = vocabulary.look(np.array(list(count), np.int64))
+    total = defaultdict(int)
+    for k, n in zip(cls, count.values(), strict=True):
+        total[k] += n
+    share = {w: np.log(n / total[k]) - np.log(vocabulary.classes) for (w, n), k in zip(count.items(), cls, strict=True)}
+    got = masked_lm.score(docs, rounds=0).collect()
+    assert len(got) == 62
+    text = dict(rows)
+    for r in got:
+        raw = text.get(r.doc_id, "x0").encode()
+        w = masked_lm.words_of(masked_lm.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), lower=True))
+        assert abs(r.log_prob - sum(share[x] for x in w)) < 1e-3 * max(1, len(w))
+
+
 def test_gradient_is_the_difference_quotient():
     rng = np.random.default_rng(0)
     flat = masked_lm.start().astype(np.float64)

@@ -1,21 +1,24 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
 Every word is predicted from the two words before and the two after it.  Words are
-lower-cased and hashed to VOCABULARY buckets.  The buckets' counts over all documents
-order them: the most frequent have an output class and an input embedding of their own,
-the others share CLASSES - OWN hashed classes and one embedding; inside a class a bucket
-has its share of the class's count.  So
+lower-cased and known by a 64-bit hash.  Their counts over all documents are a Spark table
+with one row for each distinct word.  The number of distinct words sets the number of
+classes and of input embeddings, both with its square root.  The most frequent words have
+an output class and an input embedding of their own; the others are dealt to the remaining
+classes and embeddings by hash.  Inside a class a word has its share of the class's count:
 
     log P(word | both sides) = log P(class | both sides) + log(count / count of class)
 
 with P(class | both sides) a softmax over a tanh layer that sums one embedding for each
 of the four places.  A document's score is the sum over all its words, whole text.
+Counts of at most KNOWN frequent words are broadcast; all others are joined to the words
+of the documents by a shuffle.
 
-Training masks one position in MASK of every document, the offset moving with each round.
-Each task trains a copy of the weights on its partition in numpy; copies are averaged,
-weighted by masked positions, in two levels of grouping, so no task meets more than the
-square root of their number.  Only the averaged weights and the counts, both of fixed
-size, go to the driver and are broadcast.
+Training masks positions by offset modulo MASK, each round its share of the offsets, so
+that every position of every document is a target once.  Each task trains a copy of the
+weights on its partition in numpy; copies are averaged, weighted by masked positions, in
+two levels of grouping, so no task meets more than the square root of their number.  Only
+the averaged weights and the frequent words go to the driver and are broadcast.
 
 A document without words scores 0 over 0 words; null text counts as empty; repeated rows
 are scored one by one; an empty table trains on nothing.  Extra columns are not read.
@@ -34,53 +37,103 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.words import Words, slices
 
-BITS = 16
-VOCABULARY = 1 << BITS
+KNOWN, SLOT_BITS, HELD = 1 << 16, 20, 1 << 21
+# sizes for a small corpus, and the least for any
 INPUTS, CLASSES, OWN, WIDTH = 2048, 128, 96, 24
 PLACES = (-2, -1, 1, 2)
 MASK, ROUNDS, BATCH, RATE = 16, 2, 1024, 0.15
 CHUNK = 8192
-SCORED = "doc_id bigint, n_words bigint, log_prob double, mean_log_prob double"
+NAMES = ["row", "word", "doc_id", "n_words", "log_prob"]
 
-SHAPES = {"embed": (len(PLACES), INPUTS, WIDTH), "bias": (WIDTH,), "out": (WIDTH, CLASSES), "out_bias": (CLASSES,)}
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
-def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+def shapes_of(inputs: int, classes: int) -> dict[str, tuple[int, ...]]:
+    return {"embed": (len(PLACES), inputs, WIDTH), "bias": (WIDTH,), "out": (WIDTH, classes), "out_bias": (classes,)}
+
+
+def size_of(shapes: dict[str, tuple[int, ...]]) -> int:
+    return sum(int(np.prod(s)) for s in shapes.values())
+
+
+SHAPES = shapes_of(INPUTS, CLASSES)
+
+
+def sizes(distinct: int) -> tuple[int, int]:
+    """Numbers of input embeddings and of classes for a corpus of so many distinct words."""
+    root = distinct**0.5
+    return max(INPUTS, 256 * int(root / 128)), max(CLASSES, 16 * int(root / 192))
+
+
+def views(flat: np.ndarray, shapes: dict[str, tuple[int, ...]] = SHAPES) -> dict[str, np.ndarray]:
     at, found = 0, {}
-    for name, shape in SHAPES.items():
+    for name, shape in shapes.items():
         n = int(np.prod(shape))
         found[name] = flat[at : at + n].reshape(shape)
         at += n
     return found
 
 
-def start() -> np.ndarray:
-    return np.random.default_rng(7).normal(0, 0.1, SIZE).astype(np.float32)
+def start(shapes: dict[str, tuple[int, ...]] = SHAPES) -> np.ndarray:
+    return np.random.default_rng(7).normal(0, 0.1, size_of(shapes)).astype(np.float32)
 
 
 class Vocabulary:
-    """Input, class and share of each bucket, from the counts of all documents."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        order = np.lexsort((np.arange(VOCABULARY), -counts))
-        place = np.empty(VOCABULARY, np.int64)
-        place[order] = np.arange(VOCABULARY)
-        self.input = np.minimum(place, INPUTS - 2).astype(np.int32)
-        self.cls = np.where(place < OWN, place, OWN + place % (CLASSES - OWN)).astype(np.int32)
-        smooth = counts + 1.0
-        total = np.bincount(self.cls, weights=smooth, minlength=CLASSES)
-        self.log_share = np.log(smooth / total[self.cls]).astype(np.float32)
-
-
-def buckets_of(w: Words) -> np.ndarray:
-    return (w.hash >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def contexts(inputs: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Input ids at the four places around each position; INPUTS - 1 beyond a document's ends."""
+    """Input and class of each word, and the logarithm of its share as far as its count is known here."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, distinct: int) -> None:
+        self.inputs, self.classes = sizes(distinct)
+        self.own = self.classes * OWN // CLASSES
+        order = np.lexsort((words, -counts))
+        words, counts = words[order], counts[order]
+        # a word whose slot is taken by a more frequent one is not known
+        _, first = np.unique(slot_of(words), return_index=True)
+        first.sort()
+        self.words, self.counts = words[first], counts[first].astype(float)
+        self.slot = np.full(1 << SLOT_BITS, len(self.words), np.int32)
+        self.slot[slot_of(self.words)] = np.arange(len(self.words), dtype=np.int32)
+        self.log_count = np.log(np.append(self.counts, 1.0)).astype(np.float32)
+        self.log_total = np.zeros(self.classes, np.float32)
+
+    def dealt(self, words: np.ndarray) -> np.ndarray:
+        """Class by hash, of words without their own."""
+        return self.own + words % (self.classes - self.own)
+
+    def set_totals(self, total: np.ndarray) -> None:
+        """total: by class dealt by hash, the count of all words."""
+        own, counts = self.words[: self.own], self.counts[: self.own]
+        total = total - np.bincount(self.dealt(own), weights=counts, minlength=self.classes)
+        total[: len(own)] = counts
+        self.log_total = np.log(np.maximum(total, 1.0)).astype(np.float32)
+
+    def look(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Input, class and place of each word; the place of a word that is not known is their number."""
+        place = self.slot[slot_of(words)]
+        miss = np.append(self.words, 0)[place] != words
+        place[miss] = len(self.words)
+        known = len(self.words)
+        cls = np.where((place < self.own) & (place < known), place, self.dealt(words)).astype(np.int32)
+        held = (self.inputs - 1) * 3 // 4
+        ids = np.where((place < held) & (place < known), place, held + words % (self.inputs - 1 - held)).astype(np.int32)
+        return ids, cls, place
+
+
+def slot_of(words: np.ndarray) -> np.ndarray:
+    return (words.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def words_of(w: Words) -> np.ndarray:
+    return w.hash.view(np.int64)
+
+
+def masked(place: np.ndarray, number: int, rounds: int) -> np.ndarray:
+    """Positions that round ``number`` masks: over all rounds, each one once."""
+    return np.flatnonzero(place % MASK % min(rounds, MASK) == number)
+
+
+def contexts(inputs: np.ndarray, doc: np.ndarray, at: np.ndarray, beyond: int = INPUTS - 1) -> np.ndarray:
+    """Input ids at the four places around each position; ``beyond`` past a document's ends."""
     n = len(inputs)
-    found = np.full((len(at), len(PLACES)), INPUTS - 1, np.int32)
+    found = np.full((len(at), len(PLACES)), beyond, np.int32)
     for k, p in enumerate(PLACES):
         q = at + p
         ok = (q >= 0) & (q < n)
@@ -119,42 +172,73 @@ def step(model: dict[str, np.ndarray], seen: dict[str, np.ndarray], ctx: np.ndar
         model["embed"][k][ids] -= RATE * g / np.sqrt(seen["embed"][k][ids] + 1e-6)
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Count of each bucket over all words of all documents."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): count of each distinct word over all words of all documents."""
+
+    def merged(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        w, n = np.concatenate(words), np.concatenate(counts)
+        order = np.argsort(w, kind="stable")
+        w, n = w[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
+        return w[first], np.add.reduceat(n, first) if len(w) else n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(VOCABULARY, np.int64)
+        words, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for _, raw, off in slices(batches):
-            total += np.bincount(buckets_of(Words(raw, off, lower=True)), minlength=VOCABULARY)
-        have = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(have), pa.array(total[have])], names=["bucket", "n"])
-
-    found = docs.select("doc_id", "text").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(VOCABULARY)
-    counts[found["bucket"].to_numpy(int)] = found["n"]
-    return counts
-
-
-def train_round(docs: DataFrame, vocabulary, weights, number: int) -> np.ndarray | None:
+            w, n = np.unique(words_of(Words(raw, off, lower=True)), return_counts=True)
+            words.append(w)
+            counts.append(n)
+            if sum(map(len, words)) > HELD:
+                w, n = merged(words, counts)
+                if len(w) > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], names=["word", "n"])
+                    w, n = w[:0], n[:0]
+                words, counts = [w], [n]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(words, counts)], names=["word", "n"])
+
+    return docs.select("doc_id", "text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary_of(counts: DataFrame) -> Vocabulary:
+    """The vocabulary sized by the counts; at most KNOWN frequent words come to the driver."""
+    grade = F.floor(F.log2("n") * 16)
+    by = counts.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("grade")).collect()
+    distinct, held, least = sum(r.words for r in by), 0, None
+    for r in by:
+        held += r.words
+        if held > KNOWN:
+            break
+        least = r.grade
+    known = counts.filter(grade >= least if least is not None else F.lit(False)).toPandas()
+    v = Vocabulary(known["word"].to_numpy(np.int64), known["n"].to_numpy(np.int64), distinct)
+    rest = F.pmod(F.col("word"), F.lit(v.classes - v.own))
+    total = np.zeros(v.classes)
+    for r in counts.groupBy(rest.alias("k")).agg(F.sum("n").alias("n")).collect():
+        total[v.own + r.k] = r.n
+    v.set_totals(total)
+    return v
+
+
+def train_round(docs: DataFrame, vocabulary, weights, number: int, rounds: int = ROUNDS) -> np.ndarray | None:
     """Averaged weights after each task has trained on its partition's masked positions."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, flat = vocabulary.value, weights.value.copy()
-        model, seen = views(flat), views(np.zeros(SIZE, np.float32))
+        shapes = shapes_of(v.inputs, v.classes)
+        model, seen, size = views(flat, shapes), views(np.zeros(len(flat), np.float32), shapes), len(flat)
         n = 0
         for ids, raw, off in slices(batches):
             w = Words(raw, off, lower=True)
-            b = buckets_of(w)
-            place = np.arange(len(b)) - w.at[w.doc] + ids[w.doc] % MASK
-            at = np.flatnonzero(place % MASK == number % MASK)
+            b, cls, _ = v.look(words_of(w))
+            at = masked(np.arange(len(b)) - w.at[w.doc] + ids[w.doc] % MASK, number, rounds)
             at = np.random.default_rng(n).permutation(at)
-            ctx, target = contexts(v.input[b], w.doc, at), v.cls[b[at]]
+            ctx, target = contexts(b, w.doc, at, v.inputs - 1), cls[at]
             for k in range(0, len(at), BATCH):
                 step(model, seen, ctx[k : k + BATCH], target[k : k + BATCH])
             n += len(at)
         if n:
             part = TaskContext.get().partitionId()
-            cut = range(0, SIZE, CHUNK)
+            cut = range(0, size, CHUNK)
             cols = [pa.array([k // CHUNK for k in cut], pa.int32()), pa.array([part] * len(cut), pa.int32()), pa.array([float(n)] * len(cut)), pa.array([(flat[k : k + CHUNK] * np.float32(1)).tobytes() for k in cut], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["chunk", "part", "n", "weights"])
 
@@ -170,38 +254,52 @@ def train_round(docs: DataFrame, vocabulary, weights, number: int) -> np.ndarray
     return np.frombuffer(b"".join(r["weights"] for r in found), np.float32).copy() if found else None
 
 
-def log_probs(model: dict[str, np.ndarray], v: Vocabulary, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Conditional log-probability of each word given both sides."""
-    found = np.empty(len(b), np.float32)
-    inputs = v.input[b]
-    for k in range(0, len(b), 16384):
-        at = np.arange(k, min(k + 16384, len(b)))
-        z = hidden(model, contexts(inputs, doc, at)) @ model["out"]
+def log_probs(model: dict[str, np.ndarray], v: Vocabulary, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Conditional log-probability of each word given both sides, and the positions of words whose log(count) is still to be added."""
+    found = np.empty(len(words), np.float32)
+    inputs, cls, place = v.look(words)
+    share = v.log_count[place] - v.log_total[cls]
+    for k in range(0, len(words), 16384):
+        at = np.arange(k, min(k + 16384, len(words)))
+        z = hidden(model, contexts(inputs, doc, at, v.inputs - 1)) @ model["out"]
         z += model["out_bias"]
-        own = z[np.arange(len(at)), v.cls[b[at]]]
+        own = z[np.arange(len(at)), cls[at]]
         np.exp(z, out=z)  # scores stay far below overflow: tanh units and trained weights are small
-        found[at] = own - np.log(z.sum(axis=1)) + v.log_share[b[at]]
-    return found
+        found[at] = own - np.log(z.sum(axis=1)) + share[at]
+    return found, np.flatnonzero(place == len(v.words))
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Per row: doc_id, n_words, log_prob, mean_log_prob."""
     sc = docs.sparkSession.sparkContext
-    vocabulary = sc.broadcast(Vocabulary(word_counts(docs)))
-    flat = start()
+    counts = word_counts(docs).checkpoint()
+    known = vocabulary_of(counts)
+    vocabulary = sc.broadcast(known)
+    flat = start(shapes_of(known.inputs, known.classes))
     for number in range(rounds):
         weights = sc.broadcast(flat)
-        trained = train_round(docs, vocabulary, weights, number)
+        trained = train_round(docs, vocabulary, weights, number, rounds)
         flat = flat if trained is None else trained
     weights = sc.broadcast(flat)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, v = views(weights.value), vocabulary.value
+        v = vocabulary.value
+        model = views(weights.value, shapes_of(v.inputs, v.classes))
+        first = TaskContext.get().partitionId() << 40
         for ids, raw, off in slices(batches):
             w = Words(raw, off, lower=True)
-            p = log_probs(model, v, buckets_of(w), w.doc)
-            n = np.diff(w.at)
+            words = words_of(w)
+            p, rare = log_probs(model, v, words, w.doc)
             total = np.bincount(w.doc, weights=p, minlength=len(ids)).astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, n, total, total / np.maximum(n, 1))], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return docs.select("doc_id", "text").mapInArrow(rate, SCORED)
+            row, none = first + np.arange(len(ids)), pa.nulls(len(rare), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(ids), pa.int64()), pa.array(ids), pa.array(np.diff(w.at)), pa.array(total)], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(row[w.doc[rare]]), pa.array(words[rare]), none, none, pa.nulls(len(rare), pa.float64())], names=NAMES)
+            first += len(ids)
+
+    rated = docs.select("doc_id", "text").mapInArrow(rate, "row bigint, word bigint, doc_id bigint, n_words bigint, log_prob double")
+    # a document's own row meets no word: it keeps its place by its row number
+    rated = rated.withColumn("key", F.coalesce("word", F.xxhash64("row")))
+    found = rated.join(counts.select(F.col("word").alias("key"), "n"), "key", "left")
+    added = F.when(F.col("word").isNull(), F.col("log_prob")).otherwise(F.log("n"))
+    found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(added).alias("log_prob"))
+    return found.select("doc_id", "n_words", "log_prob", (F.col("log_prob") / F.greatest("n_words", F.lit(1))).alias("mean_log_prob"))
