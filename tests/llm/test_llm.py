@@ -238,6 +238,13 @@ def test_classes_share_occurrence_vectors(spark):
     assert by["html/body/article"] == by["html/body/nav"] == by["html/body/footer"] and by["html/body/article/p"] != by["html/body/article"]
 
 
+def test_conversation_without_an_id_is_kept(spark):
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "yes"), (1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r.tree: (r.n_turns, r.formatted) for r in chat_format.format_trees(chat_format.turns_as_tree(turns)).collect()}
+    assert set(got) == {None, 1} and got[None] == (2, "<s>user[INST]hi[/INST]</s>\n<s>assistant[INST]yes[/INST]</s>\n")
+
+
 UNNAMED = """<html><body><div class="k1"><p>Start</p><p>Shop</p></div><div class="k2"><p>Seen %d times</p></div><form><div class="widget">
 <h2>Title %d</h2><p>Long varying text number %d of the page.</p><p>More of it, %d.</p><div class="k8">Always here</div></div></form><div class="k3">A fixed notice that is longer than all the varying text of any page of this host, so that length alone would choose it over the article.</div></body></html>"""
 

@@ -75,8 +75,21 @@ def _jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         )
 
 
+def _keyed(messages: DataFrame) -> DataFrame:
+    """The tree in a struct: joins match structs whose field is null, so a null tree is one like any other."""
+    return messages.withColumn("tree", F.struct(F.col("tree").alias("of")))
+
+
+def _unkeyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tree", F.col("tree")["of"])
+
+
 def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, rank, id, depth) rows of the ``branches`` best root-to-leaf paths of each tree."""
+    return _unkeyed(_paths(_keyed(messages), branches))
+
+
+def _paths(messages: DataFrame, branches: int) -> DataFrame:
     levels, state = _jumps(messages)
     parents = messages.select("tree", F.col("parent").alias("id")).filter("id IS NOT NULL").distinct()
     leaves = state.join(parents, ["tree", "id"], "left_anti")
@@ -89,7 +102,8 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     """One row per chosen path: tree, leaf, rank, n_turns, formatted, loss_spans."""
-    paths = chosen_paths(messages, branches)
+    messages = _keyed(messages)
+    paths = _paths(messages, branches)
     turns = paths.join(messages.select("tree", "id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["tree", "id"])
     head = F.concat(F.lit("<s>"), escape(F.col("role")), F.lit("[INST]"))
     turns = turns.select("tree", "leaf", "rank", F.struct("depth", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("loss")).alias("turn"))
@@ -104,7 +118,7 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
         ),
     )
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(tail))), "")
-    return convs.select("tree", "leaf", "rank", F.size("turns").cast("bigint").alias("n_turns"), text.alias("formatted"), ends["spans"].alias("loss_spans"))
+    return _unkeyed(convs).select("tree", "leaf", "rank", F.size("turns").cast("bigint").alias("n_turns"), text.alias("formatted"), ends["spans"].alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
