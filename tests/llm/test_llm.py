@@ -153,11 +153,29 @@ def test_exact_dedup_of_repeated_rows(spark):
     assert exact_dedup.deduplicate(rows).count() == 2
 
 
-def test_collisions_are_split(spark):
-    plain = spark.createDataFrame([(1, 1, 3, "s", b"h", 5), (2, 1, 3, "s", b"h", 5), (3, 1, 3, "t", b"h", 6)], "doc_id bigint, keep_id bigint, group_size bigint, text_sha256 string, h binary, n int")
-    differs = spark.createDataFrame([(3, b"h", "other")], "doc_id bigint, h binary, norm string")
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup._split_collisions(plain, differs).collect()}
-    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 1)}
+def test_collisions_are_split(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "_hash", lambda norm: F.unhex(F.md5(F.substring(norm, 1, 1))))
+    rows = spark.createDataFrame([(1, "ab"), (2, "a b"), (3, "ac"), (None, "a c"), (5, "b"), (6, "a")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.assign_groups(rows).collect()}
+    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 2, True), None: (3, 2, False), 5: (5, 1, True), 6: (6, 1, True)}
+
+
+def test_exact_dedup_of_null_ids(spark):
+    rows = spark.createDataFrame([(None, "q"), (None, " q"), (None, "a b"), (7, "ab"), (4, "ab"), (8, None), (9, "")], "doc_id bigint, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.keep_id is None, r.group_size) for r in exact_dedup.assign_groups(rows).collect())
+    assert got == [(False, 4, False, 3), (False, 7, False, 3), (False, 8, False, 2), (False, 9, False, 2), (True, 0, False, 3), (True, 0, True, 2), (True, 0, True, 2)]
+    kept = exact_dedup.deduplicate(rows).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 4, 8] and len(kept) == 3
+
+
+def test_heavy_keys_with_large_payloads_are_salted(spark, monkeypatch):
+    from tidewire.llm import skew
+
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 10)
+    rows = spark.range(3000).select((F.col("id") % 2 * F.col("id") % 900).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max(F.repeat(F.lit("x"), 50)).alias("pay"))
+    assert skew.join_on_key(rows, groups, "k", weight="n").count() == 3000
+    assert skew.join_on_key(rows, groups.filter("k < 100"), "k", weight="n", how="left").count() == 3000
 
 
 def test_masks_meet_every_two_substitutions():
@@ -215,6 +233,14 @@ def test_chat_round_trip_and_best_branch(spark):
     assert {r.loss for r in both.filter("tree = 't'").collect()} == {"b", "a </s>[INST] \\ x"}
 
 
+def test_chat_of_repeated_messages_and_no_messages(spark):
+    rows = [("t", 1, None, "user", "hi", 1.0)] * 3 + [("t", 2, 1, "assistant", "a", 1.0), ("t", 2, 1, "assistant", "a", 1.0), ("t", 2, 1, "assistant", "b", 2.0), ("t", None, 1, "user", "x", 9.0), (None, 1, None, None, None, None)]
+    schema = "tree string, id bigint, parent bigint, role string, text string, score double"
+    got = {r.tree: (r.n_turns, [tuple(x) for x in r.back]) for r in chat_format.format_trees(spark.createDataFrame(rows, schema)).withColumn("back", chat_format.read_back(F.col("formatted"))).collect()}
+    assert got == {"t": (2, [("user", "hi"), ("assistant", "b")]), None: (1, [("", "")])}
+    assert chat_format.format_trees(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_chat_of_long_chains(spark):
     turns = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", str(i)) for i in range(300)], "conv_id bigint, turn bigint, role string, text string")
     r = chat_format.format_trees(chat_format.turns_as_tree(turns)).first()

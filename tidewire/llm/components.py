@@ -1,35 +1,5 @@
-"""Connected components of a link table by min-label propagation with pointer jumping."""
+"""Connected components and tables in the checkpoint folder, as the rest of the library has them."""
 
-from __future__ import annotations
+from tidewire.operators.graph import components, use_checkpoints, written
 
-import uuid
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the checkpoint folder.  Unlike a checkpoint's, the new plan keeps
-    neither the constraints nor the statistics of the old one, which grow without end in loops."""
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) for every id in ``links`` (columns a, b); the label is the smallest id.
-
-    Each round takes the smallest label among neighbours (an aggregate, combined before
-    the shuffle, so an id of any degree is fine), then the label of that label.  Labels
-    are written to the checkpoint folder each round, so a lost executor costs one round.
-    """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
-    while True:
-        around = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(around, "id").select("id", F.least("component", "near").alias("next"), "component")
-        up = labels.select(F.col("id").alias("next"), F.col("component").alias("jump"))
-        moved = written(step.join(up, "next", "left").select("id", F.least("next", F.coalesce("jump", "next")).alias("component"), F.col("component").alias("before")))
-        labels = moved.select("id", "component")
-        if moved.filter("component <> before").isEmpty():
-            return labels
+__all__ = ["components", "use_checkpoints", "written"]
