@@ -13,7 +13,9 @@ Control strings inside roles and texts are escaped reversibly: backslashes are d
 then one is put after the first character of each control string.  ``loss_spans`` gives
 the code-point spans of the escaped assistant texts.
 
-Null roles and texts count as empty.  A parent that is not in the tree makes a root.
+Null roles and texts count as empty.  Of messages that repeat a (tree, id) one stays, by best
+score, then largest parent, role and text; messages with a null id are left out; a null tree
+is a tree like any other; an empty table gives an empty result; extra columns are ignored.  A parent that is not in the tree makes a root.
 Messages on a cycle never reach a root and are left out.  Ties of the branch score go to
 the larger leaf id, ties of ids are broken by role and text in :func:`turns_as_tree`.
 """
@@ -51,28 +53,32 @@ def turns_as_tree(turns: DataFrame) -> DataFrame:
 
 def _jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Pairs (tree, id, up) at distances 1, 2, 4, ...; and for each message its depth,
-    branch score and whether it reached a root."""
+    branch score and whether it reached a root.  Only messages that haven't reached their
+    root go through the next round."""
     own = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     there = own.select("tree", F.col("id").alias("parent"), F.lit(True).alias("has"))
-    state = written(
-        own.join(there, ["tree", "parent"], "left")
-        .select("tree", "id", F.when(F.col("has"), F.col("parent")).alias("up"), F.lit(0).cast("bigint").alias("depth"), "score")
-        .withColumn("depth", F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint"))
-    )
+    asked = own.filter("parent IS NOT NULL").join(there, ["tree", "parent"], "left")
+    start = asked.select("tree", "id", F.when(F.col("has"), F.col("parent")).alias("up"), "score").unionByName(own.filter("parent IS NULL").select("tree", "id", F.lit(None).cast("bigint").alias("up"), "score"))
+    state = written(start.withColumn("depth", F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint")))
     most = own.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     levels = []
     while True:
-        level = state.filter("up IS NOT NULL").select("tree", "id", "up")
+        under = state.filter("up IS NOT NULL")
+        level = under.select("tree", "id", "up")
         if level.isEmpty():
             return levels, state
         levels.append(level)
         if (1 << (len(levels) - 1)) > most:  # only cycles are left
             return levels, state.filter("up IS NULL")
         above = state.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
-        state = written(
-            state.join(above, ["tree", "up"], "left")
-            .select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
-        )
+        moved = under.join(above, ["tree", "up"]).select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("score") + F.col("score2")).alias("score"))
+        state = written(state.filter("up IS NULL").unionByName(moved))
+
+
+def _unique(messages: DataFrame) -> DataFrame:
+    """One message for each (tree, id): of repeated ones that with the best score, then the largest parent, role and text."""
+    best = messages.groupBy("tree", "id").agg(F.max(F.struct("score", "parent", "role", "text")).alias("m"))
+    return best.filter("id IS NOT NULL").select("tree", "id", "m.parent", "m.role", "m.text", "m.score")
 
 
 def _keyed(messages: DataFrame) -> DataFrame:
@@ -86,7 +92,7 @@ def _unkeyed(rows: DataFrame) -> DataFrame:
 
 def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, rank, id, depth) rows of the ``branches`` best root-to-leaf paths of each tree."""
-    return _unkeyed(_paths(_keyed(messages), branches))
+    return _unkeyed(_paths(_unique(_keyed(messages)), branches))
 
 
 def _paths(messages: DataFrame, branches: int) -> DataFrame:
@@ -100,9 +106,12 @@ def _paths(messages: DataFrame, branches: int) -> DataFrame:
     return paths.join(state.select("tree", "id", "depth"), ["tree", "id"])
 
 
-def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """One row per chosen path: tree, leaf, rank, n_turns, formatted, loss_spans."""
-    messages = _keyed(messages)
+def format_trees(messages: DataFrame, branches: int = 1, unique_ids: bool = False) -> DataFrame:
+    """One row per chosen path: tree, leaf, rank, n_turns, formatted, loss_spans.
+
+    ``unique_ids`` says that no (tree, id) is repeated or null, as :func:`turns_as_tree` sees to.
+    """
+    messages = _keyed(messages) if unique_ids else _unique(_keyed(messages))
     paths = _paths(messages, branches)
     turns = paths.join(messages.select("tree", "id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["tree", "id"])
     head = F.concat(F.lit("<s>"), escape(F.col("role")), F.lit("[INST]"))

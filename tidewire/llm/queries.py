@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, masked_lm, quality, sentencepiece_fst, substring_dedup, suffix_dedup
+from tidewire.operators.graph import use_checkpoints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -18,13 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """The shared folder that the cluster names; one of our own only where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
-
-
 def register(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -58,7 +52,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
-    out = chat_format.format_trees(chat_format.turns_as_tree(turns.unionByName(extra)))
+    out = chat_format.format_trees(chat_format.turns_as_tree(turns.unionByName(extra)), unique_ids=True)
     back = chat_format.read_back(F.col("formatted"))
     loss = chat_format.masked_text(F.col("formatted"), F.col("loss_spans"))
     out = out.select(F.col("tree").alias("conv_id"), back.alias("turns"), loss.alias("loss"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
