@@ -291,6 +291,47 @@ def test_classifier_on_held_out_labels(spark, sf):
     assert right >= 0.93 * len(rows) and all(r.p_ge_1 >= r.p_ge_2 for r in rows)
 
 
+def test_classifier_finds_the_optimum_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    kinds = [[5, 6], [5], [7], [7, 8], [6, 8], [8]]
+    feats, grade = [], []
+    for k in rng.integers(0, 6, 900):
+        feats.append(np.array(sorted({*kinds[k], 20 + int(rng.integers(0, 9))}), np.int32))
+        grade.append(int(np.clip(k // 2 + rng.integers(-1, 2) * (rng.random() < 0.3), 0, 2)))
+    grade = np.array(grade)
+    weights, theta = quality.fit(grade, feats, rounds=3000)
+    col, row = np.concatenate(feats), np.repeat(np.arange(900), [len(f) for f in feats])
+    used = np.flatnonzero(weights)
+    assert set(used) >= {5, 7, 8} and len(used) < 15
+    keep = np.isin(col, used)
+    col, row, have = np.searchsorted(used, col[keep]), row[keep], np.bincount(col, minlength=40)[used]
+    whole = np.concatenate(feats)
+    odds = quality.doubt(grade, np.bincount(whole, minlength=40), whole, np.repeat(np.arange(900), [len(f) for f in feats]))
+    ridge = quality.RIDGE * np.maximum(odds[used], 1) ** 1.5 / have
+    # plain gradient descent from another start, with the likelihood written out
+    w, t = np.ones(len(used)), np.array([-1.0, 1.0])
+    for _ in range(6000):
+        _, gw, gt = quality.loss(w, t, grade, col, row, ridge)
+        w, t = w - 2 * gw, t - 2 * gt
+    said = lambda w, t: -sum(
+        np.log((1 if g == 2 else 1 / (1 + np.exp(-(t[g] - s)))) - (0 if g == 0 else 1 / (1 + np.exp(-(t[g - 1] - s))))) for g, s in zip(grade, np.bincount(row, weights=w[col], minlength=900))
+    ) / 900 + (ridge * w * w).sum() / 1800
+    assert abs(said(weights[used], theta) - said(w, t)) < 1e-4
+    sums = [np.bincount(row, weights=x[col], minlength=900) - y[1] for x, y in ((weights[used], theta), (w, t))]
+    assert np.abs(sums[0] - sums[1]).max() < 0.01  # all noise words together can be shifted against the thresholds
+
+
+def test_classifier_judges_each_row_by_its_text(spark):
+    good, bad = "clean calm words of use " * 3, "vile crude words of none " * 3
+    rows = [(i, bad + str(i) if i % 2 else good + str(i), "x") for i in range(200)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame([*rows, (None, bad, "a"), (None, good, "b"), (0, bad, "c"), (300, None, "d"), (301, "", "e"), (302, (good + " ") * 2000, "f")], "doc_id bigint, text string, score string")
+    kept = {(r.doc_id, r.score) for r in quality.select_good(docs, labels).collect()}
+    assert {(None, "b"), (302, "f"), (0, "x")} <= kept and not kept & {(None, "a"), (0, "c"), (1, "x")} and sum(x == "x" for _, x in kept) == 100
+    assert quality.score(docs, labels).filter("doc_id IS NULL").count() == 2
+    assert quality.select_good(docs.limit(0), labels.limit(0)).count() == 0
+
+
 def test_classifier_without_labels_keeps_all(docs, spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert quality.select_good(docs, labels).count() == docs.count()

@@ -7,17 +7,20 @@ grade.  A document is kept when P(grade >= 2) is at least ``keep_at``.
 
 Features are presences: lower-cased words, runs of punctuation inside words, and binned
 shape statistics (share of distinct words, of words equal to the one before, of words
-without a letter, mean word length), taken from the whole text.  Features whose presence
-does not differ significantly between grades in the sample get no weight, so the length
-of a text does not move its score.
+without a letter, mean word length), taken from the whole text.  Features whose presence does not
+differ between grades beyond chance get no weight (:func:`doubt`), so the length of a text
+does not move its score; the others are shrunk the more the rarer and the more doubtful they are.
 
 The model is fitted on at most ``sample`` labelled documents, those with the smallest
 hash of their id (a documented bound: feature lists of the sample go to the driver, and
 the weights, of fixed size, are broadcast).  Every row is scored over its whole text.
 
 Null or empty text has shape features only.  Labels with a null grade are skipped; of
-repeated labels for one document the lowest grade counts.  Without labels every document
-scores 0 and is kept.  Extra columns pass through :func:`select_good` unchanged.
+repeated labels for one document the lowest grade counts; of documents that repeat a
+labelled id one is fitted on.  Without labels every document scores 0 and is kept.  Each row
+is judged by its own text, so rows with a null or a repeated id are kept or rejected like any
+other.  An empty table gives an empty result.  Extra columns pass through
+:func:`select_good` unchanged.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ from tidewire.llm.words import BASE, Words, mix, powers, slices
 BITS = 20
 SAMPLE = 8_000
 KEEP_AT = 0.5
+#: features that may be taken in full by chance, how doubtful one may be, and the ridge of a feature of one document
+CHANCE, DOUBTFUL, RIDGE = 10, 10.0, 0.3
 PUNCT = np.zeros(256, dtype=bool)
 PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 LETTER = np.zeros(256, dtype=bool)
@@ -99,39 +104,59 @@ def _sample_features(docs: DataFrame) -> pd.DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lists, "doc_id bigint, features binary").toPandas()
 
 
+def doubt(grade: np.ndarray, have: np.ndarray, col: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each feature, how many as one-sided would be expected by chance, in units of CHANCE.
+
+    By the Chernoff bound a feature of h documents that has nothing to do with a threshold is
+    as one-sided as its share r with a probability of at most exp(-h KL(r, share)); this is
+    multiplied by the number of features tested.  Features of one document count as infinite.
+    """
+    best = np.zeros(len(have))
+    tested = np.count_nonzero(have > 1)
+    h = np.maximum(have, 1)
+    for k in (1, 2):
+        top = grade >= k
+        share = top.mean()
+        if 0 < share < 1:
+            r = np.bincount(col[top[row]], minlength=len(have)) / h
+            kl = r * np.log(np.maximum(r, 1e-300) / share) + (1 - r) * np.log(np.maximum(1 - r, 1e-300) / (1 - share))
+            best = np.maximum(best, h * kl)
+    return np.where(have > 1, tested / CHANCE * np.exp(-best), np.inf)
+
+
+def loss(w: np.ndarray, theta: np.ndarray, grade: np.ndarray, col: np.ndarray, row: np.ndarray, ridge: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Penalised negative log-likelihood a document, and its gradients by weights and thresholds."""
+    cut = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    n = len(grade)
+    s = np.bincount(row, weights=w[col], minlength=n)
+    low = np.where(grade > 0, cut(theta[np.maximum(grade - 1, 0)] - s), 0.0)
+    high = np.where(grade < 2, cut(theta[np.minimum(grade, 1)] - s), 1.0)
+    p = np.maximum(high - low, 1e-9)
+    dh, dl = high * (1 - high) / p, low * (1 - low) / p
+    gw = (np.bincount(col, weights=(dh - dl)[row], minlength=len(w)) + ridge * w) / n
+    gt = np.array([dl[grade == 1].sum() - dh[grade == 0].sum(), dl[grade == 2].sum() - dh[grade == 1].sum()]) / n
+    return float((-np.log(p).sum() + (ridge * w * w).sum() / 2) / n), gw, gt
+
+
 def fit(grade: np.ndarray, features_of: list[np.ndarray], rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Weights over all features and the two thresholds."""
+    """Weights over all features and the two thresholds.  The ridge of a feature grows
+    with its rarity and its doubt; features whose doubt is over DOUBTFUL get no weight."""
     weights, theta = np.zeros(1 << BITS), np.array([-40.0, -20.0])
     if not len(grade):
         return weights, theta
     size = np.array([len(f) for f in features_of])
     col = np.concatenate(features_of) if size.sum() else np.zeros(0, np.int32)
     row = np.repeat(np.arange(len(grade)), size)
-    # screening: presence must differ between grades well beyond chance
     have = np.bincount(col, minlength=1 << BITS)
-    use = np.zeros(1 << BITS, bool)
-    for k in (1, 2):
-        top = grade >= k
-        share = top.mean()
-        if 0 < share < 1:
-            seen = np.bincount(col[top[row]], minlength=1 << BITS)
-            spread = np.sqrt(np.maximum(have * share * (1 - share), 1e-9))
-            use |= (have >= 3) & (np.abs(seen - have * share) / spread > 4.0)
-    keep = use[col]
+    odds = doubt(grade, have, col, row)
+    keep = odds[col] <= DOUBTFUL
     names, col = np.unique(col[keep], return_inverse=True)
     row = row[keep]
+    ridge = RIDGE * np.maximum(odds[names], 1.0) ** 1.5 / have[names]
     w, theta = np.zeros(len(names)), np.array([-2.0, -1.0])
     mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros(2), np.zeros(2)
-    cut = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for step in range(1, rounds + 1):
-        s = np.bincount(row, weights=w[col], minlength=len(grade))
-        low = np.where(grade > 0, cut(theta[np.maximum(grade - 1, 0)] - s), 0.0)
-        high = np.where(grade < 2, cut(theta[np.minimum(grade, 1)] - s), 1.0)
-        p = np.maximum(high - low, 1e-9)
-        dh, dl = high * (1 - high) / p, low * (1 - low) / p
-        gs = (dh - dl) / len(grade)
-        gw = np.bincount(col, weights=gs[row], minlength=len(names)) + 1e-5 * w
-        gt = np.array([-(dh[grade == 0].sum() - dl[grade == 1].sum()), -(dh[grade == 1].sum() - dl[grade == 2].sum())]) / len(grade)
+        _, gw, gt = loss(w, theta, grade, col, row, ridge)
         mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw**2
         mt, vt = 0.9 * mt + 0.1 * gt, 0.999 * vt + 0.001 * gt**2
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
@@ -156,28 +181,55 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     return fit(found["grade"].to_numpy(), [np.frombuffer(x, np.int32) for x in found["features"]])
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Per row: doc_id, score, tail probabilities and expected grade."""
+def _model(docs: DataFrame, labels: DataFrame, sample: int):
+    """Broadcast weights (at most 2**BITS) and thresholds, and the function that scores a slice."""
     weights, theta = train(docs, labels, sample)
     used = np.flatnonzero(weights)
-    model = docs.sparkSession.sparkContext.broadcast((used, weights[used], theta))  # at most 2**BITS weights
+    model = docs.sparkSession.sparkContext.broadcast((used, weights[used], theta))
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scorer():
         at, value, (t0, t1) = model.value
         w = np.zeros(1 << BITS)
         w[at] = value
-        for ids, raw, off in slices(batches):
+
+        def rate(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             f, r = features(raw, off)
             hit = w[f] != 0
             f, r = _distinct(f[hit], r[hit])
-            s = np.bincount(r, weights=w[f], minlength=len(ids)).astype(float)
-            ge1, ge2 = 1 / (1 + np.exp(np.clip(t0 - s, -40, 40))), 1 / (1 + np.exp(np.clip(t1 - s, -40, 40)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, s, ge1, ge2, ge1 + ge2)], names=["doc_id", "score", "p_ge_1", "p_ge_2", "expected_grade"])
+            s = np.bincount(r, weights=w[f], minlength=len(off) - 1).astype(float)
+            return s, 1 / (1 + np.exp(np.clip(t0 - s, -40, 40))), 1 / (1 + np.exp(np.clip(t1 - s, -40, 40)))
+
+        return rate
+
+    return scorer
+
+
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Per row: doc_id, score, tail probabilities and expected grade."""
+    scorer = _model(docs, labels, sample)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = scorer()
+        for batch in batches:
+            at = 0
+            for ids, raw, off in slices([batch]):
+                s, ge1, ge2 = judge(raw, off)
+                own = batch.column("doc_id").slice(at, len(ids)).cast(pa.int64())
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(x) for x in (s, ge1, ge2, ge1 + ge2))], names=["doc_id", "score", "p_ge_1", "p_ge_2", "expected_grade"])
 
     return docs.select("doc_id", "text").mapInArrow(rate, SCORED)
 
 
 def select_good(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with their columns."""
-    rejected = score(docs, labels, sample).filter(F.col("p_ge_2") < keep_at).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    """The rows of ``docs`` that the classifier keeps, with their columns; rows are judged where they are read."""
+    scorer = _model(docs, labels, sample)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = scorer()
+        for batch in batches:
+            good = [judge(raw, off)[2] >= keep_at for _, raw, off in slices([batch])]
+            if good:
+                yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(keep, docs.schema)
