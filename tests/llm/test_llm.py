@@ -224,6 +224,47 @@ def test_pieces_equal_the_library(docs, texts):
         assert fst.encode(s) == lib.encode(s) and fst.decode(fst.encode(s)) == s
 
 
+def test_pieces_of_odd_rows(spark, none):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.MODEL)
+    rng = random.Random(5)
+    texts = ["\u2581 a \u2581", "x" * 3000, "日本語" * 700, " " * 500, "\n\n \t\r\n a\x0b\x0c", "", None, "<s></s><unk>", "\x00", "a  b", " lead", "trail "]
+    texts += ["".join(rng.choice("ab \n日\U0001f600é") for _ in range(rng.randrange(200))) for _ in range(200)]
+    rows = [(None if i % 3 else i, t, 0) for i, t in enumerate(texts)] * 2
+    got = sentencepiece_fst.encode_documents(spark.createDataFrame(rows, "doc_id bigint, text string, ids int").coalesce(1)).collect()
+    assert [r.doc_id for r in got] == [r[0] for r in rows]
+    for r, (_, t, _) in zip(got, rows):
+        assert list(r.ids) == lib.encode(t or "") and r.n_pieces == len(r.ids) and r.round_trip == ("\u2581" not in (t or ""))
+        back = (t or "").replace("\u2581", " ")
+        assert r.decoded_sha256 == hashlib.sha256((back if r.round_trip else sentencepiece_fst.PieceTransducer.decode(FST(), list(r.ids))).encode()).hexdigest()
+    assert sentencepiece_fst.encode_documents(none).count() == 0
+
+
+def FST(made=[]):
+    if not made:
+        made.append(sentencepiece_fst.PieceTransducer(sentencepiece_fst.vocabulary(sentencepiece_fst.MODEL)))
+    return made[0]
+
+
+def test_shortest_path_is_the_least_of_all_accepted_paths():
+    fst = FST()
+    rng = random.Random(8)
+    for _ in range(150):
+        part = "\u2581" + "".join(rng.choice("theinga日") for _ in range(rng.randrange(7)))
+
+        def paths(at, last):
+            if at == len(part):
+                yield 0.0, ()
+            for end in range(at + 1, len(part) + 1):
+                i = fst.id.get(part[at:end])
+                if i is not None and (fst.whole(i) if last == -1 else last == -2 or fst.adjacent(last, i)):
+                    yield from ((w + fst.weight[i], (i, *p)) for w, p in paths(end, i))
+            if part[at : at + 1] and part[at] not in fst.id:
+                yield from ((w, (*fst.fallback(part[at]), *p)) for w, p in paths(at + 1, -2))
+
+        assert fst.shortest_path(part) == min(paths(0, -1))[1]
+
+
 def test_chat_round_trip_and_best_branch(spark):
     rows = [("t", 1, None, "user", "hi", 1.0), ("t", 2, 1, "assistant", "a </s>[INST] \\ x", 0.2), ("t", 3, 1, "assistant", "b", 0.9), ("t", 4, 3, "user", None, 0.0), ("t", 5, 2, "user", "c", 0.1), ("u", 1, 2, "user", "loop", 1.0), ("u", 2, 1, "user", "loop", 1.0), ("v", 7, 6, "user", "orphan", None)]
     m = spark.createDataFrame(rows, "tree string, id bigint, parent bigint, role string, text string, score double")

@@ -2,23 +2,29 @@
 
 Three transducers are compiled from a model file and composed with each input:
 
-* the *normaliser* puts the dummy prefix before a text that is not empty and maps a
-  space to ``U+2581`` (the models served here have the identity character map);
+* the *normaliser* has the arc ``start: -> U+2581`` (the dummy prefix of a text that is not
+  empty), the arcs of its table (space ``-> U+2581``) and the identity for all other
+  characters (the models served here have the identity character map);
 * the *piece* transducer is a trie that reads characters and writes piece ids, with the
   negated piece score as tropical weight; a character of no piece takes the *byte
   fallback* arc, which writes one byte piece for each UTF-8 byte;
-* the *adjacency* acceptor reads piece ids and accepts only pairs that the model's merge
-  order could have left side by side: ``merge(a + b) == [a, b]``.  For a merge-based (BPE)
-  model exactly one path is left for each input, so the tropical-semiring shortest path
-  is the model's own segmentation; ties of weight cannot arise.
+* the *adjacency* acceptor reads piece ids and has an arc from piece a to piece b where the
+  model's merge order could have left them side by side: ``merge(a + b) == [a, b]``.
 
-An input is cut where no piece of the vocabulary can cross (before a space that follows
-something else, and around line breaks), and the shortest path of each part is kept for
-the next time it is met, in a table of bounded size.
+The states of the composed machine are (position, last piece).  :meth:`PieceTransducer.shortest_path`
+relaxes them in the tropical semiring: weights add along a path, the smallest sum of each state
+is kept with its arc, and the best final state is followed back.  Scores of a merge-based (BPE)
+model are merge ranks, so without the acceptor the lightest path would not be the model's
+segmentation; with it one path is accepted and its weight is the sum of its ranks.
+
+An input is cut where no piece of the vocabulary can cross (before a run of spaces that
+follows something else, and around line breaks).  The different parts of a slice of rows are
+found with numpy, each is encoded once, and paths are kept in a table of bounded size.
 
 Null and empty texts have no pieces.  Decoding joins the pieces, turns byte pieces into
-bytes (invalid sequences into U+FFFD), U+2581 into a space and drops the dummy prefix.
-Repeated rows are encoded one by one; extra columns are not read.
+bytes (invalid sequences into U+FFFD), U+2581 into a space and drops the dummy prefix; a text
+that holds U+2581 itself does not come back as it was.  Null ids stay null; repeated rows are
+encoded one by one; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,15 +33,17 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.words import BASE, BASE_INVERSE, powers, slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 OUT = "doc_id bigint, n_pieces bigint, ids array<int>, decoded_sha256 string, round_trip boolean"
-KEPT_PATHS = 300_000
+KEPT_PATHS = 200_000
 
 
 def vocabulary(model_file: str) -> list[tuple[str, float, str]]:
@@ -53,10 +61,13 @@ class PieceTransducer:
         self.text = [p for p, _, _ in pieces]
         self.weight = [-s for _, s, _ in pieces]
         self.byte = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == "byte"}
-        #: length of the longest piece by its first character
-        self.span: dict[str, int] = {}
-        for p in self.id:
-            self.span[p[0]] = max(len(p), self.span.get(p[0], 1))
+        #: nested by character; the id of a piece stands under ""
+        self.trie: dict = {}
+        for p, i in self.id.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = i
         #: pairs of characters that some piece holds side by side
         self.crossing = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.out = [bytes([int(p[1:-1], 16)]) if kind == "byte" else b"" if kind == "control" else p.replace(SPACE, " ").encode() for p, _, kind in pieces]
@@ -64,9 +75,15 @@ class PieceTransducer:
         lone = "".join(c for c in "\n\r\t" if not any(c in b for b in self.crossing))
         cut = re.escape(lone)
         self.parts = re.compile(rf"{SPACE}*[^{SPACE}{cut}]+|{SPACE}+|[{cut}]" if cut else rf"{SPACE}*[^{SPACE}]+|{SPACE}+") if space_cut else re.compile(r"(?s).+")
-        self._adjacent: dict[tuple[int, int], bool] = {}
+        self.normaliser = str.maketrans({" ": SPACE})
+        self.by_slice = space_cut
+        self.lone = np.zeros(256, bool)
+        self.lone[[ord(c) for c in lone]] = True
+        self.out_arrays = [np.frombuffer(x, np.uint8) for x in self.out]
+        self._adjacent: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
-        self._paths: dict[str, tuple[int, ...]] = {}
+        self._paths: dict[bytes, np.ndarray] = {}
+        self._older: dict[bytes, np.ndarray] = {}
 
     def merge(self, s: str) -> list[str]:
         """Segmentation by merges: the best-scored pair first, the leftmost of equal ones."""
@@ -84,63 +101,57 @@ class PieceTransducer:
 
     def adjacent(self, a: int, b: int) -> bool:
         """Whether the acceptor has the arc from piece a to piece b (compiled when first met)."""
-        known = self._adjacent.get((a, b))
+        known = self._adjacent.get(a << 32 | b)
         if known is None:
             if len(self._adjacent) > 4_000_000:
                 self._adjacent.clear()
             x, y = self.text[a], self.text[b]
             known = x[-1] + y[0] not in self.crossing or self.merge(x + y) == [x, y]
-            self._adjacent[a, b] = known
+            self._adjacent[a << 32 | b] = known
         return known
 
     def fallback(self, c: str) -> list[int]:
         return [self.byte[b] for b in c.encode("utf-8", "replace")] if self.byte else [0]
 
     def shortest_path(self, part: str) -> tuple[int, ...]:
-        """Ids on the shortest path through input, piece trie and adjacency acceptor.
-
-        The composed machine is explored lazily, longest arcs first; states (position,
-        last piece) from which the end can't be reached are not entered again.  As only
-        one path is accepted, the first one found is the shortest.
-        """
-        n, ident, known, span = len(part), self.id, self._adjacent, self.span
-        path: list[int] = []
-        starts: list[int] = []
-        dead: set[tuple[int, int]] = set()
-        at, last, limit = 0, -1, n
-        while at < n:
-            piece = None
-            for size in range(min(span.get(part[at], 1), n - at, limit), 0, -1):
-                arc = ident.get(part[at : at + size])
-                if arc is None:
-                    if size > 1 or part[at] in ident:
-                        continue
-                    arc = -2 - at  # byte fallback: only for a character of no piece
-                elif (at + size, arc) in dead:
+        """Ids on the path of least weight through input, piece trie and adjacency acceptor."""
+        n, root, weight, known = len(part), self.trie, self.weight, self._adjacent
+        # for each position: last piece -> (weight so far, where the piece starts, piece before)
+        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
+        best[0][-1] = (0.0, -1, -1)
+        for at in range(n):
+            reached = best[at]
+            if not reached:
+                continue
+            lasts = [(last, last << 32, state[0]) for last, state in reached.items()]
+            node, end = root, at
+            while end < n and (node := node.get(part[end])) is not None:
+                end += 1
+                piece = node.get("")
+                if piece is None:
                     continue
-                elif last >= 0:
-                    ok = known.get((last, arc))
-                    if ok is None:
-                        ok = self.adjacent(last, arc)
-                    if not ok:
+                ends, w = best[end], weight[piece]
+                for last, pair, sofar in lasts:
+                    if last >= 0:
+                        ok = known.get(pair | piece)
+                        if not (self.adjacent(last, piece) if ok is None else ok):
+                            continue
+                    elif last == -1 and not self.whole(piece):
                         continue
-                elif size > 1 and not self.whole(arc):
-                    continue
-                piece = arc
-                break
-            if piece is not None:
-                path.append(piece)
-                starts.append(at)
-                at, last, limit = at + size, piece, n
-            elif path:
-                dead.add((at, path.pop()))
-                back = starts.pop()
-                at, last, limit = back, path[-1] if path else -1, at - back - 1
-            else:
-                return self._ids(self.merge(part))
-        if min(path, default=0) >= 0:
-            return tuple(path)
-        return tuple(i for p in path for i in ([p] if p >= 0 else self.fallback(part[-2 - p])))
+                    have = ends.get(piece)
+                    if have is None or sofar + w < have[0]:
+                        ends[piece] = (sofar + w, at, last)
+            if part[at] not in self.id:  # byte fallback, named by its position
+                best[at + 1][-2 - at] = min((sofar, at, last) for last, _, sofar in lasts)
+        if not best[n]:
+            raise ValueError(f"the acceptor has no path for {part!r}")
+        at, piece = n, min(best[n], key=lambda i: best[n][i][0])
+        path: list[int] = []
+        while at > 0:
+            _, start, before = best[at][piece]
+            path += [piece] if piece >= 0 else self.fallback(part[start])[::-1]
+            at, piece = start, before
+        return tuple(path[::-1])
 
     def whole(self, piece: int) -> bool:
         """Whether the merge order builds this piece when it stands alone."""
@@ -149,35 +160,84 @@ class PieceTransducer:
             known = self._whole[piece] = self.merge(self.text[piece]) == [self.text[piece]]
         return known
 
-    def _ids(self, parts: list[str]) -> tuple[int, ...]:
-        return tuple(i for p in parts for i in ([self.id[p]] if p in self.id else self.fallback(p)))
-
     def normalise(self, text: str) -> str:
-        return SPACE + text.replace(" ", SPACE) if text else ""
+        return SPACE + text.translate(self.normaliser) if text else ""
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        paths = self._paths
-        for part in self.parts.findall(self.normalise(text)):
-            path = paths.get(part)
-            if path is None:
-                path = self.shortest_path(part) if len(part) <= 200 else self._long(part)
-                if len(part) <= 40:
-                    if len(paths) >= KEPT_PATHS:
-                        paths.clear()
-                    paths[part] = path
-            ids += path
-        return ids
-
-    def _long(self, part: str) -> tuple[int, ...]:
-        """Cuts a long part at character pairs that no piece contains, then takes each path."""
+    def path(self, part: str) -> tuple[int, ...]:
+        """The shortest path of a part; long parts are cut at character pairs that no piece contains."""
+        if len(part) <= 200:
+            return self.shortest_path(part)
         cuts = [0, *(k for k in range(1, len(part)) if part[k - 1 : k + 1] not in self.crossing), len(part)]
         return tuple(i for a, b in zip(cuts, cuts[1:], strict=False) for i in self.shortest_path(part[a:b]))
 
+    def encode(self, text: str) -> list[int]:
+        return [i for part in self.parts.findall(self.normalise(text)) for i in self.path(part)]
+
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.out.__getitem__, ids))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
+    def _kept(self, part: bytes) -> np.ndarray:
+        """The path of a part; the parts met last stay in two tables, of which the older is dropped when the newer is full."""
+        path = self._paths.get(part)
+        if path is None:
+            path = self._older.get(part)
+            if path is None:
+                path = np.array(self.path(part.decode().translate(self.normaliser)), np.int32)
+            if len(part) <= 64:
+                if len(self._paths) >= KEPT_PATHS:
+                    self._older, self._paths = self._paths, {}
+                self._paths[part] = path
+        return path
+
+    def encode_slice(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the rows of a slice and where each row's begin; decoded bytes (with the prefix) and where each row's begin.
+
+        Rows with U+2581 in the text are not for this form, nor are models whose pieces cross spaces.
+        """
+        size = np.diff(off)
+        filled = (size > 0).astype(np.int64)
+        row_at = off + np.concatenate([[0], np.cumsum(filled)])
+        data = np.full(row_at[-1], 32, np.uint8)
+        data[np.arange(len(raw)) + np.repeat(np.cumsum(filled), size)] = raw
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(off), np.int64), data, row_at
+        lone, space = self.lone[data], data == 32
+        starts = lone | space
+        starts[1:] &= lone[1:] | ~space[:-1]
+        starts[1:] |= lone[:-1]
+        starts[row_at[:-1][filled > 0]] = True
+        at = np.flatnonzero(starts)
+        length = np.diff(np.append(at, len(data)))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.multiply(data.astype(np.uint64) + np.uint64(1), powers(BASE, len(data)), out=sums[1:])
+        np.cumsum(sums, out=sums)
+        h = (sums[at + length] - sums[at]) * powers(BASE_INVERSE, len(data) + 1)[at]
+        _, first, kind = np.unique(h, return_index=True, return_inverse=True)
+        same = np.arange(len(data)) + np.repeat(at[first][kind] - at, length)
+        if (length != length[first][kind]).any() or (data[same] != data).any():  # two parts of one hash
+            whole = data.tobytes()
+            names = {whole[a : a + n]: None for a, n in zip(at.tolist(), length.tolist(), strict=True)}
+            number = {x: k for k, x in enumerate(names)}
+            kind = np.array([number[whole[a : a + n]] for a, n in zip(at.tolist(), length.tolist(), strict=True)])
+            paths = [self._kept(x) for x in names]
+        else:
+            paths = [self._kept(data[a : a + n].tobytes()) for a, n in zip(at[first].tolist(), length[first].tolist(), strict=True)]
+        ids, part_at = _gather(paths, kind)
+        row_ids = part_at[np.searchsorted(at, row_at)]
+        back, id_at = _gather(self.out_arrays, ids)
+        return ids, row_ids, back, id_at[row_ids]
+
+
+def _gather(parts: list[np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The named parts one after the other, and where each begins (with the end)."""
+    size = np.array([len(p) for p in parts], np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    n = size[which]
+    at = np.concatenate([[0], np.cumsum(n)])
+    flat = np.concatenate(parts) if len(parts) else np.zeros(0, np.int32)
+    return flat[np.arange(at[-1]) + np.repeat(begin[which] - at[:-1], n)], at
+
 
 _compiled: dict[str, PieceTransducer] = {}
 
@@ -188,20 +248,23 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = _compiled.get(model_file) or _compiled.setdefault(model_file, PieceTransducer(pieces.value))
+        mark = SPACE.encode()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                lists, digests, same = [], [], []
-                for text in pc.fill_null(part.column("text"), "").to_pylist():
-                    ids = fst.encode(text)
-                    back = fst.decode(ids)
-                    lists.append(pa.array(ids, pa.int32()))
-                    digests.append(hashlib.sha256(back.encode("utf-8", "replace")).hexdigest())
-                    same.append(back == text)
-                sizes = [0]
-                for x in lists:
-                    sizes.append(sizes[-1] + len(x))
-                col = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.concat_arrays(lists))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), col, pa.array(digests), pa.array(same)], names=["doc_id", "n_pieces", "ids", "decoded_sha256", "round_trip"])
+            done = 0
+            for rows, raw, off in slices([batch]):
+                own = batch.column("doc_id").slice(done, len(rows))
+                done += len(rows)
+                text = raw.tobytes()
+                if fst.by_slice and mark not in text:
+                    ids, at, back, back_at = fst.encode_slice(raw, off)
+                    back = back.tobytes()
+                    decoded = [back[a + (b > a) : b] for a, b in zip(back_at[:-1].tolist(), back_at[1:].tolist(), strict=True)]
+                else:
+                    lists = [fst.encode(text[a:b].decode()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                    ids, at = np.array([i for x in lists for i in x], np.int32), np.cumsum([0, *map(len, lists)])
+                    decoded = [fst.decode(x).encode("utf-8", "replace") for x in lists]
+                same = [x == text[a:b] for x, a, b in zip(decoded, off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                col = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.diff(at)), col, pa.array([hashlib.sha256(x).hexdigest() for x in decoded]), pa.array(same)], names=["doc_id", "n_pieces", "ids", "decoded_sha256", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, OUT)
