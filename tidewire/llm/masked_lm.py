@@ -20,8 +20,8 @@ weights on its partition in numpy; copies are averaged, weighted by masked posit
 two levels of grouping, so no task meets more than the square root of their number.  Only
 the averaged weights and the frequent words go to the driver and are broadcast.
 
-A document without words scores 0 over 0 words; null text counts as empty; repeated rows
-are scored one by one; an empty table trains on nothing.  Extra columns are not read.
+A document without words scores 0 over 0 words; null text counts as empty; a null id stays
+null; repeated rows are scored one by one; an empty table trains on nothing.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.words import Words, slices
+from tidewire.llm.words import NO_ID, Words, slices
 
 KNOWN, SLOT_BITS, HELD = 1 << 16, 20, 1 << 21
 # sizes for a small corpus, and the least for any
@@ -151,25 +151,29 @@ def hidden(model: dict[str, np.ndarray], ctx: np.ndarray) -> np.ndarray:
 
 def step(model: dict[str, np.ndarray], seen: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray) -> None:
     """One AdaGrad step on a batch of masked positions."""
+    n = np.float32(len(target))
     h = hidden(model, ctx)
-    z = h @ model["out"] + model["out_bias"]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(z)), target] -= 1
-    z /= len(z)
-    dh = (z @ model["out"].T) * (1 - h * h)
+    z = h @ model["out"]
+    z += model["out_bias"]
+    np.exp(z, out=z)  # scores stay far below overflow: tanh units and trained weights are small
+    z *= (1 / (z.sum(axis=1) * n))[:, None]
+    z[np.arange(len(z)), target] -= 1 / n
+    dh = z @ model["out"].T
+    dh *= 1 - h * h
     for name, g in (("out", h.T @ z), ("out_bias", z.sum(axis=0)), ("bias", dh.sum(axis=0))):
         seen[name] += g * g
         model[name] -= RATE * g / np.sqrt(seen[name] + 1e-6)
-    for k in range(len(PLACES)):
-        order = np.argsort(ctx[:, k], kind="stable")
-        ids = ctx[order, k]
-        first = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
-        g = np.add.reduceat(dh[order], first, axis=0)
-        ids = ids[first]
-        seen["embed"][k][ids] += g * g
-        model["embed"][k][ids] -= RATE * g / np.sqrt(seen["embed"][k][ids] + 1e-6)
+    # the embeddings of all four places in one table, each row's gradients summed
+    embed, squares = (x["embed"].reshape(-1, h.shape[1]) for x in (model, seen))
+    ids = (ctx + np.arange(ctx.shape[1], dtype=np.int32) * model["embed"].shape[1]).T.ravel()
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+    g = np.add.reduceat(dh[order % len(dh)], first, axis=0)
+    ids = ids[first]
+    total = squares[ids] + g * g
+    squares[ids] = total
+    embed[ids] -= RATE * g / np.sqrt(total + 1e-6)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -264,7 +268,7 @@ def log_probs(model: dict[str, np.ndarray], v: Vocabulary, words: np.ndarray, do
         z = hidden(model, contexts(inputs, doc, at, v.inputs - 1)) @ model["out"]
         z += model["out_bias"]
         own = z[np.arange(len(at)), cls[at]]
-        np.exp(z, out=z)  # scores stay far below overflow: tanh units and trained weights are small
+        np.exp(z, out=z)
         found[at] = own - np.log(z.sum(axis=1)) + share[at]
     return found, np.flatnonzero(place == len(v.words))
 
@@ -302,4 +306,4 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     found = rated.join(counts.select(F.col("word").alias("key"), "n"), "key", "left")
     added = F.when(F.col("word").isNull(), F.col("log_prob")).otherwise(F.log("n"))
     found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(added).alias("log_prob"))
-    return found.select("doc_id", "n_words", "log_prob", (F.col("log_prob") / F.greatest("n_words", F.lit(1))).alias("mean_log_prob"))
+    return found.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_words", "log_prob", (F.col("log_prob") / F.greatest("n_words", F.lit(1))).alias("mean_log_prob"))

@@ -25,6 +25,8 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 GRAM_BASE = 0xD6E8FEB86659FD93
 LONG_WORD = 256
 SLICE_BYTES = 2 << 20
+#: stands for a null id inside the operators, which give it back as null; no document may have it as its id
+NO_ID = -(1 << 63)
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -67,10 +69,10 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batches: Iterable[pa.RecordBatch], ident: str = "doc_id", text: str = "text") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, bytes, offsets) for runs of rows of about ``SLICE_BYTES``; one long row is one run.
 
-    Rows whose id is null get the id of the smallest 64-bit integer.
+    Rows whose id is null get NO_ID.
     """
     for batch in batches:
-        ids = pc.fill_null(batch.column(ident).cast(pa.int64()), -(1 << 63)).to_numpy(zero_copy_only=False)
+        ids = pc.fill_null(batch.column(ident).cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
         raw, off = text_buffers(batch.column(text))
         at = 0
         while at < len(ids):
