@@ -77,6 +77,24 @@ def test_suffix_dedup(docs, texts, none):
     assert suffix_dedup.repeated_bytes(none).count() == 0
 
 
+@pytest.mark.parametrize("operator", [substring_dedup.repeated_windows, suffix_dedup.repeated_bytes])
+def test_dedup_of_null_and_repeated_ids(spark, operator, monkeypatch):
+    from tidewire.llm import exchange
+
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 100)
+    line = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, line, 1), (4, line, 2), (4, line, 3), (9, "x " + line, 4), (5, None, 5), (6, "", 6), (7, "own words " * 3, 7)]
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_removed > 0) for r in operator(spark.createDataFrame(rows, "doc_id bigint, text string, bucket int")).collect()))
+    assert got == [(False, 4, True), (False, 4, True), (False, 5, False), (False, 6, False), (False, 7, False), (False, 9, True), (True, 0, False)]
+
+
+def test_dedup_of_a_hot_passage_sends_one_suffix_a_slice(spark):
+    rec = np.zeros(5, suffix_dedup._record(50))
+    rec["owner"], rec["rs"], rec["right"][:, 0] = [3, 1, 2, 1, 9], 50, [7, 7, 7, 7, 8]
+    sent, known = suffix_dedup._combined(rec)
+    assert sent.tolist() == [False, True, False, True, True] and known.tolist() == [True, False, True, False, False]
+
+
 def test_interval_tree_holds_all_occurrences():
     lcp = np.array([0, 3, 3, 1, 5, 0])
     assert sorted(suffix_dedup.intervals(lcp)) == [(1, 0, 4, 0), (3, 0, 2, 1), (5, 3, 4, 1)]

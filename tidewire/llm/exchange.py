@@ -2,8 +2,8 @@
 
 A task packs what it found into one binary row per target bucket, so that Spark
 moves a few large rows instead of one row per fact: 4 to 8 bytes a fact rather than
-about 30.  Buckets are Spark partitions; their number is the session's number of
-shuffle partitions, so the size of a bucket is set as for any other shuffle.
+about 30.  Buckets are Spark partitions; there are as many as the session's shuffle
+partitions, or more where the measured size of the texts asks for it.
 Facts are combined inside a slice before they are sent: a key that many owners of a
 slice share is sent once, so a key of a third of all rows stays small.
 """
@@ -22,10 +22,20 @@ ARROW_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("owners
 FACT, TOLD = 0, 1
 
 
-def buckets(spark: SparkSession) -> int:
+#: a bucket holds about so many bytes of documents
+BUCKET_BYTES = 64 << 20
+
+
+def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets(docs: DataFrame, column: str = "text") -> int:
+    """Buckets for a table: as many as shuffle partitions, and more where these would be over BUCKET_BYTES."""
+    size = docs.agg(F.sum(F.octet_length(column).cast("bigint"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+
+
 P1, P2, SPREAD = 2147483647, 2147483629, 1640531527
 #: groups that hold whole documents are this many times finer than shuffle partitions
 FINER = 2

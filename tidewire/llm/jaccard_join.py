@@ -109,7 +109,7 @@ def _shared_counts(key: tuple, table: pa.Table) -> pa.Table:
 
 def candidate_sets(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(id, n, grams) of one document for each class that may link with another class."""
-    n = X.buckets(docs.sparkSession)
+    n = X.buckets(docs)
     told = X.shared_facts(docs.mapInArrow(_prefix_facts(n), X.PACKED), n, "uint32")
     shared = told.groupBy("bucket").applyInArrow(_shared_counts, "owner bigint, shared bigint")
     classes = sizes.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("owner").alias("owner"))
@@ -186,7 +186,7 @@ def _prefix(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    n = X.buckets(sets.sparkSession)
+    n = X.buckets(sets, "grams")
     blocks = sets.withColumn("block", X.owner_bucket_column(F.col("id"), n * X.FINER)).groupBy("block")
     counts = blocks.applyInArrow(_gram_counts(n), "bucket int, block int, counts binary, keys binary").repartitionById(n, "bucket").mapInArrow(_total_counts, "block int, counts binary, keys binary")
     return blocks.cogroup(counts.groupBy("block")).applyInArrow(_prefix, "id bigint, n bigint, single bigint, wide binary, bits binary")
@@ -285,7 +285,7 @@ def _across(joined: DataFrame, maps: DataFrame) -> DataFrame:
     task meets more than twice that of a key, however many sets have it.  Keys of one block
     are grouped many at a time.
     """
-    slots = X.buckets(joined.sparkSession)
+    slots = X.partitions(joined.sparkSession)
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     slot = F.when(parts > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(slots)))

@@ -15,7 +15,8 @@ its word sequence also starts in a document with a smaller id.
 3. Documents are told which windows to remove.
 
 Null or empty text has no words.  Rows that repeat a ``doc_id`` count as one document
-for "smaller id" and each gives one result row.  Extra columns are ignored.
+for "smaller id" and each gives one result row; a null id stays null and counts as smaller
+than all others.  An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import exchange as X
-from tidewire.llm.words import Words, slices
+from tidewire.llm.words import NO_ID, Words, slices
 
 PERIOD, COVER = 7, (0, 1, 3)
 OUT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
@@ -70,8 +71,8 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and the kept text."""
     if window < PERIOD:
         raise ValueError(f"a window needs at least {PERIOD} words")
-    n = X.buckets(docs.sparkSession)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n = X.buckets(docs)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raw, off in slices(batches):
@@ -140,4 +141,4 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
     by_doc = docs.withColumn("bucket", X.owner_bucket_column(F.col("doc_id"), n * X.FINER)).groupBy("bucket")
     spread = by_doc.cogroup(told.groupBy("bucket")).applyInArrow(windows, X.PACKED)
     gone = X.shared_facts(spread, n, "uint64", "later")
-    return by_doc.cogroup(gone.groupBy("bucket")).applyInArrow(remove, OUT)
+    return by_doc.cogroup(gone.groupBy("bucket")).applyInArrow(remove, OUT).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

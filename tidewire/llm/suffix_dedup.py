@@ -11,6 +11,8 @@ alone, so two occurrences of the same string hold the same anchor at the same of
 1. Anchors are exchanged as packed facts; documents learn which also occur in another.
 2. For those, the suffix from the anchor (``length`` bytes) and the bytes to its left are
    sent to the partition of the anchor's hash, which holds all suffixes that start alike.
+   Equal suffixes with equal left sides are combined in each slice of documents: the smallest
+   document's is sent, and what the others repeat is known at once.
 3. Each partition sorts its suffixes, takes the common prefix of neighbours (the enhanced
    suffix array) and builds the tree of common-prefix intervals with one stack scan.  An
    interval of depth d holds *all* occurrences of its d-byte prefix, not just neighbours.
@@ -20,7 +22,8 @@ alone, so two occurrences of the same string hold the same anchor at the same of
 4. Documents receive the marks and drop the covered bytes.
 
 Null or empty text has no bytes.  Rows that repeat a ``doc_id`` count as one document for
-"smaller id"; each gives one row.  Extra columns are ignored.
+"smaller id"; each gives one row; a null id stays null and counts as smaller than all others.
+An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +33,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import exchange as X
-from tidewire.llm.words import BASE, BASE_INVERSE, mix, powers, slices
+from tidewire.llm.words import BASE, BASE_INVERSE, NO_ID, mix, powers, slices
 
 LENGTH, SEED = 50, 16
+SUFFIXES = f"{X.PACKED}, suffixes binary"
 OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
 
 
@@ -156,6 +161,24 @@ def _grow(data: bytes, record: np.dtype) -> np.ndarray:
     return rec
 
 
+def _fits(rs: np.ndarray, ls: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix a bit for each s whose string of ``length`` bytes is all inside its sides."""
+    span = np.arange(length - SEED + 1)
+    return ((span <= ls[:, None]) & (length - span <= rs[:, None])).astype(np.uint64) @ (np.uint64(1) << span.astype(np.uint64))
+
+
+def _combined(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each record has the smallest document of those with equal bytes, and whether it has a larger one."""
+    content = np.empty(len(rec), [(f, rec.dtype[f]) for f in ("rs", "ls", "right", "left")])
+    for f in content.dtype.names:
+        content[f] = rec[f]
+    _, kind = np.unique(content.view(np.dtype((np.void, content.dtype.itemsize))), return_inverse=True)
+    least = np.full(kind.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, rec["owner"])
+    later = rec["owner"] > least[kind]
+    return ~later, later
+
+
 def _wide(m: np.ndarray) -> np.ndarray:
     """Columns padded to whole 8-byte words."""
     return np.pad(m, ((0, 0), (0, -m.shape[1] % 8)))
@@ -165,8 +188,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept text."""
     if not SEED < length <= SEED + 34:
         raise ValueError(f"length must be from {SEED + 1} to {SEED + 34}")
-    n = X.buckets(docs.sparkSession)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n = X.buckets(docs)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     record, back = _record(length), length - SEED
     short = lambda h: (h >> np.uint64(8)).astype(np.uint32)  # noqa: E731  top bits of the smallest hashes are alike
     bucket = lambda h: (mix(h) % np.uint64(n)).astype(np.int32)
@@ -182,29 +205,38 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def suffixes(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         owner, keys = X.unpack(*(right.column(c).to_pylist() for c in ("owners", "counts", "keys")), "uint32")
         told = np.unique(X.owner_bucket(owner, 1 << 31).astype(np.uint64) << np.uint64(32) | keys) if len(owner) else np.zeros(0, np.uint64)
-        rows: list[tuple[int, bytes]] = []
+        rows: list[tuple] = []
         for ids, raw, off in slices(left.select(["doc_id", "text"]).to_batches()) if len(told) else ():
-            at, row, h = anchors(raw, off, length)
-            want = X.owner_bucket(ids[row], 1 << 31).astype(np.uint64) << np.uint64(32) | short(h)
+            p, r, h = anchors(raw, off, length)
+            want = X.owner_bucket(ids[r], 1 << 31).astype(np.uint64) << np.uint64(32) | short(h)
             hit = told[np.minimum(np.searchsorted(told, want), len(told) - 1)] == want
-            at, row, h = at[hit], row[hit], h[hit]
-            b = bucket(h)
-            order = np.argsort(b, kind="stable")
-            at, row, b = at[order], row[order], b[order]
+            p, r, h = p[hit], r[hit], h[hit]
             padded = np.concatenate([np.zeros(back, np.uint8), raw, np.zeros(length, np.uint8)])
-            first, size = X.groups(b)
-            for a, m in zip(first.tolist(), size.tolist(), strict=True):
-                p, r = at[a : a + m], row[a : a + m]
-                rec = np.zeros(m, record)
-                rec["owner"], rec["at"] = ids[r], p - off[r]
-                rec["rs"], rec["ls"] = np.minimum(off[r + 1] - p, length), np.minimum(p - off[r], back)
-                rec["right"] = padded[(p + back)[:, None] + np.arange(length)] * (np.arange(length) < rec["rs"][:, None])
-                rec["left"] = padded[(p + back - 1)[:, None] - np.arange(back)] * (np.arange(back) < rec["ls"][:, None])
-                rows.append((int(b[a]), _shrink(rec)))
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "suffixes"])
+            rec = np.zeros(len(p), record)
+            rec["owner"], rec["at"] = ids[r], p - off[r]
+            rec["rs"], rec["ls"] = np.minimum(off[r + 1] - p, length), np.minimum(p - off[r], back)
+            rec["right"] = padded[(p + back)[:, None] + np.arange(length)] * (np.arange(length) < rec["rs"][:, None])
+            rec["left"] = padded[(p + back - 1)[:, None] - np.arange(back)] * (np.arange(back) < rec["ls"][:, None])
+            sent, known = _combined(rec)
+            bits = _fits(rec["rs"][known].astype(np.int64), rec["ls"][known].astype(np.int64), length)
+            own, key = rec["owner"][known], rec["at"][known].astype(np.uint64) << np.uint64(back + 1) | bits
+            packed = X.pack(X.owner_bucket(own[bits > 0], n * X.FINER), X.TOLD, own[bits > 0], key[bits > 0])
+            rows += [(*x.values(), None) for x in packed.to_pylist()] if packed is not None else []
+            rec, b = rec[sent], bucket(h[sent])
+            order = np.argsort(b, kind="stable")
+            rec, b = rec[order], b[order]
+            rows += [(int(b[a]), X.FACT, None, None, None, _shrink(rec[a : a + m])) for a, m in zip(*(x.tolist() for x in X.groups(b)), strict=True)]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "kind", "owners", "counts", "keys", "suffixes"])
 
     def scan_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [x for batch in batches for x in batch.column("suffixes").to_pylist()]
+        got = []
+        for batch in batches:
+            known = batch.filter(pc.equal(batch.column("kind"), X.TOLD))
+            if known.num_rows:
+                yield known.select(X.ARROW_PACKED.names)
+            got += batch.column("suffixes").drop_null().to_pylist()
         rec = np.concatenate([_grow(x, record) for x in got]) if got else np.zeros(0, record)
         del got
         if not len(rec):
@@ -226,8 +258,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         rs, ls = rec["rs"][head].astype(np.int64), rec["ls"][head].astype(np.int64)
         bits = marks(rec["owner"][head], _wide(rec["right"][head]), rs, _wide(rec["left"][head]), ls, length)[entry]
         # a document after the first with the same bytes around repeats every string that fits
-        span = np.arange(back + 1)
-        fits = ((span <= ls[:, None]) & (length - span <= rs[:, None])).astype(np.uint64) @ (np.uint64(1) << span.astype(np.uint64))
+        fits = _fits(rs, ls, length)
         later = rec["owner"] > rec["owner"][head][entry]
         bits[later] |= fits[entry[later]]
         hit = np.flatnonzero(bits)
@@ -264,6 +295,6 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     told = X.shared_facts(X.scan(docs, facts), n, "uint32")
     by_doc = docs.withColumn("bucket", X.owner_bucket_column(F.col("doc_id"), n * X.FINER)).groupBy("bucket")
-    spread = by_doc.cogroup(told.groupBy("bucket")).applyInArrow(suffixes, "bucket int, suffixes binary")
+    spread = by_doc.cogroup(told.groupBy("bucket")).applyInArrow(suffixes, SUFFIXES)
     marked = spread.repartitionById(n, "bucket").mapInArrow(scan_trees, X.PACKED)
-    return by_doc.cogroup(marked.groupBy("bucket")).applyInArrow(remove, OUT)
+    return by_doc.cogroup(marked.groupBy("bucket")).applyInArrow(remove, OUT).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
