@@ -275,7 +275,7 @@ def test_shortest_path_is_the_least_of_all_accepted_paths():
                 yield 0.0, ()
             for end in range(at + 1, len(part) + 1):
                 i = fst.id.get(part[at:end])
-                if i is not None and (fst.whole(i) if last == -1 else last == -2 or fst.adjacent(last, i)):
+                if i is not None and (fst.whole(i) if last < 0 else fst.adjacent(last, i)):
                     yield from ((w + fst.weight[i], (i, *p)) for w, p in paths(end, i))
             if part[at : at + 1] and part[at] not in fst.id:
                 yield from ((w, (*fst.fallback(part[at]), *p)) for w, p in paths(at + 1, -2))
@@ -283,6 +283,14 @@ def test_shortest_path_is_the_least_of_all_accepted_paths():
         assert fst.shortest_path(part) == min(paths(0, -1))[1]
 
 
+def test_paths_of_many_parts_are_those_of_each(texts):
+    fst = FST()
+    rng = random.Random(9)
+    parts = ["\u2581" * rng.randrange(1, 20) for _ in range(20)] + ["\u2581" + "".join(rng.choice("theinga日本\U0001f600é\x00-=_1") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    parts += [x for _, t in texts for x in fst.parts.findall(fst.normalise(t or ""))[:50] if len(x) < 60]
+    assert fst.shortest_paths(parts) == [fst.shortest_path(x) for x in parts]
+
+
 def test_chat_round_trip_and_best_branch(spark):
     rows = [("t", 1, None, "user", "hi", 1.0), ("t", 2, 1, "assistant", "a </s>[INST] \\ x", 0.2), ("t", 3, 1, "assistant", "b", 0.9), ("t", 4, 3, "user", None, 0.0), ("t", 5, 2, "user", "c", 0.1), ("u", 1, 2, "user", "loop", 1.0), ("u", 2, 1, "user", "loop", 1.0), ("v", 7, 6, "user", "orphan", None)]
     m = spark.createDataFrame(rows, "tree string, id bigint, parent bigint, role string, text string, score double")

@@ -19,7 +19,8 @@ segmentation; with it one path is accepted and its weight is the sum of its rank
 
 An input is cut where no piece of the vocabulary can cross (before a run of spaces that
 follows something else, and around line breaks).  The different parts of a slice of rows are
-found with numpy, each is encoded once, and paths are kept in a table of bounded size.
+found with numpy, each is encoded once (many at a time by :meth:`PieceTransducer.shortest_paths`,
+the same relaxation over arrays), and paths are kept in tables of bounded size.
 
 Null and empty texts have no pieces.  Decoding joins the pieces, turns byte pieces into
 bytes (invalid sequences into U+FFFD), U+2581 into a space and drops the dummy prefix; a text
@@ -43,7 +44,7 @@ from tidewire.llm.words import BASE, BASE_INVERSE, powers, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 OUT = "doc_id bigint, n_pieces bigint, ids array<int>, decoded_sha256 string, round_trip boolean"
-KEPT_PATHS = 200_000
+KEPT_PATHS, PAIR_BITS = 200_000, 20
 
 
 def vocabulary(model_file: str) -> list[tuple[str, float, str]]:
@@ -75,6 +76,22 @@ class PieceTransducer:
         lone = "".join(c for c in "\n\r\t" if not any(c in b for b in self.crossing))
         cut = re.escape(lone)
         self.parts = re.compile(rf"{SPACE}*[^{SPACE}{cut}]+|{SPACE}+|[{cut}]" if cut else rf"{SPACE}*[^{SPACE}]+|{SPACE}+") if space_cut else re.compile(r"(?s).+")
+        # the trie as sorted edges: node and character, and the node they lead to
+        edges, pieces_at, stack = [], [-1], [(0, self.trie)]
+        while stack:
+            k, node = stack.pop()
+            for c, below in node.items():
+                if c == "":
+                    pieces_at[k] = below
+                else:
+                    edges.append((k << 21 | ord(c), len(pieces_at)))
+                    stack.append((len(pieces_at), below))
+                    pieces_at.append(-1)
+        self.edge, self.edge_to = np.array(sorted(edges), np.int64).reshape(-1, 2).T.copy()
+        self.node_piece = np.array(pieces_at, np.int64)
+        self.weights = np.array(self.weight)
+        self.is_whole = np.full(len(pieces), -1, np.int8)
+        self.pair_key, self.pair_ok = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.normaliser = str.maketrans({" ": SPACE})
         self.by_slice = space_cut
         self.lone = np.zeros(256, bool)
@@ -136,7 +153,7 @@ class PieceTransducer:
                         ok = known.get(pair | piece)
                         if not (self.adjacent(last, piece) if ok is None else ok):
                             continue
-                    elif last == -1 and not self.whole(piece):
+                    elif not self.whole(piece):
                         continue
                     have = ends.get(piece)
                     if have is None or sofar + w < have[0]:
@@ -153,6 +170,117 @@ class PieceTransducer:
             at, piece = start, before
         return tuple(path[::-1])
 
+    def _arcs(self, text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and piece of all arcs of the trie over code points; ``left`` is how many
+        characters of its part each has from itself on.  A character of no piece has the arc -2."""
+        start, node = np.arange(len(text)), np.zeros(len(text), np.int64)
+        found, size = [], 0
+        while len(start):
+            size += 1
+            key = node << 21 | text[start + size - 1]
+            at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            hit = self.edge[at] == key
+            if size == 1:
+                lone = start[~hit]
+            start, node = start[hit], self.edge_to[at[hit]]
+            piece = self.node_piece[node]
+            ends = piece >= 0
+            if size == 1:
+                lone = np.concatenate([lone, start[~ends]])
+                found.append((lone, np.ones(len(lone), np.int64), np.full(len(lone), -2)))
+            found.append((start[ends], np.full(np.count_nonzero(ends), size), piece[ends]))
+            more = left[start] > size
+            start, node = start[more], node[more]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _allowed(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """The acceptor's answer for pairs of arcs; -1 is the start, -2 a byte fallback."""
+        ok = np.ones(len(last), bool)
+        first = (last < 0) & (piece >= 0)
+        fresh = np.unique(piece[first])
+        fresh = fresh[self.is_whole[fresh] < 0]
+        self.is_whole[fresh] = [self.whole(i) for i in fresh.tolist()]
+        ok[first] = self.is_whole[piece[first]] > 0
+        both = np.flatnonzero((last >= 0) & (piece >= 0))
+        key = last[both] << 32 | piece[both]
+        slot = (key.astype(np.uint64) * np.uint64(BASE) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        miss = self.pair_key[slot] != key
+        if miss.any():
+            for k, at in zip(*(x.tolist() for x in np.unique(np.stack([key[miss], slot[miss]]), axis=1)), strict=True):
+                known = self._adjacent.get(k)
+                self.pair_key[at], self.pair_ok[at] = k, self.adjacent(k >> 32, k & 0xFFFFFFFF) if known is None else known
+            again = self.pair_key[slot] != key  # pushed out by another pair of the same slot
+            ok[both] = self.pair_ok[slot]
+            ok[both[again]] = [self.adjacent(k >> 32, k & 0xFFFFFFFF) for k in key[again].tolist()]
+        else:
+            ok[both] = self.pair_ok[slot]
+        return ok
+
+    def shortest_paths(self, parts: list[str]) -> list[tuple[int, ...]]:
+        """The shortest path of each part: the relaxation of :meth:`shortest_path` for many parts at
+        once, position by position.  An arc is the state (its end, its piece), as a piece that ends
+        somewhere can only have started in one place."""
+        size = np.array([len(x) for x in parts])
+        off = np.concatenate([[0], np.cumsum(size)])
+        text = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        part = np.repeat(np.arange(len(parts)), size)
+        start, length, piece = self._arcs(text, off[part + 1] - np.arange(len(text)))
+        order = np.argsort(start - off[part[start]], kind="stable")
+        start, length, piece = start[order], length[order], piece[order]
+        local = start - off[part[start]]
+        end = start + part[start] + length  # each part has one position more than characters
+        weight = np.where(piece >= 0, self.weights[piece], 0.0)
+        best, before = np.full(len(start), np.inf), np.full(len(start), -1)
+        ends_at: list[list[np.ndarray]] = [[] for _ in range(size.max(initial=0) + 1)]
+        cuts = np.searchsorted(local, np.arange(len(ends_at) + 1))
+        for t, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if a == b:
+                continue
+            arcs = np.arange(a, b)
+            if t == 0:
+                ok = self._allowed(np.full(b - a, -1), piece[a:b])
+                best[a:b] = np.where(ok, weight[a:b], np.inf)
+            else:
+                if not ends_at[t]:
+                    continue
+                states = np.concatenate(ends_at[t])
+                states = states[np.argsort(end[states], kind="stable")]
+                at = start[a:b] + part[start[a:b]]
+                lo, hi = np.searchsorted(end[states], at, "left"), np.searchsorted(end[states], at, "right")
+                n = hi - lo
+                arcs, lo, n = arcs[n > 0], lo[n > 0], n[n > 0]
+                if not len(arcs):
+                    continue
+                first = np.concatenate([[0], np.cumsum(n)[:-1]])
+                arc = np.repeat(arcs, n)
+                state = states[np.arange(len(arc)) - np.repeat(first - lo, n)]
+                cost = np.where(self._allowed(piece[state], piece[arc]), best[state], np.inf)
+                least = np.minimum.reduceat(cost, first)
+                winner = np.flatnonzero(cost == np.repeat(least, n))
+                before[arc[winner[::-1]]] = state[winner[::-1]]
+                best[arcs] = least + weight[arcs]
+            arcs = arcs[np.isfinite(best[arcs])]
+            stop = t + length[arcs]
+            by_end = np.argsort(stop, kind="stable")
+            stop, arcs = stop[by_end], arcs[by_end]
+            for k, m in zip(*np.unique(stop, return_index=True), strict=True):
+                ends_at[int(k)].append(arcs[m : np.searchsorted(stop, k, "right")])
+        last = np.flatnonzero(np.isfinite(best) & (end == off[part[start] + 1] + part[start]))
+        last = last[np.lexsort((best[last], part[start[last]]))]
+        owner, first = np.unique(part[start[last]], return_index=True)
+        if len(owner) < len(parts):
+            raise ValueError(f"the acceptor has no path for {parts[int(np.setdiff1d(np.arange(len(parts)), owner)[0])]!r}")
+        state, steps = last[first], []
+        while (state >= 0).any():
+            steps.append(np.where(state >= 0, state, -1))
+            state = np.where(state >= 0, before[state], -1)
+        grid = np.stack(steps[::-1], axis=1)
+        flat = np.where(grid >= 0, piece[grid], -3)
+        rows = [tuple(x[x > -3]) for x in flat.astype(np.int32)]
+        for m in np.unique(part[start[piece == -2]]).tolist():
+            rows[m] = tuple(i for s in grid[m][grid[m] >= 0].tolist() for i in ([int(piece[s])] if piece[s] >= 0 else self.fallback(parts[m][start[s] - off[m]])))
+        return rows
+
     def whole(self, piece: int) -> bool:
         """Whether the merge order builds this piece when it stands alone."""
         known = self._whole.get(piece)
@@ -177,18 +305,25 @@ class PieceTransducer:
         data = b"".join(map(self.out.__getitem__, ids))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
-    def _kept(self, part: bytes) -> np.ndarray:
-        """The path of a part; the parts met last stay in two tables, of which the older is dropped when the newer is full."""
-        path = self._paths.get(part)
-        if path is None:
-            path = self._older.get(part)
-            if path is None:
-                path = np.array(self.path(part.decode().translate(self.normaliser)), np.int32)
-            if len(part) <= 64:
-                if len(self._paths) >= KEPT_PATHS:
-                    self._older, self._paths = self._paths, {}
-                self._paths[part] = path
-        return path
+    def _kept(self, parts: list[bytes]) -> list[np.ndarray]:
+        """The paths of different parts; those met last stay in two tables, of which the older is dropped when the newer is full."""
+        paths = [self._paths.get(x) for x in parts]
+        for k, path in enumerate(paths):
+            if path is None and (path := self._older.get(parts[k])) is not None:
+                paths[k] = self._paths[parts[k]] = path
+        missing = [k for k, path in enumerate(paths) if path is None]
+        texts = {k: parts[k].decode().translate(self.normaliser) for k in missing}
+        short = [k for k in missing if len(texts[k]) <= 64]
+        for a in range(0, len(short), 20_000):
+            group = short[a : a + 20_000]
+            for k, path in zip(group, self.shortest_paths([texts[k] for k in group]), strict=True):
+                paths[k] = self._paths[parts[k]] = np.array(path, np.int32)
+        for k in missing:
+            if paths[k] is None:
+                paths[k] = np.array(self.path(texts[k]), np.int32)
+        if len(self._paths) >= KEPT_PATHS:
+            self._older, self._paths = self._paths, {}
+        return paths
 
     def encode_slice(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the rows of a slice and where each row's begin; decoded bytes (with the prefix) and where each row's begin.
@@ -220,9 +355,10 @@ class PieceTransducer:
             names = {whole[a : a + n]: None for a, n in zip(at.tolist(), length.tolist(), strict=True)}
             number = {x: k for k, x in enumerate(names)}
             kind = np.array([number[whole[a : a + n]] for a, n in zip(at.tolist(), length.tolist(), strict=True)])
-            paths = [self._kept(x) for x in names]
+            paths = self._kept(list(names))
         else:
-            paths = [self._kept(data[a : a + n].tobytes()) for a, n in zip(at[first].tolist(), length[first].tolist(), strict=True)]
+            whole = data.tobytes()
+            paths = self._kept([whole[a : a + n] for a, n in zip(at[first].tolist(), length[first].tolist(), strict=True)])
         ids, part_at = _gather(paths, kind)
         row_ids = part_at[np.searchsorted(at, row_at)]
         back, id_at = _gather(self.out_arrays, ids)
