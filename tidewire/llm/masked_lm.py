@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.words import NO_ID, Words, slices
 
-KNOWN, SLOT_BITS, HELD = 1 << 16, 20, 1 << 21
+KNOWN, SLOT_BITS, HELD = 1 << 18, 21, 1 << 21
 # sizes for a small corpus, and the least for any
 INPUTS, CLASSES, OWN, WIDTH = 2048, 128, 96, 24
 PLACES = (-2, -1, 1, 2)
-MASK, ROUNDS, BATCH, RATE = 16, 2, 1024, 0.15
+MASK, ROUNDS, BATCH, BLOCK, RATE = 16, 2, 1024, 4096, 0.15
 CHUNK = 8192
 NAMES = ["row", "word", "doc_id", "n_words", "log_prob"]
 
@@ -150,30 +150,39 @@ def hidden(model: dict[str, np.ndarray], ctx: np.ndarray) -> np.ndarray:
 
 
 def step(model: dict[str, np.ndarray], seen: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray) -> None:
-    """One AdaGrad step on a batch of masked positions."""
-    n = np.float32(len(target))
-    h = hidden(model, ctx)
-    z = h @ model["out"]
-    z += model["out_bias"]
-    np.exp(z, out=z)  # scores stay far below overflow: tanh units and trained weights are small
-    z *= (1 / (z.sum(axis=1) * n))[:, None]
-    z[np.arange(len(z)), target] -= 1 / n
-    dh = z @ model["out"].T
-    dh *= 1 - h * h
-    for name, g in (("out", h.T @ z), ("out_bias", z.sum(axis=0)), ("bias", dh.sum(axis=0))):
-        seen[name] += g * g
-        model[name] -= RATE * g / np.sqrt(seen[name] + 1e-6)
+    """AdaGrad steps of the output weights for each BATCH masked positions, and one step of the embeddings for all of them."""
+    back = []
+    for k in range(0, len(target), BATCH):
+        aim = target[k : k + BATCH]
+        n = np.float32(len(aim))
+        h = hidden(model, ctx[k : k + BATCH])
+        z = h @ model["out"]
+        z += model["out_bias"]
+        np.exp(z, out=z)  # scores stay far below overflow: tanh units and trained weights are small
+        z *= (1 / (z.sum(axis=1) * n))[:, None]
+        z[np.arange(len(z)), aim] -= 1 / n
+        dh = z @ model["out"].T
+        dh *= 1 - h * h
+        back.append(dh)
+        for name, g in (("out", h.T @ z), ("out_bias", z.sum(axis=0)), ("bias", dh.sum(axis=0))):
+            seen[name] += g * g
+            model[name] -= RATE * g / np.sqrt(seen[name] + 1e-6)
     # the embeddings of all four places in one table, each row's gradients summed
-    embed, squares = (x["embed"].reshape(-1, h.shape[1]) for x in (model, seen))
+    dh = np.concatenate(back)
+    embed, squares = (x["embed"].reshape(-1, dh.shape[1]) for x in (model, seen))
     ids = (ctx + np.arange(ctx.shape[1], dtype=np.int32) * model["embed"].shape[1]).T.ravel()
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     first = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
     g = np.add.reduceat(dh[order % len(dh)], first, axis=0)
     ids = ids[first]
-    total = squares[ids] + g * g
+    total = squares[ids]
+    total += g * g
     squares[ids] = total
-    embed[ids] -= RATE * g / np.sqrt(total + 1e-6)
+    total += 1e-6
+    g *= RATE
+    g /= np.sqrt(total, out=total)
+    embed[ids] -= g
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -237,8 +246,8 @@ def train_round(docs: DataFrame, vocabulary, weights, number: int, rounds: int =
             at = masked(np.arange(len(b)) - w.at[w.doc] + ids[w.doc] % MASK, number, rounds)
             at = np.random.default_rng(n).permutation(at)
             ctx, target = contexts(b, w.doc, at, v.inputs - 1), cls[at]
-            for k in range(0, len(at), BATCH):
-                step(model, seen, ctx[k : k + BATCH], target[k : k + BATCH])
+            for k in range(0, len(at), BLOCK):
+                step(model, seen, ctx[k : k + BLOCK], target[k : k + BLOCK])
             n += len(at)
         if n:
             part = TaskContext.get().partitionId()
@@ -263,8 +272,8 @@ def log_probs(model: dict[str, np.ndarray], v: Vocabulary, words: np.ndarray, do
     found = np.empty(len(words), np.float32)
     inputs, cls, place = v.look(words)
     share = v.log_count[place] - v.log_total[cls]
-    for k in range(0, len(words), 16384):
-        at = np.arange(k, min(k + 16384, len(words)))
+    for k in range(0, len(words), 2048):
+        at = np.arange(k, min(k + 2048, len(words)))
         z = hidden(model, contexts(inputs, doc, at, v.inputs - 1)) @ model["out"]
         z += model["out_bias"]
         own = z[np.arange(len(at)), cls[at]]
