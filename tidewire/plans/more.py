@@ -19,10 +19,13 @@ def outcomes(predictions, matches, created: str = "prediction_key"):
     return predictions.select("prediction_key").join(by, "prediction_key", "left").select("prediction_key", n.alias("sources"), F.when(n >= 2, "hit").when(n == 1, "weak").otherwise("expired").alias("status"))
 
 
-@query("C19_prediction_outcomes", "conversations", "articles_v", sql=f"""WITH p AS (SELECT concat(conv_id, '-', turn) AS prediction_key, TIMESTAMP '2024-01-01 00:00:00' + (conv_id % 25) * INTERVAL 1 DAY AS created_at, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z]{{4,}}')) AS subjects FROM conversations WHERE role = 'assistant'),
+C19_SQL = f"""WITH p AS (SELECT concat(conv_id, '-', turn) AS prediction_key, TIMESTAMP '2024-01-01 00:00:00' + (conv_id % 25) * INTERVAL 1 DAY AS created_at, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z]{{4,}}')) AS subjects FROM conversations WHERE role = 'assistant'),
  a AS (SELECT url, source, published_at, {WORDS} AS words FROM articles_v),
  m AS (SELECT prediction_key, count(DISTINCT source) AS n FROM p JOIN a ON published_at >= created_at AND published_at <= created_at + INTERVAL 4 DAY WHERE len(list_intersect(subjects, words)) >= 2 GROUP BY 1)
- SELECT prediction_key, coalesce(n, 0) AS sources, CASE WHEN n >= 2 THEN 'hit' WHEN n = 1 THEN 'weak' ELSE 'expired' END AS status FROM p LEFT JOIN m USING (prediction_key)""")
+ SELECT prediction_key, coalesce(n, 0) AS sources, CASE WHEN n >= 2 THEN 'hit' WHEN n = 1 THEN 'weak' ELSE 'expired' END AS status FROM p LEFT JOIN m USING (prediction_key)"""
+
+
+@query("C19_prediction_outcomes", "conversations", "articles_v", sql=C19_SQL)
 def c19(conversations, articles):
     start = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("conv_id") % 25).cast("int"))
     preds = conversations.filter("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("prediction_key"), start.alias("created_at"), S.words(F.substring("text", 1, 200)).alias("subjects"))

@@ -26,7 +26,7 @@ PLACE = "CASE {} WHEN 0 THEN 'Iran' WHEN 1 THEN 'Moscow' WHEN 2 THEN 'Kyiv' WHEN
 #: news reports: title and lead by the number of the document, which gives the rest of the text
 REPORTS = f"""SELECT doc_id, concat('https://',source,'.example/r/',CAST(doc_id AS STRING)) url, replace(CASE doc_id%11 WHEN 0 THEN 'Airstrike hits port in *, 12 killed' WHEN 1 THEN 'Ceasefire talks collapse in *' WHEN 2 THEN 'Parliament in * approves sanctions bill' WHEN 3 THEN 'Rebels captured border town near *' WHEN 4 THEN 'Court in * jailed opposition leader' WHEN 5 THEN 'Aid delivery reopened for *' WHEN 6 THEN 'Election results in * rejected' WHEN 7 THEN 'Inflation and exports shock market in *' WHEN 8 THEN 'Militant drone attack in * wounded 1,200!' WHEN 9 THEN 'Officials agreed summit agreement with *' ELSE 'Quiet weather over *' END, '*', {PLACE.format('doc_id%10')}) title,
  concat(replace(CASE doc_id%7 WHEN 0 THEN 'Government said 40 fighters withdrew after the raid.' WHEN 1 THEN 'Analysts say talks are likely within 3 weeks in *.' WHEN 2 THEN 'Humanitarian relief was blocked and roads closed near Seattle.' WHEN 3 THEN 'The central bank said interest rates and tariffs rise; trade with * slows.' WHEN 4 THEN 'Terrorist group claimed the missile strike on *.' WHEN 5 THEN 'Police detained 15 people, protest leaders told the White House.' ELSE 'Nothing else was reported.' END, '*', {PLACE.format('(doc_id*3)%10')}), ' ', text) description,
- {PLACE.format('doc_id%10')} place, concat('Group ',CAST(doc_id%17 AS STRING)) actor, source, concat(source,'.example') source_domain, lang language, CAST('2024-01-01' AS TIMESTAMP) + CAST((doc_id*37)%43200 AS INT) * INTERVAL '1' MINUTE published_at, CASE WHEN doc_id%2=0 THEN 'geopolitics' ELSE 'economics' END topic FROM documents"""
+ {PLACE.format('doc_id%10')} place, concat('Group ',CAST(doc_id%17 AS STRING)) actor, source, concat(source,'.example') source_domain, lang language, CAST('2024-01-01' AS TIMESTAMP) + CAST((doc_id*37+(doc_id*doc_id)%997)%43200 AS INT) * INTERVAL '1' MINUTE published_at, CASE WHEN doc_id%2=0 THEN 'geopolitics' ELSE 'economics' END topic FROM documents"""
 
 TEXTS = {"reports_v": REPORTS, "articles_v": ARTICLES, "structured_v": STRUCTURED, "mentions_v": MENTIONS, "registry_v": REGISTRY, "framing_v": FRAMING, "disputes_v": DISPUTES, "claims_v": CLAIMS}
 TABLES = ("documents", "events", "nation", "lineitem")

@@ -38,24 +38,35 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
-def run_batches(stream: DataFrame, name: str, step: Callable[[DataFrame, DataFrame | None], DataFrame], mode: str = "append") -> DataFrame:
-    """Each batch is merged into a versioned table; late rows merge like any other.
+def run_batches(stream: DataFrame, name: str, step: Callable[[DataFrame, DataFrame | None], DataFrame], mode: str = "append", folder: str | None = None, every: str | None = None) -> DataFrame:
+    """Each batch is merged into a versioned table; late rows merge like any other.
 
-    A batch that runs again after a failure writes the same version from the same former
-    one, so its effect is exactly once.
+    ``folder`` names the place of the job's state: a run that finds one there goes on from the
+    last file seen and the last version written.  Version n is made of the newest version
+    before n in the folder, so a batch that runs again after a failure has its effect once.
+    ``every`` runs the job on an interval until all input is done, else what is there runs at once.
     """
     spark = stream.sparkSession
-    out = shared_folder(spark, name)
-    last: list[int] = []
+    out = folder or shared_folder(spark, name)
+
+    def versions() -> list[int]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(out)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = [f.getPath() for f in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/v*/_SUCCESS")) or []]
+        return sorted(int(p.getParent().getName()[1:]) for p in done)
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = [v for v in last if v < number]
+        before = [v for v in versions() if v < number]
         old = batch.sparkSession.read.parquet(f"{out}/v{before[-1]}") if before else None
         step(batch, old).write.mode("overwrite").parquet(f"{out}/v{number}")
-        last.append(number)
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/v{last[-1]}")
+    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/state").outputMode(mode)
+    query = writer.trigger(processingTime=every).start() if every else writer.trigger(availableNow=True).start()
+    if every:
+        query.processAllAvailable()
+        query.stop()
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/v{versions()[-1]}")
 
 
 def windowed_counts(stream: DataFrame, time: str, width: str, slide: str | None, *keys: str, late: str = "90 minutes") -> DataFrame:
