@@ -15,15 +15,17 @@ shingle).  Documents without words link with nothing.
 4. *Light and heavy.*  A set of at most ``x`` shingles is light: it enumerates the
    ``SUBSET``-element subsets of its prefix of n - t + SUBSET shingles; linked light sets
    share one.  Heavier sets, and light ones that could link with heavier, enter inverted
-   lists of the n - t + 1 rarest shingles.  The boundary ``x`` is where the number of subsets
-   outgrows the summed length of the lists that would be scanned instead.
+   lists of the n - t + 1 rarest shingles.  The boundary ``x`` is chosen by cost in rows
+   exchanged: a subset is one row, a list entry two (itself and its comparison with the list's
+   leader; lists are not scanned pair by pair, so their length does not enter).
 5. *Links.*  The sets of a key are first compared with a leader, in three rounds, each set
    with the leader that it shares most keys with; sets found connected need no further comparison.  What is left, pairs
    of one key that lie in different components, is bounded exhaustively, in blocks, by 1024-bit
    parity maps and compared where these allow a link.  All comparisons
    are exact over whole sets, and no pair that could join two components is left out.
 
-Null text has no words.  Rows with a null id are left out.  Rows that repeat an id each
+Null text has no words.  A row with a null id gives a row with its set's size and a null
+component: it links with nothing, as no id could stand for it.  Rows that repeat an id each
 give a row; the set of the row with most shingles, then the largest sums, stands for the
 id where it links.  An empty table gives an empty result; extra columns are ignored.
 """
@@ -347,15 +349,18 @@ def links(sets: DataFrame) -> DataFrame:
 
 def join_components(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    sizes = set_sizes(docs).checkpoint()
-    sets = candidate_sets(docs, sizes).checkpoint()
+    every = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = every.filter("doc_id IS NOT NULL")
+    sizes = set_sizes(named).checkpoint()
+    sets = candidate_sets(named, sizes).checkpoint()
     labels = links(sets)
     classes = sizes.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size"))
     known = classes.join(labels, "id", "left").select("fp", "size", F.coalesce("component", "id").alias("component"))
     known = known.filter("size > 1 OR component IS NOT NULL").checkpoint()
     out = join_on_key(sizes, known, "fp", weight="size", how="left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    bare = set_sizes(every.filter("doc_id IS NULL")).select(F.lit(None).cast("bigint").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
+    return out.unionByName(bare)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
@@ -363,5 +368,5 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows with a null id stay.
     """
-    drop = join_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    drop = written(join_components(docs).filter("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(drop, "doc_id", "left_anti")
