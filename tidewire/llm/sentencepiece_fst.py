@@ -44,7 +44,7 @@ from tidewire.llm.words import BASE, BASE_INVERSE, powers, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 OUT = "doc_id bigint, n_pieces bigint, ids array<int>, decoded_sha256 string, round_trip boolean"
-KEPT_PATHS, PAIR_BITS = 200_000, 20
+KEPT_PATHS, PAIR_BITS, SLICE = 250_000, 20, 4 << 20
 
 
 def vocabulary(model_file: str) -> list[tuple[str, float, str]]:
@@ -96,11 +96,11 @@ class PieceTransducer:
         self.by_slice = space_cut
         self.lone = np.zeros(256, bool)
         self.lone[[ord(c) for c in lone]] = True
-        self.out_arrays = [np.frombuffer(x, np.uint8) for x in self.out]
+        self.out_bytes, self.out_size = np.frombuffer(b"".join(self.out), np.uint8), np.array([len(x) for x in self.out])
         self._adjacent: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
-        self._paths: dict[bytes, np.ndarray] = {}
-        self._older: dict[bytes, np.ndarray] = {}
+        self._paths: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def merge(self, s: str) -> list[str]:
         """Segmentation by merges: the best-scored pair first, the leftmost of equal ones."""
@@ -216,13 +216,17 @@ class PieceTransducer:
             ok[both] = self.pair_ok[slot]
         return ok
 
-    def shortest_paths(self, parts: list[str]) -> list[tuple[int, ...]]:
-        """The shortest path of each part: the relaxation of :meth:`shortest_path` for many parts at
-        once, position by position.  An arc is the state (its end, its piece), as a piece that ends
-        somewhere can only have started in one place."""
-        size = np.array([len(x) for x in parts])
-        off = np.concatenate([[0], np.cumsum(size)])
-        text = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    def shortest_paths(self, parts: list[bytes]) -> list[bytes]:
+        """The shortest path of each part (UTF-8, spaces as they are) as packed 32-bit ids: the
+        relaxation of :meth:`shortest_path` for many parts at once, position by position.  An arc
+        is the state (its end, its piece), as a piece that ends somewhere can only have started
+        in one place."""
+        data = b"".join(parts)
+        text = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+        text[text == 32] = ord(SPACE)  # the normaliser's arc
+        begins = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+        off = begins[np.concatenate([[0], np.cumsum([len(x) for x in parts])])]
+        size = np.diff(off)
         part = np.repeat(np.arange(len(parts)), size)
         start, length, piece = self._arcs(text, off[part + 1] - np.arange(len(text)))
         order = np.argsort(start - off[part[start]], kind="stable")
@@ -272,13 +276,17 @@ class PieceTransducer:
             raise ValueError(f"the acceptor has no path for {parts[int(np.setdiff1d(np.arange(len(parts)), owner)[0])]!r}")
         state, steps = last[first], []
         while (state >= 0).any():
-            steps.append(np.where(state >= 0, state, -1))
+            steps.append(state)
             state = np.where(state >= 0, before[state], -1)
         grid = np.stack(steps[::-1], axis=1)
-        flat = np.where(grid >= 0, piece[grid], -3)
-        rows = [tuple(x[x > -3]) for x in flat.astype(np.int32)]
+        there = grid >= 0
+        ids = piece[grid[there]].astype(np.int32)
+        at = 4 * np.concatenate([[0], np.cumsum(there.sum(axis=1))])
+        packed = ids.tobytes()
+        rows = [packed[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         for m in np.unique(part[start[piece == -2]]).tolist():
-            rows[m] = tuple(i for s in grid[m][grid[m] >= 0].tolist() for i in ([int(piece[s])] if piece[s] >= 0 else self.fallback(parts[m][start[s] - off[m]])))
+            path = [i for s in grid[m][there[m]].tolist() for i in ([int(piece[s])] if piece[s] >= 0 else self.fallback(chr(text[start[s]])))]
+            rows[m] = np.array(path, np.int32).tobytes()
         return rows
 
     def whole(self, piece: int) -> bool:
@@ -305,24 +313,21 @@ class PieceTransducer:
         data = b"".join(map(self.out.__getitem__, ids))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
-    def _kept(self, parts: list[bytes]) -> list[np.ndarray]:
-        """The paths of different parts; those met last stay in two tables, of which the older is dropped when the newer is full."""
-        paths = [self._paths.get(x) for x in parts]
-        for k, path in enumerate(paths):
-            if path is None and (path := self._older.get(parts[k])) is not None:
-                paths[k] = self._paths[parts[k]] = path
+    def _kept(self, parts: list[bytes]) -> list[bytes]:
+        """The packed paths of different parts; those met last stay in two tables, of which the older is dropped when the newer is full."""
+        new, old = self._paths, self._older
+        paths = [new.get(x) or old.get(x) for x in parts]
         missing = [k for k, path in enumerate(paths) if path is None]
-        texts = {k: parts[k].decode().translate(self.normaliser) for k in missing}
-        short = [k for k in missing if len(texts[k]) <= 64]
-        for a in range(0, len(short), 20_000):
-            group = short[a : a + 20_000]
-            for k, path in zip(group, self.shortest_paths([texts[k] for k in group]), strict=True):
-                paths[k] = self._paths[parts[k]] = np.array(path, np.int32)
+        short = [k for k in missing if len(parts[k]) <= 64]
+        for a in range(0, len(short), 40_000):
+            group = short[a : a + 40_000]
+            for k, path in zip(group, self.shortest_paths([parts[k] for k in group]), strict=True):
+                paths[k] = new[parts[k]] = path
         for k in missing:
             if paths[k] is None:
-                paths[k] = np.array(self.path(texts[k]), np.int32)
-        if len(self._paths) >= KEPT_PATHS:
-            self._older, self._paths = self._paths, {}
+                paths[k] = np.array(self.path(parts[k].decode().translate(self.normaliser)), np.int32).tobytes()
+        if len(new) >= KEPT_PATHS:
+            self._older, self._paths = new, {}
         return paths
 
     def encode_slice(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -359,19 +364,17 @@ class PieceTransducer:
         else:
             whole = data.tobytes()
             paths = self._kept([whole[a : a + n] for a, n in zip(at[first].tolist(), length[first].tolist(), strict=True)])
-        ids, part_at = _gather(paths, kind)
+        ids, part_at = _gather(np.frombuffer(b"".join(paths), np.int32), np.array([len(x) // 4 for x in paths]), kind)
         row_ids = part_at[np.searchsorted(at, row_at)]
-        back, id_at = _gather(self.out_arrays, ids)
+        back, id_at = _gather(self.out_bytes, self.out_size, ids)
         return ids, row_ids, back, id_at[row_ids]
 
 
-def _gather(parts: list[np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The named parts one after the other, and where each begins (with the end)."""
-    size = np.array([len(p) for p in parts], np.int64)
+def _gather(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The named ones of parts that lie one after the other, and where each begins (with the end)."""
     begin = np.concatenate([[0], np.cumsum(size)])
     n = size[which]
     at = np.concatenate([[0], np.cumsum(n)])
-    flat = np.concatenate(parts) if len(parts) else np.zeros(0, np.int32)
     return flat[np.arange(at[-1]) + np.repeat(begin[which] - at[:-1], n)], at
 
 
@@ -387,7 +390,7 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
         mark = SPACE.encode()
         for batch in batches:
             done = 0
-            for rows, raw, off in slices([batch]):
+            for rows, raw, off in slices([batch], size=SLICE):
                 own = batch.column("doc_id").slice(done, len(rows))
                 done += len(rows)
                 text = raw.tobytes()

@@ -66,8 +66,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], ident: str = "doc_id", text: str = "text") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, bytes, offsets) for runs of rows of about ``SLICE_BYTES``; one long row is one run.
+def slices(batches: Iterable[pa.RecordBatch], ident: str = "doc_id", text: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, bytes, offsets) for runs of rows of about ``size`` bytes; one long row is one run.
 
     Rows whose id is null get NO_ID.
     """
@@ -76,7 +76,7 @@ def slices(batches: Iterable[pa.RecordBatch], ident: str = "doc_id", text: str =
         raw, off = text_buffers(batch.column(text))
         at = 0
         while at < len(ids):
-            to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE_BYTES, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
             yield ids[at:to], raw[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
 
