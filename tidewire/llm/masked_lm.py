@@ -171,7 +171,7 @@ def step(model: dict[str, np.ndarray], seen: dict[str, np.ndarray], ctx: np.ndar
     dh = np.concatenate(back)
     embed, squares = (x["embed"].reshape(-1, dh.shape[1]) for x in (model, seen))
     ids = (ctx + np.arange(ctx.shape[1], dtype=np.int32) * model["embed"].shape[1]).T.ravel()
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16) if len(embed) <= 1 << 16 else ids, kind="stable")  # 16-bit keys are sorted by radix
     ids = ids[order]
     first = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
     g = np.add.reduceat(dh[order % len(dh)], first, axis=0)
