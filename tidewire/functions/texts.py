@@ -14,7 +14,7 @@ from tidewire.functions import scalars as S
 FRAMES = {
     "terrorism": ["terrorist", "terrorists", "terror group", "terror groups", "extremist", "extremists", "jihadist", "jihadists", "designated terrorist", "foreign terrorist organization"],
     "militancy": ["militant", "militants", "armed group", "armed groups", "fighters", "gunmen", "operatives", "paramilitary", "militia", "militias"],
-    "rebellion": ["rebel", "rebels", "insurgent", "insurgents", "uprising", "opposition fighter", "opposition fighters", "anti-government", "antigovernment"],
+    "rebellion": ["rebel", "rebels", "insurgent", "insurgents", "uprising", "opposition fighter", "opposition fighters", "anti-government", "anti government"],
     "governance": ["government", "administration", "authorities", "state media", "officials", "regime", "junta", "state security", "security forces", "interior ministry"],
     "resistance": ["resistance", "freedom fighter", "freedom fighters", "liberation", "movement"],
     "criminality": ["criminal", "criminals", "gang", "gangs", "cartel", "cartels", "smuggler", "smugglers"],
@@ -22,7 +22,7 @@ FRAMES = {
     "proxy": ["proxy", "proxy force", "proxy forces", "proxy militia", "proxy militias", "proxy war", "iran-backed", "iran backed", "russia-backed", "russia backed", "turkey-backed", "turkey backed", "us-backed", "u.s.-backed", "western-backed", "western backed"],
     "occupation": ["occupation", "occupying force", "occupying forces", "occupier", "occupiers", "annexed", "annexation"],
     "legitimacy": ["recognized government", "internationally recognized", "de facto authority", "de facto authorities", "self-styled", "self styled", "self-proclaimed", "self proclaimed", "interim government"],
-    "diplomacy": ["ceasefire", "truce", "talks", "negotiations", "peace talks", "mediated", "back channel", "envoy"],
+    "diplomacy": ["ceasefire", "truce", "talks", "negotiations", "peace talks", "mediated", "backchannel", "envoy"],
     "humanitarian": ["aid convoy", "humanitarian", "displaced", "refugees", "civilians", "relief effort", "famine", "starvation"],
 }
 CLAIM_STOPWORDS = ["the", "and", "that", "with", "from", "this", "into", "after", "over", "under", "amid", "against", "about", "their", "there", "which", "would", "could", "should", "while", "where", "when", "what", "than", "been", "have", "has", "were", "will", "says", "said", "say", "report", "reports", "reported", "according"]

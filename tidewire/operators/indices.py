@@ -60,27 +60,23 @@ def attention(articles: DataFrame, as_of: str, hours: int = 72) -> DataFrame:
 def label_country(records: DataFrame, countries: DataFrame, label: str = "event_label") -> DataFrame:
     """The first gazetteer country that a label contains; ``countries`` has name, position.
 
-    The gazetteer is a fixed small dimension, so it is broadcast and compared by substring.
+    Each different label is compared once by substring with the gazetteer, a fixed small dimension.
     """
-    at = F.lower(F.coalesce(label, F.lit("")))
     small = F.broadcast(countries.select(F.lower("name").alias("_name"), F.col("position").alias("_position")))
-    keyed = records.withColumn("_row", F.monotonically_increasing_id())
-    hit = keyed.select("_row", at.alias("_label")).join(small, F.contains("_label", "_name")).groupBy("_row").agg(F.min_by("_name", "_position").alias("country"))
-    return keyed.join(hit, "_row").drop("_row")
+    labels = records.select(label).distinct()
+    hit = labels.join(small, F.contains(F.lower(label), F.col("_name"))).groupBy(label).agg(F.min_by("_name", "_position").alias("country"))
+    return records.join(hit, label)
 
 
 def contradictions(disputes: DataFrame, countries: DataFrame) -> DataFrame:
     """Contradictions by the country that the dispute's label names."""
-    located = disputes.withColumn("_label", F.lower("event_label"))
-    small = F.broadcast(countries.select(F.lower("name").alias("_name"), F.col("position").alias("_position")))
-    named = located.join(small, F.contains("_label", "_name")).groupBy("event_key", "contradiction_count").agg(F.min_by("_name", "_position").alias("country"))
-    by = named.groupBy(S.country("country").alias("country")).agg(F.sum("contradiction_count").alias("contradiction_count"), F.count(F.lit(1)).alias("event_count"))
+    by = label_country(disputes, countries).groupBy(S.country("country").alias("country")).agg(F.sum("contradiction_count").alias("contradiction_count"), F.count(F.lit(1)).alias("event_count"))
     return by.withColumn("score", logistic(F.col("contradiction_count"), MIDPOINTS["contradiction"]))
 
 
 def activity(spikes: DataFrame, places: DataFrame) -> DataFrame:
     """Mean spike ratio of place entities with a ratio of 1.5 or more."""
-    rows = spikes.filter("entity_type = 'GPE' AND spike_ratio >= 1.5").join(F.broadcast(places), "entity")
+    rows = spikes.filter("entity_type = 'GPE' AND spike_ratio >= 1.5").join(places, "entity")
     by = rows.groupBy(S.country("country").alias("country")).agg(F.avg("spike_ratio").alias("avg_ratio"), F.count(F.lit(1)).alias("spikes"))
     return by.withColumn("score", logistic(F.col("avg_ratio"), MIDPOINTS["entity_activity"]))
 

@@ -76,7 +76,7 @@ def a20(structured):
 
 @query("A21_article_rollup", "articles_v", "registry_v", sql="SELECT topic, language, count(*) AS articles, count(DISTINCT source) AS sources, count(*) FILTER (WHERE trust_tier = 'tier_1') AS tier_1, count(*) FILTER (WHERE source_type = 'wire') AS wires, max(published_at) AS latest FROM articles_v JOIN registry_v USING (source_domain) GROUP BY 1, 2")
 def a21(articles, registry):
-    rows = articles.join(F.broadcast(registry.select("source_domain", "trust_tier", "source_type")), "source_domain")
+    rows = articles.join(registry.select("source_domain", "trust_tier", "source_type"), "source_domain")
     return rows.groupBy("topic", "language").agg(F.count(F.lit(1)).alias("articles"), F.countDistinct("source").alias("sources"), F.count_if(F.col("trust_tier") == "tier_1").alias("tier_1"), F.count_if(F.col("source_type") == "wire").alias("wires"), F.max("published_at").alias("latest"))
 
 

@@ -53,7 +53,7 @@ def places(nation: DataFrame) -> DataFrame:
 
 
 def parts(structured, articles, registry, disputes, mentions, framing, nation) -> DataFrame:
-    regional = articles.join(F.broadcast(registry.select("source_domain", "region")), "source_domain")
+    regional = articles.join(registry.select("source_domain", "region"), "source_domain")
     return I.components(
         conflict=I.conflict(structured), media_attention=I.attention(regional, AS_OF, HOURS), contradiction=I.contradictions(disputes, gazetteer(nation)),
         event_severity=I.severity(structured), entity_activity=I.activity(A.entity_spikes(mentions, MENTIONS_AS_OF, limit=None, threshold=0.0), places(nation)), narrative_volatility=I.volatility(framing),
@@ -67,7 +67,7 @@ def a12(structured):
 
 @query("A13_media_attention", "articles_v", "registry_v", sql=f"SELECT country, round(weighted_articles, 4) AS weighted_articles, source_count, round({SIG.format(v='weighted_articles', m='30.0')}, 4) AS score FROM ({MEDIA})")
 def a13(articles, registry):
-    return rounded(I.attention(articles.join(F.broadcast(registry.select("source_domain", "region")), "source_domain"), AS_OF, HOURS), "weighted_articles", "score")
+    return rounded(I.attention(articles.join(registry.select("source_domain", "region"), "source_domain"), AS_OF, HOURS), "weighted_articles", "score")
 
 
 @query("A14_contradiction_density", "disputes_v", "nation", sql=f"SELECT country, contradiction_count, event_count, round({SIG.format(v='contradiction_count', m='3.0')}, 4) AS score FROM ({FOG})")
@@ -129,4 +129,4 @@ def w4(structured):
  SELECT region, articles, sources, latest, round(weight, 4) AS weight, round(weight / sum(weight) FILTER (WHERE region <> 'global') OVER (), 4) AS share, round(weight / max(weight) FILTER (WHERE region <> 'global') OVER (), 4) AS size FROM g""")
 def a11(articles, registry):
     """Region attention: weight, sources, share and size, 'global' kept apart from the totals."""
-    return rounded(A.region_attention(articles.join(F.broadcast(registry.select("source_domain", "region")), "source_domain"), AS_OF, HOURS), "weight", "share", "size")
+    return rounded(A.region_attention(articles.join(registry.select("source_domain", "region"), "source_domain"), AS_OF, HOURS), "weight", "share", "size")

@@ -62,7 +62,7 @@ def c22(structured, articles):
 
 
 def scored(articles, registry):
-    rows = articles.join(F.broadcast(registry.select("source_domain", "active", "region", "trust_tier")), "source_domain", "left")
+    rows = articles.join(registry.select("source_domain", "active", "region", "trust_tier"), "source_domain", "left")
     q = X.quality_score(F.col("title"), F.col("description"), F.col("published_at"), F.col("language"), F.col("source_domain"), F.coalesce("active", F.lit(False)), F.col("region"), F.col("trust_tier"), F.lit(0))
     rows = rows.withColumn("quality", q)
     return rows.withColumn("promoted", R.promoted(F.col("quality"), F.coalesce("active", F.lit(False)), F.col("region"), S.is_english("language")))

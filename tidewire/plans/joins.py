@@ -18,7 +18,7 @@ KM = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(a.latitude - b.latitude)
 
 @query("J1_articles_topics", "articles_v", "registry_v", sql="SELECT url, topic, trust_tier FROM articles_v JOIN registry_v USING (source_domain)")
 def j1(articles, registry):
-    return articles.join(F.broadcast(registry), "source_domain").select("url", "topic", "trust_tier")
+    return articles.join(registry, "source_domain").select("url", "topic", "trust_tier")
 
 
 @query("J2_translations_overlay", "articles_v", sql=f"WITH tr AS ({TRANSLATED}) SELECT url, coalesce(translated_title, title) AS title FROM articles_v LEFT JOIN tr ON article_url = url")
@@ -70,39 +70,39 @@ def j13(mentions):
     return A.cooccurrences(mentions).drop("mentioned_at")
 
 
-@query("J14_causal_edges", "structured_v", sql="""WITH n AS (SELECT event_id AS id, country, ts, actor_primary AS actor, event_type AS kind FROM structured_v WHERE fatalities >= 11),
- p AS (SELECT a.id AS cause, b.id AS effect, floor(epoch_us(b.ts) / 1000000) - floor(epoch_us(a.ts) / 1000000) AS lag, a.actor = b.actor AS x, a.kind = b.kind AS y FROM n a JOIN n b ON a.country = b.country AND floor(epoch_us(b.ts) / 1000000) > floor(epoch_us(a.ts) / 1000000) AND floor(epoch_us(b.ts) / 1000000) - floor(epoch_us(a.ts) / 1000000) <= 259200)
- SELECT cause, effect, round((1.0 - lag / 259200.0) * 0.3 + CASE WHEN x THEN 0.35 ELSE 0.0 END + CASE WHEN y THEN 0.15 ELSE 0.0 END + 0.1, 6) AS score FROM p WHERE (1.0 - lag / 259200.0) * 0.3 + CASE WHEN x THEN 0.35 ELSE 0.0 END + CASE WHEN y THEN 0.15 ELSE 0.0 END + 0.1 >= 0.35""")
+@query("J14_causal_edges", "structured_v", sql="""WITH n AS (SELECT event_id AS id, country, ts, actor_primary AS actor, event_type AS kind FROM structured_v),
+ p AS (SELECT a.id AS cause, b.id AS effect, floor(epoch_us(b.ts) / 1000000) - floor(epoch_us(a.ts) / 1000000) AS lag, a.actor = b.actor AS x, a.kind = b.kind AS y FROM n a JOIN n b ON a.country = b.country AND floor(epoch_us(b.ts) / 1000000) > floor(epoch_us(a.ts) / 1000000) AND floor(epoch_us(b.ts) / 1000000) - floor(epoch_us(a.ts) / 1000000) <= 1209600)
+ SELECT cause, effect, round((1.0 - lag / 1209600.0) * 0.3 + CASE WHEN x THEN 0.35 ELSE 0.0 END + CASE WHEN y THEN 0.15 ELSE 0.0 END + 0.1, 8) AS score FROM p WHERE (1.0 - lag / 1209600.0) * 0.3 + CASE WHEN x THEN 0.35 ELSE 0.0 END + CASE WHEN y THEN 0.15 ELSE 0.0 END + 0.1 >= 0.35""")
 def j14(structured):
-    nodes = structured.filter("fatalities >= 11").select(F.col("event_id").alias("id"), "country", "ts", F.col("actor_primary").alias("actor"), F.col("event_type").alias("kind"))
-    return J.causal_edges(nodes, lag_days=3).select("cause", "effect", F.round("score", 6).alias("score"))
+    nodes = structured.select(F.col("event_id").alias("id"), "country", "ts", F.col("actor_primary").alias("actor"), F.col("event_type").alias("kind"))
+    return J.causal_edges(nodes, lag_days=14).select("cause", "effect", F.round("score", 8).alias("score"))
 
 
 @query("J15_perspectives", "articles_v", "framing_v", "registry_v", sql="SELECT url, f.subject_key, f.dominant_frame, r.trust_tier, r.region FROM articles_v a LEFT JOIN framing_v f ON f.article_url = a.url LEFT JOIN registry_v r USING (source_domain)")
 def j15(articles, framing, registry):
     rows = articles.select("url", "source_domain").join(framing.select(F.col("article_url").alias("url"), "subject_key", "dominant_frame"), "url", "left")
-    return rows.join(F.broadcast(registry.select("source_domain", "trust_tier", "region")), "source_domain", "left").drop("source_domain")
+    return rows.join(registry.select("source_domain", "trust_tier", "region"), "source_domain", "left").drop("source_domain")
 
 
 WORDS = "list_distinct(regexp_extract_all(lower(title), '[a-z]{4,}'))"
 
 
-@query("J16_prediction_articles", "conversations", "articles_v", sql=f"""WITH p AS (SELECT concat(conv_id, '-', turn) AS prediction_key, TIMESTAMP '2024-01-01 00:00:00' + (conv_id % 25) * INTERVAL 1 DAY AS created_at, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z]{{4,}}')) AS subjects FROM conversations WHERE role = 'assistant'),
+@query("J16_prediction_articles", "conversations", "articles_v", sql=f"""WITH p AS (SELECT concat(conv_id, '-', turn) AS prediction_key, TIMESTAMP '2024-01-01 00:00:00' + (conv_id % 25) * INTERVAL 1 DAY AS created_at, list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS subjects FROM conversations WHERE role = 'assistant'),
  a AS (SELECT url, source, published_at, {WORDS} AS words FROM articles_v)
  SELECT prediction_key, url, source, len(list_intersect(subjects, words)) AS shared FROM p JOIN a ON published_at >= created_at AND published_at <= created_at + INTERVAL 4 DAY WHERE len(list_intersect(subjects, words)) >= 2""")
 def j16(conversations, articles):
     start = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("conv_id") % 25).cast("int"))
-    preds = conversations.filter("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("prediction_key"), start.alias("created_at"), S.words(F.substring("text", 1, 200)).alias("subjects"))
+    preds = conversations.filter("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("prediction_key"), start.alias("created_at"), S.words("text").alias("subjects"))
     preds = preds.withColumn("horizon_at", F.col("created_at") + F.expr("INTERVAL 1 DAY"))
     return J.windowed_matches(preds, articles.withColumn("words", S.words("title")))
 
 
 @query("J17_vector_top_k", "embeddings", sql="""WITH q AS (SELECT vec_id AS query_id, embedding AS qe, label FROM embeddings WHERE vec_id % 100 = 0),
- s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])) AS score FROM embeddings e JOIN q ON e.label = q.label AND vec_id <> query_id)
+ s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])) AS score FROM embeddings e JOIN q ON vec_id <> query_id)
  SELECT query_id, vec_id, round(score, 5) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 8""")
 def j17(embeddings):
-    queries = embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
-    return J.top_k_cosine(queries, embeddings, 8, same="label").withColumn("score", F.round("score", 5))
+    queries = embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return J.top_k_cosine(queries, embeddings, 8).withColumn("score", F.round("score", 5))
 
 
 @query("J18_retrieval_cascade", "articles_v", sql="""WITH s AS (SELECT url, 0 AS stage, row_number() OVER (ORDER BY published_at DESC, url) AS rank FROM articles_v WHERE contains(lower(title), 'tion')

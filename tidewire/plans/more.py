@@ -19,7 +19,7 @@ def outcomes(predictions, matches, created: str = "prediction_key"):
     return predictions.select("prediction_key").join(by, "prediction_key", "left").select("prediction_key", n.alias("sources"), F.when(n >= 2, "hit").when(n == 1, "weak").otherwise("expired").alias("status"))
 
 
-C19_SQL = f"""WITH p AS (SELECT concat(conv_id, '-', turn) AS prediction_key, TIMESTAMP '2024-01-01 00:00:00' + (conv_id % 25) * INTERVAL 1 DAY AS created_at, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z]{{4,}}')) AS subjects FROM conversations WHERE role = 'assistant'),
+C19_SQL = f"""WITH p AS (SELECT concat(conv_id, '-', turn) AS prediction_key, TIMESTAMP '2024-01-01 00:00:00' + (conv_id % 25) * INTERVAL 1 DAY AS created_at, list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS subjects FROM conversations WHERE role = 'assistant'),
  a AS (SELECT url, source, published_at, {WORDS} AS words FROM articles_v),
  m AS (SELECT prediction_key, count(DISTINCT source) AS n FROM p JOIN a ON published_at >= created_at AND published_at <= created_at + INTERVAL 4 DAY WHERE len(list_intersect(subjects, words)) >= 2 GROUP BY 1)
  SELECT prediction_key, coalesce(n, 0) AS sources, CASE WHEN n >= 2 THEN 'hit' WHEN n = 1 THEN 'weak' ELSE 'expired' END AS status FROM p LEFT JOIN m USING (prediction_key)"""
@@ -28,21 +28,21 @@ C19_SQL = f"""WITH p AS (SELECT concat(conv_id, '-', turn) AS prediction_key, TI
 @query("C19_prediction_outcomes", "conversations", "articles_v", sql=C19_SQL)
 def c19(conversations, articles):
     start = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("conv_id") % 25).cast("int"))
-    preds = conversations.filter("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("prediction_key"), start.alias("created_at"), S.words(F.substring("text", 1, 200)).alias("subjects"))
+    preds = conversations.filter("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("prediction_key"), start.alias("created_at"), S.words("text").alias("subjects"))
     preds = preds.withColumn("horizon_at", F.col("created_at") + F.expr("INTERVAL 1 DAY"))
     return outcomes(preds, J.windowed_matches(preds, articles.withColumn("words", S.words("title"))))
 
 
 @query("F36_dominant_region", "articles_v", "registry_v", sql="WITH g AS (SELECT topic, language, region, count(*) AS n FROM articles_v JOIN registry_v USING (source_domain) GROUP BY 1, 2, 3) SELECT topic, language, arg_min(region, (-n, region)) AS region, max(n) AS n FROM g GROUP BY 1, 2")
 def f36(articles, registry):
-    g = articles.join(F.broadcast(registry.select("source_domain", "region")), "source_domain").groupBy("topic", "language", "region").agg(F.count(F.lit(1)).alias("n"))
+    g = articles.join(registry.select("source_domain", "region"), "source_domain").groupBy("topic", "language", "region").agg(F.count(F.lit(1)).alias("n"))
     return g.groupBy("topic", "language").agg(F.min_by("region", F.struct(-F.col("n"), F.col("region"))).alias("region"), F.max("n").alias("n"))
 
 
 @query("F25_credible_source", "articles_v", "registry_v", sql="SELECT topic, language, arg_min(url, (trust_tier, -epoch_us(published_at), url)) AS credible_url FROM articles_v JOIN registry_v USING (source_domain) WHERE trust_tier <> 'tier_4' GROUP BY 1, 2")
 def f25(articles, registry):
     """The better tier, then the later time; the fourth tier settles nothing."""
-    rows = articles.join(F.broadcast(registry.filter("trust_tier <> 'tier_4'").select("source_domain", "trust_tier")), "source_domain")
+    rows = articles.join(registry.filter("trust_tier <> 'tier_4'").select("source_domain", "trust_tier"), "source_domain")
     order = F.struct(F.col("trust_tier"), -F.unix_micros("published_at"), F.col("url"))
     return rows.groupBy("topic", "language").agg(F.min_by("url", order).alias("credible_url"))
 
@@ -88,8 +88,8 @@ def p12(customer):
     return customer.select("c_custkey", point.alias("precise"))
 
 
-@query("F14_names_in_text", "documents", sql="SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS found FROM documents WHERE lang = 'en'")
+@query("F14_names_in_text", "documents", sql="SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS found FROM documents")
 def f14(documents):
     """Names in a text, each once."""
     found = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
-    return documents.filter("lang = 'en'").select("doc_id", F.sort_array(F.array_distinct(found)).alias("found"))
+    return documents.select("doc_id", F.sort_array(F.array_distinct(found)).alias("found"))

@@ -86,7 +86,7 @@ def p10(customer):
 
 @query("P11_promotion", "articles_v", "registry_v", sql="SELECT url, (length(title) % 10 >= 7) OR (active AND length(title) % 10 >= 5) OR (region NOT IN ('global', 'united-states', 'europe') AND length(title) % 10 >= 4) OR (language <> 'en' AND length(title) % 10 >= 5) AS promoted FROM articles_v JOIN registry_v USING (source_domain)")
 def p11(articles, registry):
-    rows = articles.join(F.broadcast(registry.select("source_domain", "region", "active")), "source_domain")
+    rows = articles.join(registry.select("source_domain", "region", "active"), "source_domain")
     return rows.select("url", R.promoted(F.length("title") % 10, F.col("active"), F.col("region"), S.is_english("language")).alias("promoted"))
 
 
@@ -128,7 +128,7 @@ def p19(articles):
 
 @query("P20_story_regions", "articles_v", "registry_v", sql="SELECT DISTINCT region FROM articles_v JOIN registry_v USING (source_domain)")
 def p20(articles, registry):
-    return articles.join(F.broadcast(registry.select("source_domain", "region")), "source_domain").select("region").distinct()
+    return articles.join(registry.select("source_domain", "region"), "source_domain").select("region").distinct()
 
 
 @query("P21_subject_signals", "framing_v", sql="SELECT article_url, dominant_frame, published_at FROM framing_v WHERE subject_key = 'FRANCE' ORDER BY published_at, article_url LIMIT 500")

@@ -55,9 +55,9 @@ def f10(articles):
     return articles.select("url", F.round(S.jaccard(S.words("title"), S.words("description")), 6).alias("j"))
 
 
-@query("F12_numbers", "documents", sql="SELECT doc_id, list_transform(regexp_extract_all(text, '\\b(\\d[\\d,]*(?:\\.\\d+)?)\\b', 1), lambda x: replace(x, ',', '')) AS numbers FROM documents WHERE lang = 'en'")
+@query("F12_numbers", "documents", sql="SELECT doc_id, list_transform(regexp_extract_all(text, '\\b(\\d[\\d,]*(?:\\.\\d+)?)\\b', 1), lambda x: replace(x, ',', '')) AS numbers FROM documents")
 def f12(documents):
-    return documents.filter("lang = 'en'").select("doc_id", S.numbers("text").alias("numbers"))
+    return documents.select("doc_id", S.numbers("text").alias("numbers"))
 
 
 @query("F13_country", "nation", sql="SELECT n_nationkey, lower(trim(regexp_extract(n_name, '^([^(\\-:]*)', 1))) AS country FROM nation")
@@ -68,7 +68,7 @@ def f13(nation):
 @query("F16_quality_score", "articles_v", "registry_v", sql=f"""SELECT url, CAST(CASE WHEN active THEN 3 ELSE 0 END + CASE WHEN region NOT IN ('global', 'united-states', 'europe') THEN 2 ELSE 0 END + CASE WHEN trust_tier = 'tier_2' THEN 1 ELSE 0 END + CASE WHEN length(t) BETWEEN 24 AND 180 THEN 2 ELSE 0 END + CASE WHEN d <> '' AND d <> t AND length(d) >= 48 THEN 2 ELSE 0 END + 2
  - CASE WHEN len(list_filter(regexp_split_to_array(t, '[ \\t\\n\\r]+'), lambda x: x <> '')) < 5 THEN 2 ELSE 0 END - CASE WHEN d = t AND length(d) < 80 THEN 2 ELSE 0 END AS INT) AS quality FROM (SELECT *, trim(title) AS t, trim(description) AS d FROM articles_v) JOIN registry_v USING (source_domain)""")
 def f16(articles, registry):
-    rows = articles.join(F.broadcast(registry.select("source_domain", "active", "region", "trust_tier")), "source_domain")
+    rows = articles.join(registry.select("source_domain", "active", "region", "trust_tier"), "source_domain")
     score = X.quality_score(F.col("title"), F.col("description"), F.col("published_at"), F.col("language"), F.col("source_domain"), F.col("active"), F.col("region"), F.col("trust_tier"), F.lit(0))
     return rows.select("url", score.alias("quality"))
 
