@@ -72,10 +72,10 @@ def j13(mentions):
 
 @query("J14_causal_edges", "structured_v", sql="""WITH n AS (SELECT event_id AS id, country, ts, actor_primary AS actor, event_type AS kind FROM structured_v),
  p AS (SELECT a.id AS cause, b.id AS effect, floor(epoch_us(b.ts) / 1000000) - floor(epoch_us(a.ts) / 1000000) AS lag, a.actor = b.actor AS x, a.kind = b.kind AS y FROM n a JOIN n b ON a.country = b.country AND floor(epoch_us(b.ts) / 1000000) > floor(epoch_us(a.ts) / 1000000) AND floor(epoch_us(b.ts) / 1000000) - floor(epoch_us(a.ts) / 1000000) <= 1209600)
- SELECT cause, effect, round((1.0 - lag / 1209600.0) * 0.3 + CASE WHEN x THEN 0.35 ELSE 0.0 END + CASE WHEN y THEN 0.15 ELSE 0.0 END + 0.1, 8) AS score FROM p WHERE (1.0 - lag / 1209600.0) * 0.3 + CASE WHEN x THEN 0.35 ELSE 0.0 END + CASE WHEN y THEN 0.15 ELSE 0.0 END + 0.1 >= 0.35""")
+ SELECT cause, effect, round((1.0 - lag / 1209600.0) * 0.3 + CASE WHEN x THEN 0.35 ELSE 0.0 END + CASE WHEN y THEN 0.15 ELSE 0.0 END + 0.1 + 1e-10, 8) AS score FROM p WHERE (1.0 - lag / 1209600.0) * 0.3 + CASE WHEN x THEN 0.35 ELSE 0.0 END + CASE WHEN y THEN 0.15 ELSE 0.0 END + 0.1 >= 0.35""")
 def j14(structured):
     nodes = structured.select(F.col("event_id").alias("id"), "country", "ts", F.col("actor_primary").alias("actor"), F.col("event_type").alias("kind"))
-    return J.causal_edges(nodes, lag_days=14).select("cause", "effect", F.round("score", 8).alias("score"))
+    return J.causal_edges(nodes, lag_days=14).select("cause", "effect", F.round(F.col("score") + 1e-10, 8).alias("score"))
 
 
 @query("J15_perspectives", "articles_v", "framing_v", "registry_v", sql="SELECT url, f.subject_key, f.dominant_frame, r.trust_tier, r.region FROM articles_v a LEFT JOIN framing_v f ON f.article_url = a.url LEFT JOIN registry_v r USING (source_domain)")

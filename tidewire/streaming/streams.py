@@ -87,7 +87,7 @@ def seen(batch: DataFrame, old: DataFrame | None, key: str, time: str) -> DataFr
     return new if old is None else merge_upsert(old, new, [key], {"first_seen": "least", "last_seen": "greatest"}).drop("_action")
 
 
-def trends(stream: DataFrame, key: str, score: str, time: str, step: float, hours: int | None = 48) -> DataFrame:
+def trends(stream: DataFrame, key: str, score: str, time: str | list[str], step: float, hours: int | None = 48) -> DataFrame:
     """Each key's score against the one kept for it; the memory is dropped after ``hours``
     without rows (processing time), or never where ``hours`` is None (a run that ends)."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -96,8 +96,11 @@ def trends(stream: DataFrame, key: str, score: str, time: str, step: float, hour
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(time)
-        now = float(rows[score].iloc[-1])
+        last = None
+        for frame in frames:  # only the latest row of each part is held
+            part = frame.sort_values(time).tail(1)
+            last = part if last is None else pd.concat([last, part]).sort_values(time).tail(1)
+        now = float(last[score].iloc[0])
         before = state.get[0] if state.exists else None
         label = "new" if before is None else "rising" if now - before > step else "falling" if now - before < -step else "stable"
         state.update((now,))
