@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """The shared folder that the cluster names; one of our own only where none is set."""
+    """The shared folder that the cluster names; one of our own only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or "/tmp/checkpoints")
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -87,9 +87,23 @@ def volatility(framing: DataFrame) -> DataFrame:
     return by.withColumn("score", logistic(F.col("frames"), MIDPOINTS["narrative_volatility"]))
 
 
-def components(**parts: DataFrame) -> DataFrame:
-    """Outer union of component tables as one row per country, 0 where a part is missing."""
-    stacked = reduce(DataFrame.unionByName, [p.select("country", F.lit(k).alias("part"), "score") for k, p in parts.items()])
+def event_scores(events: DataFrame) -> DataFrame:
+    """A12, A15 in one grouping: (country, conflict, event_severity)."""
+    weight = lookup(F.col("event_type"), SEVERITY, 1.0)
+    by = events.groupBy(S.country("country").alias("country")).agg(F.sum(F.coalesce("fatalities", F.lit(0))).alias("f"), F.sum(weight).alias("w"), F.count_if(F.col("fatalities") >= 10).alias("high"))
+    return by.select("country", logistic(F.col("w") + F.col("f") * 0.5, MIDPOINTS["conflict"]).alias("conflict"), logistic(F.col("f") + F.col("high") * 10, MIDPOINTS["event_severity"]).alias("event_severity"))
+
+
+def components(*wide: DataFrame, **parts: DataFrame) -> DataFrame:
+    """Outer union of component tables as one row per country, 0 where a part is missing.
+
+    A part has a ``score``; a wide table has several components by name.
+    """
+    rows = [p.select("country", F.lit(k).alias("part"), "score") for k, p in parts.items()]
+    for w in wide:
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("score")) for c in w.columns if c in WEIGHTS]))
+        rows.append(w.select("country", cells.alias("c")).select("country", "c.*"))
+    stacked = reduce(DataFrame.unionByName, rows)
     return stacked.filter("country IS NOT NULL").groupBy("country").pivot("part", list(WEIGHTS)).agg(F.first("score")).fillna(0.0, list(WEIGHTS))
 
 

@@ -55,8 +55,8 @@ def places(nation: DataFrame) -> DataFrame:
 def parts(structured, articles, registry, disputes, mentions, framing, nation) -> DataFrame:
     regional = articles.join(registry.select("source_domain", "region"), "source_domain")
     return I.components(
-        conflict=I.conflict(structured), media_attention=I.attention(regional, AS_OF, HOURS), contradiction=I.contradictions(disputes, gazetteer(nation)),
-        event_severity=I.severity(structured), entity_activity=I.activity(A.entity_spikes(mentions, MENTIONS_AS_OF, limit=None, threshold=0.0), places(nation)), narrative_volatility=I.volatility(framing),
+        I.event_scores(structured), media_attention=I.attention(regional, AS_OF, HOURS), contradiction=I.contradictions(disputes, gazetteer(nation)),
+        entity_activity=I.activity(A.entity_spikes(mentions, MENTIONS_AS_OF, limit=None, threshold=0.0), places(nation)), narrative_volatility=I.volatility(framing),
     )
 
 
