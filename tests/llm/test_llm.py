@@ -366,6 +366,29 @@ def test_conversation_without_an_id_is_kept(spark):
     assert set(got) == {None, 1} and got[None] == (2, "<s>user[INST]hi[/INST]</s>\n<s>assistant[INST]yes[/INST]</s>\n")
 
 
+def test_html_keeps_headings_and_drops_text_of_another_class(spark):
+    body = '<html><body><div class="menu">Menu</div><article><div class="article-header"><h1>Head %d</h1></div><p>Own text %d.</p><div class="box"><p>Same words</p></div><p>%s</p></article><footer>F</footer></body></html>'
+    rows = [(i, f"http://k.example/{i}", body % (i, i, "Now and then" if i % 2 else f"Other {i}")) for i in range(8)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(table).collect()}
+    # "Same words" is on all pages, so of the class of its box: template.  "Now and then" is on half of them, a class
+    # that no element of its own encloses: it stays
+    assert all(got[i] == f"Head {i}\nOwn text {i}.\n" + ("Now and then" if i % 2 else f"Other {i}") for i in range(8))
+    keyed = spark.createDataFrame([(i, "k.example", h) for i, _, h in rows], "page_key bigint, host string, html string")
+    by = {(r.path.split("/")[-1], r.mark == 0): r for r in html_extract.equivalence_classes(keyed).filter("mark IS NOT NULL").collect()}
+    assert by["article", True]["class"] == by["div.box", True]["class"] and by["article", True].support == 8
+    rare = [r for r in html_extract.equivalence_classes(keyed).filter("support = 4").collect()]
+    assert len(rare) == 1 and rare[0]["class"] != by["article", True]["class"]
+
+
+def test_html_of_odd_tables(spark):
+    long = "<html><body><article><p>" + "many words here " * 100000 + "</p></article></body></html>"
+    rows = [(None, None, None, "a"), (1, "http://x.example/1", long, "b"), (1, "http://x.example/1", long, "c"), (2, "http://x.example/2", "<div><p>Tie one</p></div><div><p>Tie two</p></div>", "d")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 1599999), (1, 1599999), (2, 15)]
+    assert html_extract.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
 UNNAMED = """<html><body><div class="k1"><p>Start</p><p>Shop</p></div><div class="k2"><p>Seen %d times</p></div><form><div class="widget">
 <h2>Title %d</h2><p>Long varying text number %d of the page.</p><p>More of it, %d.</p><div class="k8">Always here</div></div></form><div class="k3">A fixed notice that is longer than all the varying text of any page of this host, so that length alone would choose it over the article.</div></body></html>"""
 
@@ -499,6 +522,20 @@ def test_gradient_is_the_difference_quotient():
         assert abs(abs((loss(up) - loss(down)) / 2e-5) - np.sqrt(seen[k])) < 1e-4
 
 
+def test_very_long_texts_and_words(spark):
+    words = " ".join(f"w{i % 5000}" for i in range(600_000))  # about 3.5 MB
+    rows = [(1, words, 0), (2, "start " + words, 0), (3, "x" * 150_000, 0), (4, "short text of a few words", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, bucket int")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.repeated_windows(docs).collect()} == {1: 0, 2: 600_000, 3: 0, 4: 0}
+    assert {r.doc_id: r.n_bytes - r.n_removed for r in suffix_dedup.repeated_bytes(docs).filter("doc_id <> 1").collect()} == {2: 5, 3: 150_000, 4: 25}
+    assert {r.doc_id: r.group_size for r in exact_dedup.assign_groups(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    assert {r.doc_id: r.component_id for r in jaccard_join.join_components(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert all(r.round_trip for r in sentencepiece_fst.encode_documents(docs).select("round_trip").collect())
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100, 120)))], "item_id bigint, text string")
+    assert {r.doc_id: r.n_windows for r in decontaminate.overlaps(docs, items).collect()} == {1: 9 * 120, 2: 9 * 120}
+    assert {r.doc_id: r.n_words for r in masked_lm.score(docs).collect()} == {1: 600_000, 2: 600_001, 3: 1, 4: 6}
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 

@@ -19,7 +19,8 @@ at its path.
    container without a telling name is taken below one that has it, and where no container
    holds most, a telling name decides.
 4. *Extraction.*  Each page yields the blocks inside the chosen slot, without those in
-   named junk below the slot and those in containers below it where nothing varies.
+   named junk below the slot (a heading in a box named as a header is not junk there) and
+   those in containers below it where nothing varies.
 
 Text tokens are whole blocks, so fixed words in a block that varies stay.  Hosts of fewer
 than LEAST different pages have no template; their pages fall back as below.
@@ -60,6 +61,7 @@ JUNK_NAME = re.compile(
     r"(?:^|[-_\s.#])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|comments?|respond|replies|disqus|sidebar\w*|menu\w*|nav\w*|breadcrumbs?|header|footer|masthead|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter\w*|subscribe\w*|signup|login|social|share\w*|sharing|related|recommend\w*|widget\w*|pagination|pager|toolbar|copyright|legal)(?:$|[-_\s.#])",
     re.I,
 )
+HEADER_NAME = re.compile(r"(?:^|[-_\s.#])(?:header|masthead)(?:$|[-_\s.#])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 
@@ -145,6 +147,14 @@ def excluded(step: str) -> bool:
     return name not in ("html", "body", *MAIN) and bool(marks) and any(JUNK_NAME.search(m) for m in marks.split("."))
 
 
+def _outside(steps: list[str]) -> bool:
+    """Whether a block below the chosen slot is not of the article: a heading in a box that is only
+    named as a header is the article's own."""
+    if any(x.partition(".")[0] in HEADINGS for x in steps):
+        steps = [x for x in steps if x.partition(".")[0] in DROPPED or not HEADER_NAME.search(x)]
+    return any(map(excluded, steps))
+
+
 def rank(path: str) -> int:
     """How article-like the last step of a path is; -1 inside an excluded slot."""
     steps = path.split("/")
@@ -282,7 +292,7 @@ def main_text(page: str, slot: str, fixed: str = "") -> str:
     same = tuple(fixed.split("\n")) if fixed else ()
     inside = [(p, t) for p, t in found if not slot or p == slot or p.startswith(slot + "/")]
     inside = [(p, t) for p, t in inside if not any(p == c or p.startswith(c + "/") for c in same)]
-    named = [(p, t) for p, t in inside if not any(map(excluded, p[len(slot) :].strip("/").split("/")))]
+    named = [(p, t) for p, t in inside if not _outside(p[len(slot) :].strip("/").split("/"))]
     return "\n".join(t for _, t in named or inside)
 
 
