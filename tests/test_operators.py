@@ -143,3 +143,51 @@ def test_same_result_at_any_partitioning(spark):
     a = A.entity_spikes(rows, "2024-01-30 00:00:00").collect()
     b = A.entity_spikes(rows.repartition(50), "2024-01-30 00:00:00").collect()
     assert a == b
+
+
+def test_a_stopped_stream_goes_on_from_its_folder(spark, tmp_path):
+    from tidewire.operators.merge import merge_upsert
+    from tidewire.streaming import streams as T
+
+    files, state, seen = str(tmp_path / "files"), str(tmp_path / "job"), []
+
+    def step(batch, old):
+        seen.append(batch.count())
+        new = batch.groupBy("k").agg(F.sum("v").alias("v"))
+        return new if old is None else merge_upsert(old, new, ["k"], {"v": "sum"}).drop("_action")
+
+    def run():
+        rows = T.run_batches(T.file_stream(spark, files), "job", step, folder=state)
+        return {r.k: r.v for r in rows.collect()}
+
+    spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long").coalesce(1).write.parquet(files)
+    assert run() == {"a": 1, "b": 2}
+    spark.createDataFrame([("a", 10), ("c", 3)], "k string, v long").coalesce(1).write.mode("append").parquet(files)
+    assert run() == {"a": 11, "b": 2, "c": 3} and seen == [2, 2]
+    assert run() == {"a": 11, "b": 2, "c": 3} and seen == [2, 2]
+
+
+def test_top_k_meets_all_vectors(spark):
+    import numpy as np
+
+    from tidewire.operators.joins import top_k_cosine
+
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(300, 8)).astype(np.float32)
+    m[7] = 0
+    rows = spark.createDataFrame([(i, [float(x) for x in v], i % 3) for i, v in enumerate(m)], "vec_id long, embedding array<float>, label int")
+    unit = m.astype(float) / np.maximum(np.linalg.norm(m.astype(float), axis=1, keepdims=True), 1e-300)
+    for same in (None, "label"):
+        asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
+        got = {(r.query_id, r.rank): r.vec_id for r in top_k_cosine(asked, rows, 5, same, block=16).collect()}
+        for q in range(0, 300, 50):
+            order = sorted((i for i in range(300) if i != q and (same is None or i % 3 == q % 3)), key=lambda i: (-float(unit[i] @ unit[q]), i))
+            assert [got[q, r] for r in range(1, 6)] == order[:5]
+
+
+def test_zones_are_single_linkage(spark):
+    from tidewire.operators.stories import zones
+
+    points = [("a", 89.5, 0.0), ("b", 89.5, 180.0), ("c", 0.0, 179.5), ("d", 0.0, -179.0), ("e", 0.0, -176.5), ("f", 40.0, 10.0)]
+    got = {r.id: r.zone for r in zones(spark.createDataFrame(points, "id string, lat double, lon double")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "c", "f": "f"}
