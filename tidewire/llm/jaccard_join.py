@@ -18,7 +18,7 @@ shingle).  Documents without words link with nothing.
    lists of the n - t + 1 rarest shingles.  The boundary ``x`` is chosen by cost in rows
    exchanged: a subset is one row, a list entry two (itself and its comparison with the list's
    leader; lists are not scanned pair by pair, so their length does not enter).
-5. *Links.*  The sets of a key are first compared with a leader, in three rounds, each set
+5. *Links.*  The sets of a key are first compared with a leader, in five rounds, each set
    with the leader that it shares most keys with; sets found connected need no further comparison.  What is left, pairs
    of one key that lie in different components, is bounded exhaustively, in blocks, by 1024-bit
    parity maps and compared where these allow a link.  All comparisons
@@ -46,7 +46,7 @@ from tidewire.llm.components import components, written
 from tidewire.llm.skew import join_on_key
 from tidewire.llm.words import Words, mix, shingle_sets, slices
 
-SHINGLE, PERCENT, SUBSET, ROUNDS = 5, 80, 2, 3
+SHINGLE, PERCENT, SUBSET, ROUNDS = 5, 80, 2, 5
 #: bits of a set's parity map; pairs of a group are bounded in square blocks of BLOCK sets
 BITS, BLOCK = 1024, 1024
 SECOND = np.uint64(0xA0761D6478BD642F)
