@@ -72,13 +72,15 @@ def without_leading_title(description: Column | str, title: Column | str) -> Col
 
 
 def trimmed(c: Column | str, limit: int) -> Column:
-    """cut at the last sentence end in the limit if it is past the middle, else at the last space."""
+    """a text no longer than the limit as it is, else cut after its last sentence mark (the first
+    kind that has one in the last 40 characters), else at its last space, with an ellipsis."""
     t = col(c)
-    cut = F.substring(t, 1, limit)
-    sentence = F.regexp_extract(cut, r"(?s)^(.*[.!?])(?:\s|$)", 1)
-    word = F.regexp_extract(cut, r"(?s)^(.*)\s", 1)
-    short = F.when(F.length(sentence) * 2 > limit, sentence).otherwise(F.concat(F.when(F.length(word) > 0, word).otherwise(cut), F.lit("...")))
-    return F.when(F.length(t) <= limit, t).otherwise(short)
+    head, short = F.substring(t, 1, limit + 1), F.substring(t, 1, limit - 1)
+    last = lambda mark, part: F.length(part) - F.locate(mark[::-1], F.reverse(part)) - (len(mark) - 1)  # noqa: E731  place before the mark
+    ends = [F.when((F.locate(m[::-1], F.reverse(head)) > 0) & (last(m, head) >= max(120, limit - 40)), F.trim(F.left(t, last(m, head) + 1))) for m in (". ", "! ", "? ", "; ")]
+    space = F.when(F.locate(" ", F.reverse(short)) > 0, last(" ", short)).otherwise(0)
+    word = F.left(t, F.when(space > 0, space).otherwise(limit - 1))
+    return F.when(F.length(t) <= limit, t).otherwise(F.coalesce(*ends, F.concat(F.regexp_replace(word, "[ ,;:]+$", ""), F.lit("\u2026"))))
 
 
 def is_english(c: Column | str) -> Column:

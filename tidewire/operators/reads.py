@@ -116,10 +116,12 @@ def queue_batch(queue: DataFrame, limit: int, order: dict[str, int]) -> DataFram
 
 
 def queue_mix(queue: DataFrame, limit: int, retry_share: float = 0.2) -> DataFrame:
-    """Up to the retry share of the limit from retries, the rest from pending rows."""
-    retry = int(limit * retry_share)
-    top = lambda state, n: newest(queue.filter(F.col("fetch_status") == state), n, F.col("created_at"), F.col("url"))
-    return top("pending", limit - retry).unionByName(top("retry", retry))
+    """Pending rows up to their share of the limit, then retries up to what is left of it, so
+    that a share that pending rows leave unused goes to retries."""
+    pending = newest(queue.filter("fetch_status = 'pending'"), limit - int(limit * retry_share), F.col("created_at"), F.col("url"))
+    retry = newest(queue.filter("fetch_status = 'retry'"), limit, F.col("created_at"), F.col("url"))
+    both = pending.withColumn("_o", F.lit(0)).unionByName(retry.withColumn("_o", F.lit(1)))
+    return newest(both, limit, F.col("_o"), F.col("created_at"), F.col("url")).drop("_o")
 
 
 def next_status(code: Column, attempts: Column, error: Column, topics: Column, most: int = 3) -> Column:

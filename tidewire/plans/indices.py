@@ -100,10 +100,10 @@ def a18(*tables):
     return rounded(I.instability(parts(*tables)), *I.WEIGHTS, "score")
 
 
-@query("P23_country_detail", *ALL, sql=f"{INDEX} SELECT country, round(score, 4) AS score, {LEVEL} AS level FROM scored WHERE country IN ('france', 'europe')")
+@query("P23_country_detail", *ALL, sql=f"{INDEX} SELECT country, round(score, 4) AS score, {LEVEL} AS level FROM scored WHERE country IN ('nation_7', 'europe')")
 def p23(*tables):
     """Country detail by key."""
-    return rounded(I.instability(parts(*tables)).filter(F.col("country").isin("france", "europe")).select("country", "score", "level"), "score")
+    return rounded(I.instability(parts(*tables)).filter(F.col("country").isin("nation_7", "europe")).select("country", "score", "level"), "score")
 
 
 ON = {k: f"{k} >= 20" for k in I.WEIGHTS}

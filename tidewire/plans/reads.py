@@ -131,13 +131,13 @@ def p20(articles, registry):
     return articles.join(registry.select("source_domain", "region"), "source_domain").select("region").distinct()
 
 
-@query("P21_subject_signals", "framing_v", sql="SELECT article_url, dominant_frame, published_at FROM framing_v WHERE subject_key = 'FRANCE' ORDER BY published_at, article_url LIMIT 500")
+@query("P21_subject_signals", "framing_v", sql="SELECT article_url, dominant_frame, published_at FROM framing_v WHERE subject_key = 'NATION_7' ORDER BY published_at, article_url LIMIT 500")
 def p21(framing):
-    rows = framing.filter("subject_key = 'FRANCE'").select("article_url", "dominant_frame", "published_at")
+    rows = framing.filter("subject_key = 'NATION_7'").select("article_url", "dominant_frame", "published_at")
     return R.newest(rows, 500, F.col("published_at"), F.col("article_url"))
 
 
-@query("P22_queue_mix", "customer", sql=f"SELECT * FROM (SELECT url, fetch_status FROM ({QUEUE}) WHERE fetch_status = 'pending' ORDER BY created_at, url LIMIT 80) UNION ALL SELECT * FROM (SELECT url, fetch_status FROM ({QUEUE}) WHERE fetch_status = 'retry' ORDER BY created_at, url LIMIT 20)")
+@query("P22_queue_mix", "customer", sql=f"SELECT * FROM (SELECT url, fetch_status FROM ({QUEUE}) WHERE fetch_status = 'pending' ORDER BY created_at, url LIMIT 80) UNION ALL SELECT * FROM (SELECT url, fetch_status FROM ({QUEUE}) WHERE fetch_status = 'retry' ORDER BY created_at, url LIMIT 100 - least(80, (SELECT count(*) FROM ({QUEUE}) WHERE fetch_status = 'pending')))")
 def p22(customer):
     return R.queue_mix(queue(customer), 100).select("url", "fetch_status")
 

@@ -114,14 +114,23 @@ def page_articles(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", title.alias("title"), about.alias("description"), body.alias("body"))
 
 
-def page_links(pages: DataFrame, least: int = 12, allowed: str | None = None) -> DataFrame:
-    """Links of stored pages with absolute URL and text of at least ``least`` characters."""
+def page_links(pages: DataFrame, least: int = 12, allowed: str | None = None, blocked: str | None = None, keywords: list[str] | None = None) -> DataFrame:
+    """Links of stored pages with absolute URL and text of at least ``least`` characters.
+
+    ``allowed`` and ``blocked`` are patterns of the URL; with ``keywords`` the text must hold one of them.
+    """
     a = F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"), F.lit(1))).alias("a")
     rows = pages.select("page_id", F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]*)", 1).alias("base"), a)
     href = F.regexp_extract("a", r"(?is)href=[\"']([^\"']*)", 1)
     rows = rows.select("page_id", F.when(href.rlike("^https?://"), href).otherwise(F.concat("base", href)).alias("url"), S.fragment("a").alias("text"))
     rows = rows.filter(F.length("text") >= least)
-    return (rows.filter(F.col("url").rlike(allowed)) if allowed else rows).dropDuplicates(["page_id", "url"])
+    if allowed:
+        rows = rows.filter(F.col("url").rlike(allowed))
+    if blocked:
+        rows = rows.filter(~F.col("url").rlike(blocked))
+    if keywords:
+        rows = rows.filter(F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(F.lower("text"), k)))
+    return rows.dropDuplicates(["page_id", "url"])
 
 
 def label_lines(lines: DataFrame, schema: str) -> DataFrame:
