@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import scalars as S
+from tidewire.functions import texts as X
 from tidewire.operators import graph as G
 
 # fixed values: thresholds and factors of the semantic pair score
@@ -208,3 +209,35 @@ def roots(merges: DataFrame) -> DataFrame:
             return step
         step = moved.select("id", F.col("next").alias("root"))
     return step
+
+
+def similar_claim_status(claims: DataFrame, key: list[str]) -> DataFrame:
+    """(key, source_name, published_at, claim_text, claim_group, status) of claims by event.
+
+    The different texts of an event, in order of their first time, each join the first group
+    whose first text is similar (F21), or start one.  The group with most sources (the first
+    of equal ones) dominates: by two sources or more it is corroborated, or vindicated later
+    where its times span 12 hours (6 where it is the only group); else it is unresolved.  All
+    other groups are contradicted.  The greedy pass runs over different texts, not rows.
+    """
+    texts = claims.groupBy(*key, "claim_text").agg(F.min("published_at").alias("first_at")).withColumn("tokens", X.content_tokens("claim_text"))
+    in_order = texts.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("first_at", "claim_text", "tokens"))).alias("t"))
+    both = lambda a, b: F.size(F.array_intersect(a, b))
+    alike = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & ((both(a, b) >= 4) | (both(a, b) >= F.least(F.size(a), F.size(b)) * 0.6))
+    none = F.struct(F.array().cast("array<array<string>>").alias("seeds"), F.array().cast("array<int>").alias("labels"))
+
+    def put(acc: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(acc["seeds"], lambda s: alike(s, x["tokens"])), F.lit(True)).cast("int")
+        fresh = at == 0
+        return F.struct(
+            F.when(fresh, F.concat(acc["seeds"], F.array(x["tokens"]))).otherwise(acc["seeds"]).alias("seeds"),
+            F.concat(acc["labels"], F.array(F.when(fresh, F.size(acc["seeds"]) + 1).otherwise(at))).alias("labels"),
+        )
+
+    labelled = in_order.withColumn("g", F.aggregate("t", none, put)["labels"]).select(*key, F.explode(F.arrays_zip("t", "g")).alias("z")).select(*key, F.col("z.t.claim_text").alias("claim_text"), F.col("z.g").alias("claim_group"))
+    rows = claims.join(labelled, [*key, "claim_text"])
+    by = rows.groupBy(*key, "claim_group").agg(F.countDistinct(F.lower("source_name")).alias("sources"), (F.unix_micros(F.max("published_at")) - F.unix_micros(F.min("published_at"))).alias("span"))
+    top = by.groupBy(*key).agg(F.min_by(F.struct("claim_group", "sources", "span"), F.struct(-F.col("sources"), F.col("claim_group"))).alias("top"), F.count(F.lit(1)).alias("groups"))
+    hours = F.when(F.col("groups") == 1, 6).otherwise(12)
+    won = F.when(F.col("top.sources") < 2, "unresolved").when(F.col("top.span") >= hours * 3_600_000_000, "vindicated_later").otherwise("corroborated")
+    return rows.join(top, key).select(*key, "source_name", "published_at", "claim_text", "claim_group", F.when(F.col("claim_group") == F.col("top.claim_group"), won).otherwise("contradicted").alias("status"))
