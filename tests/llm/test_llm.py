@@ -552,6 +552,56 @@ def test_pipeline_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
+def test_pipeline_equals_brute_force(spark, sf):
+    """Every stage after the classifier again in plain Python, over all documents."""
+    import corpus_pipeline
+
+    sentencepiece = pytest.importorskip("sentencepiece")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = {r.doc_id for r in quality.score(docs, spark.read.parquet(f"{sf}/labels.parquet")).filter(F.col("p_ge_2") >= quality.KEEP_AT).select("doc_id").collect()}
+    left = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect() if r.doc_id in good}
+    groups = defaultdict(list)
+    for d, t in left.items():
+        groups["".join(WORD.findall(t))].append((-len(t), d))
+    left = {d: left[d] for d in (min(g)[1] for g in groups.values())}
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = {}
+    for d, t in left.items():
+        w = WORD.findall(t.translate(low))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    up = {d: d for d in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    left = {d: t for d, t in left.items() if root(d) == d}
+    plain = str.maketrans({chr(c): " " for c in range(33, 127) if not chr(c).isalnum()} | {chr(c): chr(c + 32) for c in range(65, 91)})
+    number: dict = {}
+    words = lambda t: np.array([number.setdefault(w, len(number)) for w in WORD.findall(t.translate(plain))], np.int64)
+    items = [words(r.text or "") for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert min(map(len, items)) >= decontaminate.WINDOW
+
+    def leaks(a):
+        for b in items:
+            equal = a[:, None] == b[None, :]
+            for shift in range(-len(b) + 12, len(a) - 11):
+                run = np.diagonal(equal, -shift)
+                if len(run) >= 12 and np.convolve(run, np.ones(12, int), "valid").max() >= 10:
+                    return True
+        return False
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.MODEL)
+    want = {d: lib.encode(t) for d, t in left.items() if not leaks(words(t))}
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == want and 0 < len(want) < len(good)
+
+
 @pytest.mark.parametrize("name", ["op1_chat_formatting", "op8_exact_dedup"])
 def test_agrees_with_sql(spark, sf, name):
     from oracle import assert_same, connect
