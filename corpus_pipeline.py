@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 the columns of ``documents``.  ``run`` writes each stage's rows as Parquet in the shared
 folder of ``spark.checkpoint.dir`` and reads them again, so a lost executor never costs
 more than one stage.
+
+Rows with a null id are judged by their text in the classifier, in exact deduplication and
+against the benchmark; the similarity join can't name them and keeps them; the encoder gives
+them a null id.  Null texts count as empty.  An empty table passes all stages.
 """
 
 from __future__ import annotations
