@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import news as N
 from tidewire.functions import scalars as S
-from tidewire.operators import reads
-from tidewire.plans.news import count, listed
+from tidewire.plans.news import count
 from tidewire.plans.registry import query, stored
 from tidewire.plans.views import view
 from tidewire.sources import records as R

@@ -61,6 +61,11 @@ def c22(structured, articles):
     return rounded(top.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy())), "share", places=6)
 
 
+QUALITY = """CASE WHEN active THEN 3 ELSE 0 END + CASE WHEN region NOT IN ('global', 'united-states', 'europe') THEN 2 ELSE 0 END + CASE WHEN trust_tier = 'tier_2' THEN 1 ELSE 0 END + CASE WHEN length(t) BETWEEN 24 AND 180 THEN 2 ELSE 0 END + CASE WHEN d <> '' AND d <> t AND length(d) >= 48 THEN 2 ELSE 0 END + 2
+ - CASE WHEN len(list_filter(regexp_split_to_array(t, '[ \\t\\n\\r]+'), lambda x: x <> '')) < 5 THEN 2 ELSE 0 END - CASE WHEN d = t AND length(d) < 80 THEN 2 ELSE 0 END"""
+BATCH = f"b AS (SELECT *, quality >= 7 OR (active AND quality >= 5) OR (region NOT IN ('global', 'united-states', 'europe') AND quality >= 4) OR (language <> 'en' AND quality >= 5) AS promoted FROM (SELECT *, {QUALITY} AS quality FROM (SELECT *, trim(title) AS t, trim(description) AS d FROM articles_v) JOIN registry_v USING (source_domain)))"
+
+
 def scored(articles, registry):
     rows = articles.join(registry.select("source_domain", "active", "region", "trust_tier"), "source_domain", "left")
     q = X.quality_score(F.col("title"), F.col("description"), F.col("published_at"), F.col("language"), F.col("source_domain"), F.coalesce("active", F.lit(False)), F.col("region"), F.col("trust_tier"), F.lit(0))
@@ -68,24 +73,24 @@ def scored(articles, registry):
     return rows.withColumn("promoted", R.promoted(F.col("quality"), F.coalesce("active", F.lit(False)), F.col("region"), S.is_english("language")))
 
 
-@query("C24_promote_reject", "articles_v", "registry_v")
+@query("C24_promote_reject", "articles_v", "registry_v", sql=f"WITH {BATCH} SELECT topic, promoted, count(*) AS n, CAST(min(quality) AS INT) AS low, CAST(max(quality) AS INT) AS high FROM b GROUP BY 1, 2")
 def c24(articles, registry):
     """One scored table; the promoted rows go to K1, the rest to K3."""
     return scored(articles, registry).groupBy("topic", "promoted").agg(F.count(F.lit(1)).alias("n"), F.min("quality").alias("low"), F.max("quality").alias("high"))
 
 
-@query("C25_global_batch", "articles_v", "registry_v")
+@query("C25_global_batch", "articles_v", "registry_v", sql=f"WITH {BATCH} SELECT url, CASE WHEN language <> 'en' OR NOT promoted THEN 'summary' ELSE topic END AS route FROM b")
 def c25(articles, registry):
     route = F.when(~S.is_english("language") | ~F.col("promoted"), "summary").otherwise(F.col("topic"))
     return scored(articles, registry).select("url", route.alias("route"))
 
 
-@query("C27_headlines", "articles_v", "registry_v")
+@query("C27_headlines", "articles_v", "registry_v", sql=f"WITH {BATCH}, n AS (SELECT *, row_number() OVER (PARTITION BY source_domain ORDER BY quality DESC, url) > 2 AS refill FROM b WHERE promoted) SELECT url, title, source, CAST(quality AS INT) AS score FROM n ORDER BY refill, quality DESC, url LIMIT 8")
 def c27(articles, registry):
     return diversified(scored(articles, registry).filter("promoted").withColumn("score", F.col("quality")), 8, best_first=True).select("url", "title", "source", "score")
 
 
-@query("C28_topic_briefing", "articles_v", "mentions_v")
+@query("C28_topic_briefing", "articles_v", "mentions_v", sql="WITH a AS (SELECT topic, title, row_number() OVER (PARTITION BY topic ORDER BY published_at DESC, url) AS n FROM articles_v), m AS (SELECT topic, entity, c, row_number() OVER (PARTITION BY topic ORDER BY c DESC, entity) AS n FROM (SELECT topic, entity, count(*) AS c FROM mentions_v GROUP BY 1, 2)) SELECT topic, concat('* ', title) AS line FROM a WHERE n <= 5 UNION ALL SELECT topic, concat('- ', entity, ' (', c, ')') FROM m WHERE n <= 6")
 def c28(articles, mentions):
     """Headlines of a topic and its most named entities, as lines."""
     top = R.top_per(articles, ["topic"], 5, F.desc("published_at"), F.col("url")).select("topic", F.concat(F.lit("* "), "title").alias("line"))

@@ -82,7 +82,7 @@ def j12(claims):
     return rows.select("event_key", F.col("source_name").alias("left_source"), "right_source").distinct()
 
 
-@query("P12_precise_points", "customer")
+@query("P12_precise_points", "customer", sql="WITH k AS (SELECT c_custkey, trim(regexp_replace(lower(concat(c_name, ', ', c_mktsegment)), '[^a-z0-9]+', ' ', 'g')) AS p, trim(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', ' ', 'g')) AS c, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS a FROM customer) SELECT c_custkey, (a <> c AND p <> '') OR (p <> '' AND p <> c AND a <> c AND a <> '') AS precise FROM k")
 def p12(customer):
     point = R.precise_point(F.concat_ws(", ", "c_name", "c_mktsegment"), F.col("c_mktsegment"), F.col("c_name"))
     return customer.select("c_custkey", point.alias("precise"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import news as N
 from tidewire.functions import scalars as S
-from tidewire.functions import texts as X
 from tidewire.plans.registry import query
 
 TEXT = "lower(concat(title, '. ', coalesce(description, '')))"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewire.functions import scalars as S
 from tidewire.operators import reads as R
 from tidewire.plans.registry import query
 
@@ -110,17 +109,17 @@ def w14(articles):
     return R.newest(articles.filter("topic = 'economics'").select("url", "published_at"), 10, F.col("published_at"), F.col("url"))
 
 
-@query("W15_seeded_sample", "labels")
+@query("W15_seeded_sample", "labels", sql="SELECT doc_id, quality, toxic FROM labels ORDER BY md5(concat(doc_id, '-7')), doc_id LIMIT 50")
 def w15(labels):
     """A sample that any partitioning repeats: the smallest hashes of id and seed."""
-    return R.newest(labels, 50, F.xxhash64("doc_id", F.lit(7)), F.col("doc_id"))
+    return R.newest(labels, 50, F.md5(F.concat_ws("-", "doc_id", F.lit("7"))), F.col("doc_id"))
 
 
-@query("W16_stratified_pairs", "lineitem")
+@query("W16_stratified_pairs", "lineitem", sql="SELECT l_orderkey, l_linenumber, l_discount, band FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY md5(concat(l_orderkey, '-', l_linenumber)), l_orderkey, l_linenumber) AS n FROM (SELECT *, CASE WHEN l_discount < 0.03 THEN 'low' WHEN l_discount < 0.07 THEN 'middle' ELSE 'high' END AS band FROM lineitem)) WHERE n <= CASE band WHEN 'low' THEN 80 WHEN 'middle' THEN 70 ELSE 50 END")
 def w16(lineitem):
     """40, 35 and 25 % of a sample of 200 pairs by bands of their score."""
     band = F.when(F.col("l_discount") < 0.03, "low").when(F.col("l_discount") < 0.07, "middle").otherwise("high")
     rows = lineitem.select("l_orderkey", "l_linenumber", "l_discount", band.alias("band"))
-    w = Window.partitionBy("band").orderBy(F.xxhash64("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
+    w = Window.partitionBy("band").orderBy(F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber")), "l_orderkey", "l_linenumber")
     share = F.when(F.col("band") == "low", 80).when(F.col("band") == "middle", 70).otherwise(50)
     return rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= share).drop("n")
