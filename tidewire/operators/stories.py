@@ -139,3 +139,10 @@ def case_outcome(rows: DataFrame) -> DataFrame:
     invalid, right = F.col("generated") & F.col("reason").isNotNull(), F.col("f1") == 1.0
     passed = F.when(invalid, False).when(F.coalesce(F.col("reason") == "known_architectural_limit", F.lit(False)), ~right).otherwise(right)
     return rows.select("case_id", *[F.round(c, 3).alias(c) for c in ("precision", "recall", "f1")], invalid.alias("invalid"), passed.alias("passed"))
+
+
+def adjudicated(a: Column, b: Column) -> Column:
+    """the source of the better tier of two reports (structs of r, published_at, source), else of the
+    later one where both times are known and differ, else 'unresolved'."""
+    later = lambda x, y: (x["r"] > y["r"]) | ((x["r"] == y["r"]) & F.coalesce(x["published_at"] > y["published_at"], F.lit(False)))
+    return F.when(later(a, b), a["source"]).when(later(b, a), b["source"]).otherwise("unresolved")

@@ -248,8 +248,7 @@ def a48(reports, registry):
     tier = F.when(F.col("trust_tier") == "tier_1", 3).when(F.col("trust_tier") == "tier_2", 2).when(F.col("trust_tier") == "tier_3", 1).otherwise(0)
     rows = reports.join(registry.select(F.col("source_name").alias("source"), tier.alias("r")), "source").select(F.floor(F.col("doc_id") / 2).alias("case_id"), (F.col("doc_id") % 2).alias("side"), F.struct("r", "published_at", "source").alias("m"))
     both = rows.groupBy("case_id").agg(F.max(F.when(F.col("side") == 0, F.col("m"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("m"))).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    order = lambda x: F.struct(F.col(f"{x}.r"), F.col(f"{x}.published_at"))
-    actual = F.when(order("a") > order("b"), F.col("a.source")).when(order("b") > order("a"), F.col("b.source")).otherwise("unresolved")
+    actual = O.adjudicated(F.col("a"), F.col("b"))
     expected = F.when(F.col("case_id") % 3 == 0, "unresolved").otherwise(F.col("b.source"))
     return both.select("case_id", expected.alias("expected"), actual.alias("actual"), (expected == actual).alias("passed"))
 
