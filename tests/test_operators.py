@@ -129,7 +129,26 @@ def test_text_rules(spark):
         S.country(F.lit("The UAE (Gulf)")).alias("c"), S.timestamp(F.lit("20240102T030405Z")).alias("ts"), S.trimmed(F.lit("One sentence here. And another one"), 22).alias("cut"), S.canonical_url(F.lit("HTTPS://A.b/C/?q#f")).alias("u"),
     ).first()
     assert (row.n, row.w, str(row.d), row.bad, row.t, row.f) == (1250.0, 24.0, "2024-03-03", None, "diplomacy", "rebellion")
-    assert row.c == "united arab emirates" and row.ts == datetime(2024, 1, 2, 3, 4, 5) and row.cut == "One sentence here." and row.u == "https://a.b/C"
+    assert row.c == "united arab emirates" and row.ts == datetime(2024, 1, 2, 3, 4, 5) and row.cut == "One sentence here.\u2026" and row.u == "https://a.b/C"
+
+
+def test_summaries_are_cut_as_described(spark):
+    """A plain form of the rule: a sentence mark in the last 40 characters (not before the 120th), else the last space."""
+
+    def cut(text, limit):
+        if len(text) <= limit:
+            return text
+        for mark in (". ", "! ", "? ", "; "):
+            at = text.rfind(mark, 0, limit + 1)
+            if at >= max(120, limit - 40):
+                return text[: at + 1].strip()
+        at = text.rfind(" ", 0, limit - 1)
+        return text[: at if at > 0 else limit - 1].rstrip(" ,;:") + "\u2026"
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["word", "a", ". ", "! ", "; ", ", ", " ", "long" * 9]) for _ in range(rng.randrange(5, 90))) for _ in range(300)] + ["x" * 300, "x" * 200, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", S.trimmed("t", 200).alias("cut")).collect()
+    assert all(r.cut == cut(texts[r.i], 200) for r in rows)
 
 
 def test_importance_grows_with_deaths_and_is_capped(spark):
