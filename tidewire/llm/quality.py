@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.words import BASE, Words, mix, powers, slices
+from tidewire.llm.words import Words, mix, slices
 
 BITS = 20
 SAMPLE = 8_000

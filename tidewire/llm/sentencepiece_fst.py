@@ -44,7 +44,7 @@ from tidewire.llm.words import BASE, BASE_INVERSE, powers, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 OUT = "doc_id bigint, n_pieces bigint, ids array<int>, decoded_sha256 string, round_trip boolean"
-KEPT_PATHS, PAIR_BITS, SLICE = 250_000, 20, 4 << 20
+KEPT_PATHS, KEPT_PAIRS, PAIR_BITS, SLICE = 100_000, 300_000, 20, 2 << 20
 
 
 def vocabulary(model_file: str) -> list[tuple[str, float, str]]:
@@ -120,7 +120,7 @@ class PieceTransducer:
         """Whether the acceptor has the arc from piece a to piece b (compiled when first met)."""
         known = self._adjacent.get(a << 32 | b)
         if known is None:
-            if len(self._adjacent) > 4_000_000:
+            if len(self._adjacent) > KEPT_PAIRS:
                 self._adjacent.clear()
             x, y = self.text[a], self.text[b]
             known = x[-1] + y[0] not in self.crossing or self.merge(x + y) == [x, y]
@@ -319,8 +319,8 @@ class PieceTransducer:
         paths = [new.get(x) or old.get(x) for x in parts]
         missing = [k for k, path in enumerate(paths) if path is None]
         short = [k for k in missing if len(parts[k]) <= 64]
-        for a in range(0, len(short), 40_000):
-            group = short[a : a + 40_000]
+        for a in range(0, len(short), 20_000):
+            group = short[a : a + 20_000]
             for k, path in zip(group, self.shortest_paths([parts[k] for k in group]), strict=True):
                 paths[k] = new[parts[k]] = path
         for k in missing:
