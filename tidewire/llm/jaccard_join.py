@@ -285,7 +285,8 @@ def _across(joined: DataFrame, maps: DataFrame) -> DataFrame:
 
     The sets of a key are dealt to blocks of about BLOCK; a group is one pair of blocks, so no
     task meets more than twice that of a key, however many sets have it.  Keys of one block
-    are grouped many at a time.
+    are grouped many at a time.  Each row carries all keys of its set, so that a pair is given
+    once: by the smallest key that its sets share.
     """
     slots = X.partitions(joined.sparkSession)
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -293,11 +294,15 @@ def _across(joined: DataFrame, maps: DataFrame) -> DataFrame:
     slot = F.when(parts > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(slots)))
     spread = joined.select(slot.alias("slot"), "key", "id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     rows = spread.select("slot", "key", "id", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(maps.select("id", "n", "bits"), "id")
+    rows = rows.join(joined.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")), "id")
 
     def pairs(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
         keys, ids, comp, own, n = (table.column(c).to_numpy() for c in ("key", "id", "component", "own", "n"))
         bits = _maps(table.column("bits"))
+        lists = table.column("keys").combine_chunks()
+        at_key, all_keys = lists.offsets.to_numpy(), lists.values.to_numpy()
+        below = lambda i, k: all_keys[at_key[i] : at_key[i] + np.searchsorted(all_keys[at_key[i] : at_key[i + 1]], k)]
         low, high = key[1].as_py(), key[2].as_py()
         found: list[np.ndarray] = []
         for at, size in zip(*(x.tolist() for x in X.groups(keys)), strict=True):
@@ -308,6 +313,8 @@ def _across(joined: DataFrame, maps: DataFrame) -> DataFrame:
                 j = j[comp[j] != comp[i]]
                 if len(j):
                     j = j[_possible(n[i], bits[i], n[j], bits[j])]
+                    mine = below(i, keys[at])
+                    j = j[[not np.isin(below(x, keys[at]), mine).any() for x in j.tolist()]] if len(mine) else j
                     found.append(np.stack([np.full(len(j), ids[i]), ids[j]], axis=1))
         got = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(got.min(axis=1, initial=1 << 62)), "b": pa.array(got.max(axis=1, initial=-(1 << 62)))})
