@@ -110,7 +110,7 @@ def test_identity_in_order(spark, seed, links):
     """Decisions and merge candidates against the loop; with 4 links most rows share one."""
     import hashlib
 
-    from tidewire.operators.identity import resolve_in_order
+    from tidewire.operators.identity import listed_links, resolve_in_order
 
     rng = random.Random(seed)
     some = lambda pool, least, most: sorted({rng.choice(pool) for _ in range(rng.randint(least, most))})
@@ -120,7 +120,8 @@ def test_identity_in_order(spark, seed, links):
     rows["a"] += [(f"again{i}", rows["a"][i][1]) for i in range(20)]  # equal signatures
     stored = {t: [(f"evt-{t}{i}", draw()) for i in range(8)] for t in ("a", "b")}
     table = lambda data, name: spark.createDataFrame([(t, k, float(i * 3), *f) for t, xs in data.items() for i, (k, f) in enumerate(xs)], f"topic string, {name} string, position double, urls array<string>, ids array<string>, entities array<string>, tokens array<string>").repartition(4)
-    decided, merged = resolve_in_order(table(rows, "observation_key"), table(stored, "event_id"))
+    seen, known = table(rows, "observation_key"), table(stored, "event_id")
+    decided, merged = resolve_in_order(seen, known, listed_links(seen, "observation_key"), listed_links(known, "event_id"))
     got = {r.observation_key: (r.event_id, r.action, r.score, r.confidence, r.ambiguous, r.split_reason, r.split_event_id) for r in decided.collect()}
     want, merges = {}, set()
     for t in rows:
@@ -134,10 +135,11 @@ def test_identity_in_order(spark, seed, links):
 
 
 def test_identity_without_rows(spark):
-    from tidewire.operators.identity import resolve_in_order
+    from tidewire.operators.identity import listed_links, resolve_in_order
 
     schema = "topic string, {} string, position double, urls array<string>, ids array<string>, entities array<string>, tokens array<string>"
     none, lone = spark.createDataFrame([], schema.format("event_id")), spark.createDataFrame([("t", "k", 0.0, None, ["s"], None, ["w"])], schema.format("observation_key"))
-    decided, merged = resolve_in_order(lone, none)
+    links = listed_links(lone, "observation_key"), listed_links(none, "event_id")
+    decided, merged = resolve_in_order(lone, none, *links)
     assert [(r.observation_key, r.action, r.score) for r in decided.collect()] == [("k", "created_new", None)] and merged.count() == 0
-    assert resolve_in_order(lone.limit(0), none)[0].count() == 0
+    assert resolve_in_order(lone.limit(0), none, *links)[0].count() == 0

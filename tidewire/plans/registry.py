@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewire.plans.views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("reads", "joins", "aggregates", "indices", "windows", "sets", "merges", "texts", "clusters", "jobs", "sources", "streams", "more", "news", "stories", "imports", "tables", "narratives", "details")
+MODULES = ("reads", "joins", "aggregates", "indices", "windows", "sets", "merges", "texts", "clusters", "jobs", "sources", "streams", "more", "news", "stories", "imports", "tables", "narratives", "details", "materialized")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

@@ -10,6 +10,7 @@ from tidewire.functions import scalars as S
 from tidewire.functions import texts as X
 from tidewire.operators import cluster as C
 from tidewire.operators import graph as G
+from tidewire.operators import ordered
 from tidewire.operators import stories as O
 from tidewire.operators.merge import merge_upsert
 from tidewire.plans import more
@@ -66,7 +67,7 @@ DAY = 86_400_000_000
 @query("C6_seed_groups", "reports_v", sql=f"WITH {SEEDS.format(gap=DAY // 4, rows='reports_v')} SELECT doc_id, seed FROM h")
 def c6(reports):
     """Groups of a place; a gap of a quarter of a day ends one."""
-    return O.sessions(reports, ["place"], "published_at", "doc_id", 0.25).select("doc_id", "seed")
+    return ordered.sessions(reports, ["place"], "published_at", "doc_id", 0.25).select("doc_id", "seed")
 
 
 @query("C7_hotspot_zones", "structured_v", sql="""WITH RECURSIVE p AS (SELECT DISTINCT floor(latitude) AS lat, floor(longitude) AS lon FROM structured_v WHERE event_type = 'Battles'), d AS (SELECT concat(CAST(lat AS INT) + 1000, ':', CAST(lon AS INT) + 1000) AS id, lat, lon FROM p),
@@ -110,7 +111,7 @@ SCORED = f"SELECT *, {QUALITY} AS quality FROM (SELECT *, trim(title) AS t FROM
 def c16(reports, registry):
     """Reports grouped by place, put into stored events; a stored title (quality 9) gives way only to a better one."""
     rows = quality(reports, registry).withColumn("strength", N.conflict_strength(F.concat_ws(" ", "title", "description")))
-    rows = O.sessions(rows, ["place"], "published_at", "doc_id", 0.25)
+    rows = ordered.sessions(rows, ["place"], "published_at", "doc_id", 0.25)
     common = rows.groupBy("place", "seed", "actor").agg(F.count(F.lit(1)).alias("n")).groupBy("place", "seed").agg(F.min_by("actor", F.struct(-F.col("n"), F.col("actor"))).alias("entity"))
     best = F.struct("quality", "published_at", "title")
     events = rows.groupBy("place", "seed").agg(
