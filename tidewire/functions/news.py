@@ -190,7 +190,11 @@ def snippet(c: Column | str, limit: int = 18) -> Column:
 def countries(c: Column | str) -> Column:
     """canonical countries named in a text, in order, distinct."""
     names = sorted({*COUNTRY_ALIASES, *COUNTRY_ALIASES.values()}, key=lambda n: (-len(n), n))
-    found = F.regexp_extract_all(lower(c), F.lit(r"\b(" + "|".join(map(re.escape, names)) + r")\b"), F.lit(1))
+    return countries_found(F.regexp_extract_all(lower(c), F.lit(r"\b(" + "|".join(map(re.escape, names)) + r")\b"), F.lit(1)))
+
+
+def countries_found(found: Column) -> Column:
+    """F14 from the names that were found in a text, in order."""
     table = F.create_map(*[F.lit(x) for kv in COUNTRY_ALIASES.items() for x in kv])
     return F.array_distinct(F.transform(found, lambda n: F.coalesce(F.try_element_at(table, n), n)))
 
@@ -198,7 +202,16 @@ def countries(c: Column | str) -> Column:
 def topics(c: Column | str, groups: dict[str, list[str]] = TOPIC_KEYWORDS) -> Column:
     """the topic with most keywords and those within one of it that have three or more."""
     t = lower(c)
-    scored = F.array(*[F.struct((-hits(t, v)).alias("n"), F.lit(i).alias("i"), F.lit(k).alias("topic")) for i, (k, v) in enumerate(groups.items())])
+    return _best_topics([(k, hits(t, v)) for k, v in groups.items()])
+
+
+def topics_found(names: Column, groups: dict[str, list[str]] = TOPIC_KEYWORDS) -> Column:
+    """F15 from the keywords that were found in a text."""
+    return _best_topics([(k, F.size(F.array_intersect(names, strings(v)))) for k, v in groups.items()])
+
+
+def _best_topics(counted: list[tuple[str, Column]]) -> Column:
+    scored = F.array(*[F.struct((-n).alias("n"), F.lit(i).alias("i"), F.lit(k).alias("topic")) for i, (k, n) in enumerate(counted)])
     order = F.filter(F.array_sort(scored), lambda e: e["n"] < 0)
     best = F.try_element_at(order, F.lit(1))
     return F.transform(F.filter(order, lambda e: (e["i"] == best["i"]) | ((e["n"] <= best["n"] + 1) & (e["n"] <= -3))), lambda e: e["topic"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import scalars as S
+from tidewire.operators.matching import collected, first_in_list
 
 # fixed values: severity of an event type, weights and midpoints of the components
 SEVERITY = {"Battles": 3.0, "Violence against civilians": 4.0, "Explosions/Remote violence": 3.5, "Protests": 1.0, "Riots": 1.5, "Strategic developments": 2.0}
@@ -60,11 +61,14 @@ def attention(articles: DataFrame, as_of: str, hours: int = 72) -> DataFrame:
 def label_country(records: DataFrame, countries: DataFrame, label: str = "event_label") -> DataFrame:
     """The first gazetteer country that a label contains; ``countries`` has name, position.
 
-    Each different label is compared once by substring with the gazetteer, a fixed small dimension.
+    Each different label is read once by the automaton of all names; labels without any are left out.
     """
-    small = F.broadcast(countries.select(F.lower("name").alias("_name"), F.col("position").alias("_position")))
-    labels = records.select(label).distinct()
-    hit = labels.join(small, F.contains(F.lower(label), F.col("_name"))).groupBy(label).agg(F.min_by("_name", "_position").alias("country"))
+    listed = countries.select(F.lower("name").alias("name"), "position")
+    names = collected(records.sparkSession, listed)
+    if names is None:
+        raise ValueError("a gazetteer must be small enough to be broadcast")
+    first = {r.name: r.position for r in listed.groupBy("name").agg(F.min("position").alias("position")).collect() if r.name in set(names)}
+    hit = first_in_list(records.select(label).distinct(), F.lower(label), first, "country").filter("country IS NOT NULL")
     return records.join(hit, label)
 
 

@@ -17,19 +17,6 @@ def signatures(rows: DataFrame, text: Column) -> DataFrame:
     return rows.withColumns({"keywords": N.keywords(text), "anchors": N.anchors(text), "places": N.countries(text)})
 
 
-def tag_entities(rows: DataFrame, key: str, text: Column, dictionary: DataFrame, longest: int = 3) -> DataFrame:
-    """(key, entity, type), each once, for the names of a dictionary (name, type) in a text.
-
-    Texts meet the dictionary on runs of one to ``longest`` tokens, an equi join.
-    """
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9.]+)"), F.lit(1))
-    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.size("_t") - n + 1, F.lit(1)))
-    of_length = lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice("_t", i, n), " "))
-    runs = F.flatten(F.array(*map(of_length, range(1, longest + 1))))
-    found = rows.select(key, tokens.alias("_t")).select(key, F.explode(F.array_distinct(runs)).alias("entity"))
-    return found.join(dictionary.select(F.col("name").alias("entity"), "type"), "entity").select(key, "entity", "type").distinct()
-
-
 def lexical_score() -> tuple[Column, Column]:
     """Score and relatedness of a pair with entities, keywords, anchors (suffixes _a, _b) and hours apart."""
     both = lambda k: F.size(F.array_intersect(f"{k}_a", f"{k}_b"))

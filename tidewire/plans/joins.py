@@ -8,6 +8,7 @@ from tidewire.functions import scalars as S
 from tidewire.operators import aggregates as A
 from tidewire.operators import indices as I
 from tidewire.operators import joins as J
+from tidewire.operators import vectors as V
 from tidewire.operators import reads as R
 from tidewire.plans.reads import TRANSLATED, translated
 from tidewire.plans.registry import query
@@ -105,6 +106,25 @@ def j17(embeddings):
     return J.top_k_cosine(queries, embeddings, 8).withColumn("score", F.round("score", 5))
 
 
+def indexed(embeddings, k=8):
+    queries = embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = V.build(embeddings)
+    return queries, V.search(index, queries, k, V.probes_for(index, queries, k))
+
+
+@query("J17_indexed_top_k", "embeddings")
+def j17_indexed(embeddings):
+    """The same search through the inverted-file index; a test holds its recall, J17_index_recall measures it."""
+    return indexed(embeddings)[1]
+
+
+@query("J17_index_recall", "embeddings", sql="SELECT count(*) AS queries, CAST(8 * count(*) AS BIGINT) AS wanted, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def j17_recall(embeddings):
+    """Whether the index finds nine tenths of what the exact search finds."""
+    queries, found = indexed(embeddings)
+    return V.recall(J.top_k_cosine(queries, embeddings, 8), found).select("queries", "wanted", (F.col("hits") >= F.col("wanted") * 0.9).alias("reached"))
+
+
 @query("J18_retrieval_cascade", "articles_v", sql="""WITH s AS (SELECT url, 0 AS stage, row_number() OVER (ORDER BY published_at DESC, url) AS rank FROM articles_v WHERE contains(lower(title), 'tion')
  UNION ALL SELECT url, 1, row_number() OVER (ORDER BY published_at DESC, url) FROM articles_v WHERE topic = 'economics' UNION ALL SELECT url, 2, row_number() OVER (ORDER BY published_at DESC, url) FROM articles_v),
  f AS (SELECT url, min(stage) AS stage, arg_min(rank, stage) AS rank FROM s GROUP BY url) SELECT url, stage, CAST(rank AS INT) AS rank FROM f ORDER BY stage, rank, url LIMIT 200""")

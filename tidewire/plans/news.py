@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import news as N
 from tidewire.functions import scalars as S
+from tidewire.operators import matching
 from tidewire.plans.registry import query
 
 TEXT = "lower(concat(title, '. ', coalesce(description, '')))"
@@ -60,7 +61,8 @@ ALIAS = "CASE c " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in N.
  g AS (SELECT doc_id, {ALIAS} AS c, min(i) AS i FROM f GROUP BY 1, 2)
  SELECT doc_id, list(c ORDER BY i) AS countries FROM g GROUP BY doc_id""")
 def f14(reports):
-    return reports.select("doc_id", N.countries(text()).alias("countries")).filter(F.size("countries") > 0)
+    found = matching.with_matches(reports.select("doc_id", N.lower(text()).alias("t")), F.col("t"), NAMES, words=True)
+    return found.select("doc_id", N.countries_found(matching.names_of("matches")).alias("countries")).filter(F.size("countries") > 0)
 
 
 TWO = f"{count('t', N.TOPIC_KEYWORDS['geopolitics'])} AS g, {count('t', N.TOPIC_KEYWORDS['economics'])} AS e"
@@ -77,7 +79,9 @@ def f15(reports, embeddings):
     """One report in eleven has no words here, so that its stored vector decides."""
     rows = reports.join(embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
     words = F.when(F.col("doc_id") % 11 == 10, "").otherwise(F.concat_ws(" ", "title", "description", "source"))
-    return rows.select("doc_id", N.topic_or_nearest(N.topics(words), F.transform("embedding", lambda x: x.cast("double")), CENTROIDS, 0.1).alias("topics"))
+    keywords = [w for v in N.TOPIC_KEYWORDS.values() for w in v]
+    rows = matching.with_matches(rows.select("doc_id", "embedding", N.lower(words).alias("t")), F.col("t"), keywords)
+    return rows.select("doc_id", N.topic_or_nearest(N.topics_found(matching.names_of("matches")), F.transform("embedding", lambda x: x.cast("double")), CENTROIDS, 0.1).alias("topics"))
 
 
 REGISTERED = "CASE trust_tier WHEN 'tier_1' THEN 1.45 WHEN 'tier_2' THEN 1.1 WHEN 'tier_3' THEN 0.45 ELSE 1.0 END * CASE kind WHEN 'official_update' THEN 1.4 WHEN 'article' THEN 1.0 ELSE 1.25 END"
@@ -171,12 +175,11 @@ def j26(reports):
  SELECT doc_id, {ALIAS.replace('CASE c', 'CASE n').replace('ELSE c', 'ELSE n')} AS country FROM (SELECT doc_id, coalesce(CASE WHEN tagged AND gpe IN (SELECT name FROM g) THEN gpe END, name) AS n FROM r LEFT JOIN m USING (doc_id)) WHERE n IS NOT NULL""")
 def j11(reports):
     """The tagged place if it is in the gazetteer, else the longest gazetteer name in the text."""
-    t = N.lower(text())
-    in_text = F.array_sort(F.array_compact(F.array(*[F.when(F.contains(t, F.lit(n)), F.struct(F.lit(-len(n)).alias("n"), F.lit(n).alias("name"))) for n in NAMES])))
+    found = matching.with_matches(reports.select("doc_id", "place", N.lower(text()).alias("t")), F.col("t"), NAMES)
     tagged = F.when((F.col("doc_id") % 3 == 0) & F.lower("place").isin(*NAMES), F.lower("place"))
-    name = F.coalesce(tagged, F.try_element_at(in_text, F.lit(1))["name"])
+    name = F.coalesce(tagged, matching.longest_name("matches"))
     table = F.create_map(*[F.lit(x) for kv in N.COUNTRY_ALIASES.items() for x in kv])
-    return reports.select("doc_id", name.alias("name")).filter("name IS NOT NULL").select("doc_id", F.coalesce(F.try_element_at(table, "name"), "name").alias("country"))
+    return found.select("doc_id", name.alias("name")).filter("name IS NOT NULL").select("doc_id", F.coalesce(F.try_element_at(table, "name"), "name").alias("country"))
 
 
 @query("F35_story_summary", "reports_v", sql="""WITH r AS (SELECT doc_id, place, title, unnest([substr(description, 1, 200), title, regexp_extract(description, '^[^.]*[.]', 0)]) AS s FROM reports_v),

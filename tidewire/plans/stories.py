@@ -10,7 +10,7 @@ from tidewire.functions import scalars as S
 from tidewire.functions import texts as X
 from tidewire.operators import cluster as C
 from tidewire.operators import graph as G
-from tidewire.operators import ordered
+from tidewire.operators import matching, ordered
 from tidewire.operators import stories as O
 from tidewire.operators.merge import merge_upsert
 from tidewire.plans import more
@@ -36,7 +36,7 @@ def c1(reports, embeddings):
 def c8(reports):
     """Names of the places and groups of all reports, in the text of each."""
     names = reports.select(F.lower("place").alias("name"), F.lit("GPE").alias("type")).union(reports.select(F.lower("actor"), F.lit("ORG"))).distinct()
-    return O.tag_entities(reports, "doc_id", F.concat_ws(" ", "title", "actor", "description"), names)
+    return matching.tag_names(reports, "doc_id", F.concat_ws(" ", "title", "actor", "description"), names)
 
 
 def signed(reports):
