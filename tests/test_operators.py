@@ -165,18 +165,16 @@ def test_same_result_at_any_partitioning(spark):
 
 
 def test_a_stopped_stream_goes_on_from_its_folder(spark, tmp_path):
-    from tidewire.operators.merge import merge_upsert
     from tidewire.streaming import streams as T
 
     files, state, seen = str(tmp_path / "files"), str(tmp_path / "job"), []
 
-    def step(batch, old):
+    def step(batch):
         seen.append(batch.count())
-        new = batch.groupBy("k").agg(F.sum("v").alias("v"))
-        return new if old is None else merge_upsert(old, new, ["k"], {"v": "sum"}).drop("_action")
+        return batch.groupBy("k").agg(F.sum("v").alias("v"))
 
     def run():
-        rows = T.run_batches(T.file_stream(spark, files), "job", step, folder=state)
+        rows = T.upsert_stream(T.file_stream(spark, files), "job", step, ["k"], {"v": "sum"}, folder=state)
         return {r.k: r.v for r in rows.collect()}
 
     spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long").coalesce(1).write.parquet(files)

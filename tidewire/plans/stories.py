@@ -328,11 +328,10 @@ def t5(spark, sf_dir):
     for k in (1, 0):
         events.filter(F.col("event_id") % 2 == k).orderBy(F.desc("ts")).coalesce(1).write.mode("append").parquet(parts)
 
-    def step(batch, old):
-        new = batch.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type", "value")).alias("r")).select("user_id", "r")
-        return new if old is None else merge_upsert(old, new, ["user_id"], {"r": "greatest"}).drop("_action")
+    def step(batch):
+        return batch.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type", "value")).alias("r"))
 
-    return T.run_batches(T.file_stream(spark, parts, 1), "t5", step).select("user_id", "r.event_type", "r.value", "r.ts")
+    return T.upsert_stream(T.file_stream(spark, parts, 1), "t5", step, ["user_id"], {"r": "greatest"}).select("user_id", "r.event_type", "r.value", "r.ts")
 
 
 @stored("T9_interval_job", sql="SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -340,8 +339,7 @@ def t9(spark, sf_dir):
     """A job on an interval (one second here), stopped when nothing is left to do."""
     stream = T.file_stream(spark, f"{sf_dir}/events.parquet*")
 
-    def step(batch, old):
-        new = batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-        return new if old is None else merge_upsert(old, new, ["event_type"], {"n": "sum"}).drop("_action")
+    def step(batch):
+        return batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
-    return T.run_batches(stream, "t9", step, every="1 second")
+    return T.upsert_stream(stream, "t9", step, ["event_type"], {"n": "sum"}, every="1 second")
