@@ -10,27 +10,44 @@ from tidewire.operators import joins as J
 from tidewire.operators import reads as R
 from tidewire.plans.joins import WORDS
 from tidewire.plans.registry import query
+from tidewire.plans.views import AS_OF
 
 
-def outcomes(predictions, matches, created: str = "prediction_key"):
-    """Hit by two sources or more, weak by one, else expired."""
-    by = matches.groupBy("prediction_key").agg(F.countDistinct("source").alias("sources"))
-    n = F.coalesce("sources", F.lit(0))
-    return predictions.select("prediction_key").join(by, "prediction_key", "left").select("prediction_key", n.alias("sources"), F.when(n >= 2, "hit").when(n == 1, "weak").otherwise("expired").alias("status"))
-
-
-C19_SQL = f"""WITH p AS (SELECT concat(conv_id, '-', turn) AS prediction_key, TIMESTAMP '2024-01-01 00:00:00' + (conv_id % 25) * INTERVAL 1 DAY AS created_at, list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS subjects FROM conversations WHERE role = 'assistant'),
- a AS (SELECT url, source, published_at, {WORDS} AS words FROM articles_v),
- m AS (SELECT prediction_key, count(DISTINCT source) AS n FROM p JOIN a ON published_at >= created_at AND published_at <= created_at + INTERVAL 4 DAY WHERE len(list_intersect(subjects, words)) >= 2 GROUP BY 1)
- SELECT prediction_key, coalesce(n, 0) AS sources, CASE WHEN n >= 2 THEN 'hit' WHEN n = 1 THEN 'weak' ELSE 'expired' END AS status FROM p LEFT JOIN m USING (prediction_key)"""
+def outcomes(predictions, matches, articles, now, grace: int = 3):
+    """Pending before the horizon; hit by two sources or more, weak by one; where nothing matches, miss if one of
+    the first three subjects is in an article of the search time before now (the subject stayed active), else expired.
 
-
-@query("C19_prediction_outcomes", "conversations", "articles_v", sql=C19_SQL)
-def c19(conversations, articles):
-    start = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("conv_id") % 25).cast("int"))
+    The search goes back from ``now`` as long as the prediction's window and a day, three days at least.
+    """
+    by = matches.groupBy("prediction_key").agg(F.countDistinct("source").alias("sources"))
+    rows = predictions.join(by, "prediction_key", "left").withColumn("sources", F.coalesce("sources", F.lit(0)))
+    hours = F.greatest(F.lit(72), ((F.unix_seconds("horizon_at") + grace * 86400 - F.unix_seconds("created_at")) / 3600 + 24).cast("int"))
+    asked = rows.filter("sources = 0").select("prediction_key", (F.unix_seconds(now) - hours * 3600).alias("since"), F.explode(F.slice("subjects", 1, 3)).alias("word"))
+    # the last time of each word is enough
+    last = articles.filter(F.col("published_at") <= now).select(F.explode("words").alias("word"), F.unix_seconds("published_at").alias("at")).groupBy("word").agg(F.max("at").alias("at"))
+    active = asked.join(last, "word").filter("at >= since").select("prediction_key", F.lit(True).alias("active")).distinct()
+    n = F.col("sources")
+    status = F.when(F.col("horizon_at") > now, "pending").when(n >= 2, "hit").when(n == 1, "weak").when(F.col("active"), "miss").otherwise("expired")
+    return rows.join(active, "prediction_key", "left").select("prediction_key", "sources", status.alias("status"))
+
+
+C19_WORDS = "list_filter(list_transform(regexp_extract_all(lower({0}), '[a-z]{{4,}}'), lambda x, i: CASE WHEN list_position(regexp_extract_all(lower({0}), '[a-z]{{4,}}'), x) = i THEN x END), lambda x: x IS NOT NULL)"
+C19_SQL = f"""WITH p AS (SELECT concat(conv_id, '-', turn) AS prediction_key, TIMESTAMP '2024-01-01 00:00:00' + (conv_id % 30) * INTERVAL 1 DAY AS created_at, {C19_WORDS.format('text')} AS subjects FROM conversations WHERE role = 'assistant'),
+ a AS (SELECT url, source, published_at, {WORDS} AS words FROM reports_v),
+ m AS (SELECT prediction_key, count(DISTINCT source) AS n FROM p JOIN a ON published_at >= created_at AND published_at <= created_at + INTERVAL 4 DAY WHERE len(list_intersect(subjects, words)) >= 2 GROUP BY 1),
+ w AS (SELECT word, max(published_at) AS seen FROM (SELECT unnest(words) AS word, published_at FROM a WHERE published_at <= TIMESTAMP '{AS_OF}') GROUP BY 1),
+ x AS (SELECT DISTINCT prediction_key FROM (SELECT prediction_key, unnest(subjects[:3]) AS word FROM p) JOIN w USING (word) WHERE seen >= TIMESTAMP '{AS_OF}' - INTERVAL 120 HOUR)
+ SELECT prediction_key, coalesce(n, 0) AS sources, CASE WHEN created_at + INTERVAL 1 DAY > TIMESTAMP '{AS_OF}' THEN 'pending' WHEN n >= 2 THEN 'hit' WHEN n = 1 THEN 'weak' WHEN x.prediction_key IS NOT NULL THEN 'miss' ELSE 'expired' END AS status FROM p LEFT JOIN m USING (prediction_key) LEFT JOIN x USING (prediction_key)"""
+
+
+@query("C19_prediction_outcomes", "conversations", "reports_v", sql=C19_SQL)
+def c19(conversations, reports):
+    """Whole assistant texts as predictions of a day, against the titles of reports."""
+    start = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("conv_id") % 30).cast("int"))
     preds = conversations.filter("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("prediction_key"), start.alias("created_at"), S.words("text").alias("subjects"))
     preds = preds.withColumn("horizon_at", F.col("created_at") + F.expr("INTERVAL 1 DAY"))
-    return outcomes(preds, J.windowed_matches(preds, articles.withColumn("words", S.words("title"))))
+    articles = reports.withColumn("words", S.words("title"))
+    return outcomes(preds, J.windowed_matches(preds, articles), articles, F.lit(AS_OF).cast("timestamp"))
 
 
 @query("F36_dominant_region", "articles_v", "registry_v", sql="WITH g AS (SELECT topic, language, region, count(*) AS n FROM articles_v JOIN registry_v USING (source_domain) GROUP BY 1, 2, 3) SELECT topic, language, arg_min(region, (-n, region)) AS region, max(n) AS n FROM g GROUP BY 1, 2")

@@ -48,4 +48,6 @@ def u7(articles):
 @query("U8_clean_urls", "pages", sql="SELECT regexp_extract(url, '://([^/]*)', 1) AS host, list_sort(list_distinct(list(trim(url)))) AS urls FROM pages WHERE regexp_matches(trim(url), '^https?://') GROUP BY 1")
 def u8(pages):
     host = F.regexp_extract("url", "://([^/]*)", 1).alias("host")
-    return pages.groupBy(host).agg(F.collect_list("url").alias("all")).select("host", F.sort_array(S.clean_urls("all")).alias("urls")).filter("size(urls) > 0")
+    # each URL goes through the shuffle once; the list of a host is the result itself
+    clean = pages.select(host, F.trim("url").alias("url")).filter(F.col("url").rlike("^https?://")).distinct()
+    return clean.groupBy("host").agg(F.sort_array(F.collect_list("url")).alias("urls"))

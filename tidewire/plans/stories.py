@@ -208,12 +208,12 @@ def p24(reports):
     return capped.groupBy("topic", "place").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "url"))), lambda e: e["url"]).alias("urls"))
 
 
-@query("C26_foresight", "conversations", "articles_v", "reports_v", sql=f"""WITH f AS (SELECT place, topic, min(published_at) AS seen, min(CASE WHEN CAST(substr(source, 4) AS INT) % 4 = 0 THEN published_at END) AS major FROM reports_v GROUP BY 1, 2)
+@query("C26_foresight", "conversations", "reports_v", sql=f"""WITH f AS (SELECT place, topic, min(published_at) AS seen, min(CASE WHEN CAST(substr(source, 4) AS INT) % 4 = 0 THEN published_at END) AS major FROM reports_v GROUP BY 1, 2)
  SELECT concat('early:', topic, ':', place) AS key, CASE WHEN major IS NULL THEN 'waiting' WHEN epoch(major - seen) / 3600.0 >= 4 THEN 'early' ELSE 'late' END AS status, 1 AS n FROM f
  UNION ALL SELECT 'prediction', status, CAST(count(*) AS INT) FROM ({{C19}}) GROUP BY status""".replace("{C19}", more.C19_SQL))
-def c26(conversations, articles, reports):
+def c26(conversations, reports):
     """The ledger's outcomes by status, and the lead of each story's first report over the first major source (four hours or more)."""
-    ledger = more.c19(conversations, articles).groupBy("status").agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit("prediction").alias("key"), "status", "n")
+    ledger = more.c19(conversations, reports).groupBy("status").agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit("prediction").alias("key"), "status", "n")
     major = F.substring("source", 4, 9).cast("int") % 4 == 0
     first = reports.groupBy("place", "topic").agg(F.min("published_at").alias("seen"), F.min(F.when(major, F.col("published_at"))).alias("major"))
     lead = (F.unix_micros("major") - F.unix_micros("seen")) / 3_600_000_000
