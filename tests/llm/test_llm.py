@@ -124,6 +124,30 @@ def test_jaccard_join(docs, texts, none):
     assert jaccard_join.join_components(none).count() == 0
 
 
+def test_jaccard_join_by_the_last_step_alone(docs, texts, none, monkeypatch):
+    """Without rounds of leaders, and with fewer carried keys than sets share."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "FIRST", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    test_jaccard_join(docs, texts, none)
+
+
+def test_long_texts_in_the_last_step(spark, monkeypatch):
+    """Two groups of texts of 10^5 words that no leader round settles; a row of the last step stays small."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}w{i}" for i in range(100_000)]
+        for k in range(3):
+            near = list(base)
+            near[k * 5000 : k * 5000 + 400] = [f"d{g}{k}x{i}" for i in range(400)]
+            rows.append((g * 10 + k, " ".join(near)))
+        rows.append((g * 10 + 5, " ".join(base[:60_000] + [f"o{g}w{i}" for i in range(40_000)])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join_components(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 5: 5, 10: 10, 11: 10, 12: 10, 15: 15}
+
+
 def test_jaccard_join_of_null_and_repeated_ids(spark):
     line = " ".join(f"w{i}" for i in range(30))
     rows = spark.createDataFrame([(None, line, 1), (4, line, 1), (4, line, 2), (9, line.upper(), 3), (5, None, 4), (6, "", 5), (7, "a b", 6)], "doc_id bigint, text string, component int")

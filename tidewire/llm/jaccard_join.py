@@ -49,6 +49,8 @@ from tidewire.llm.words import Words, mix, shingle_sets, slices
 SHINGLE, PERCENT, SUBSET, ROUNDS = 5, 80, 2, 5
 #: bits of a set's parity map; pairs of a group are bounded in square blocks of BLOCK sets
 BITS, BLOCK = 1024, 1024
+#: a set's row carries so many of its smallest keys, to give a pair once
+FIRST = 32
 SECOND = np.uint64(0xA0761D6478BD642F)
 
 
@@ -285,8 +287,9 @@ def _across(joined: DataFrame, maps: DataFrame) -> DataFrame:
 
     The sets of a key are dealt to blocks of about BLOCK; a group is one pair of blocks, so no
     task meets more than twice that of a key, however many sets have it.  Keys of one block
-    are grouped many at a time.  Each row carries all keys of its set, so that a pair is given
-    once: by the smallest key that its sets share.
+    are grouped many at a time.  Each row carries the FIRST smallest keys of its set, whatever
+    the length of the text.  A pair is always given by the smallest key that its sets share, and not
+    by a key for which these carried keys show a smaller shared one; few pairs are given twice.
     """
     slots = X.partitions(joined.sparkSession)
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -294,7 +297,7 @@ def _across(joined: DataFrame, maps: DataFrame) -> DataFrame:
     slot = F.when(parts > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(slots)))
     spread = joined.select(slot.alias("slot"), "key", "id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     rows = spread.select("slot", "key", "id", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(maps.select("id", "n", "bits"), "id")
-    rows = rows.join(joined.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")), "id")
+    rows = rows.join(joined.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("keys")), "id")
 
     def pairs(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
