@@ -102,16 +102,33 @@ def meta(html: Column, name: str) -> Column:
     return S.fragment(F.regexp_extract(html, rf"(?is)<meta[^>]+(?:name|property)=[\"']{name}[\"'][^>]+content=[\"']([^\"']*)", 1))
 
 
-def page_articles(pages: DataFrame) -> DataFrame:
-    """Title, description and body of stored pages: JSON-LD, then meta, then the page's own."""
+def linked_data(html: Column) -> Column:
+    """The first JSON-LD object of a page, alone or in a list, whose type is an article or a report; null for none."""
+    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
+    each = F.flatten(F.transform(scripts, lambda s: F.when(F.startswith(F.trim(s), F.lit("[")), F.coalesce(F.from_json(s, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(s))))
+    return F.try_element_at(F.filter(each, lambda c: F.lower(F.get_json_object(c, "$['@type']")).rlike("article|report")), F.lit(1))
+
+
+def page_articles(pages: DataFrame, paragraphs: int | None = None) -> DataFrame:
+    """Stored pages as articles: JSON-LD of an article or report, then meta, then the page's own.
+
+    The body has all paragraphs of the page (or the first ``paragraphs``); the description falls back to
+    its first 400 characters, the source to the host.
+    """
     h = F.coalesce("html", F.lit(""))
-    ld = F.regexp_extract(h, r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>", 1)
-    title = F.coalesce(F.get_json_object(ld, "$.headline"), F.nullif(meta(h, "og:title"), F.lit("")), F.nullif(meta(h, "twitter:title"), F.lit("")), S.fragment(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    filled = lambda *cs: F.coalesce(*[F.nullif(S.fragment(c), F.lit("")) for c in cs])
+    ld = lambda path: F.get_json_object("_ld", path)
+    title = filled(ld("$.headline"), meta(h, "og:title"), meta(h, "twitter:title"), F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1))
     plain = F.regexp_replace(h, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    paragraphs = F.transform(F.slice(F.regexp_extract_all(plain, F.lit(r"(?is)<p[^>]*>(.*?)(?=</?p[ >]|</article|$)"), F.lit(1)), 1, 12), S.fragment)
-    body = F.array_join(F.filter(paragraphs, lambda p: p != ""), "\n")
-    about = F.coalesce(F.get_json_object(ld, "$.description"), F.nullif(meta(h, "og:description"), F.lit("")), F.nullif(meta(h, "description"), F.lit("")), F.substring(body, 1, 400))
-    return pages.select("page_id", "url", title.alias("title"), about.alias("description"), body.alias("body"))
+    found = F.regexp_extract_all(plain, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</?p[ >]|</article|$)"), F.lit(1))
+    told = F.filter(F.transform(found if paragraphs is None else F.slice(found, 1, paragraphs), S.fragment), lambda p: p != "")
+    rows = pages.withColumns({"_ld": linked_data(h), "_body": F.array_join(told, "\n")})
+    about = filled(ld("$.description"), meta(h, "og:description"), meta(h, "description"), F.substring("_body", 1, 400))
+    language = F.nullif(F.split_part(meta(h, "og:locale"), F.lit("_"), F.lit(1)), F.lit(""))
+    return rows.select(
+        "page_id", "url", title.alias("title"), about.alias("description"), F.col("_body").alias("body"), filled(ld("$.datePublished"), meta(h, "article:published_time")).alias("published_at"),
+        F.coalesce(filled(ld("$.publisher.name"), meta(h, "og:site_name")), S.domain("url")).alias("source"), S.domain("url").alias("source_domain"), language.alias("language"),
+    )
 
 
 def page_links(pages: DataFrame, least: int = 12, allowed: str | None = None, blocked: str | None = None, keywords: list[str] | None = None) -> DataFrame:
