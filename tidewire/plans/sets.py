@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewire.functions import scalars as S
 from tidewire.operators import reads as R
 from tidewire.plans.registry import query
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 AS_OF = "2024-01-31 00:00:00"
 
-ARTICLES = """SELECT concat('https://',source,'.example/',CAST(doc_id AS STRING)) url, substr(text,1,80) title, substr(text,81,240) description, source, concat(source,'.example') source_domain, lang language, CAST('2024-01-01' AS TIMESTAMP) + CAST((doc_id*37)%43200 AS INT) * INTERVAL '1' MINUTE published_at, CASE WHEN doc_id%2=0 THEN 'geopolitics' ELSE 'economics' END topic FROM documents"""
+ARTICLES = """SELECT concat('https://',source,'.example/',CAST(doc_id AS STRING)) url, substr(text,1,80) title, substr(text,81) description, source, concat(source,'.example') source_domain, lang language, CAST('2024-01-01' AS TIMESTAMP) + CAST((doc_id*37)%43200 AS INT) * INTERVAL '1' MINUTE published_at, CASE WHEN doc_id%2=0 THEN 'geopolitics' ELSE 'economics' END topic FROM documents"""
 STRUCTURED = """SELECT e.event_id, CASE WHEN e.event_id%3=0 THEN 'acled' ELSE 'gdelt_gkg' END dataset, CAST(e.ts AS DATE) event_date, n.n_name country, CAST((e.user_id%25)*5-60 AS DOUBLE) + CAST(e.event_id%100 AS DOUBLE)/10 latitude, CAST((e.user_id%25)*12-150 AS DOUBLE) + CAST(e.event_id%70 AS DOUBLE)/10 longitude, CASE e.event_type WHEN 'error' THEN 'Battles' WHEN 'purchase' THEN 'Violence against civilians' WHEN 'click' THEN 'Protests' WHEN 'view' THEN 'Riots' ELSE 'Strategic developments' END event_type, CAST(floor(e.value) AS INT)%12 fatalities, concat('actor',CAST(e.user_id%9 AS STRING)) actor_primary, e.ts FROM events e JOIN nation n ON n.n_nationkey = e.user_id%25"""
 MENTIONS = """SELECT concat('E',CAST(event_id%40 AS STRING)) entity, CASE WHEN event_id%4=0 THEN 'GPE' ELSE 'ORG' END entity_type, CASE WHEN user_id%2=0 THEN 'geopolitics' ELSE 'economics' END topic, concat('u',CAST(user_id AS STRING),'-',CAST(CAST(ts AS DATE) AS STRING)) article_url, ts mentioned_at FROM events"""
 #: one row per source: tier, type and region by the number of the source
