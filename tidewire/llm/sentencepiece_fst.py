@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.words import BASE, BASE_INVERSE, powers, slices
+from tidewire.llm.words import BASE, BASE_INVERSE, powers, release_memory, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -405,5 +405,6 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
                 same = [x == text[a:b] for x, a, b in zip(decoded, off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 col = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([own, pa.array(np.diff(at)), col, pa.array([hashlib.sha256(x).hexdigest() for x in decoded]), pa.array(same)], names=["doc_id", "n_pieces", "ids", "decoded_sha256", "round_trip"])
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, OUT)

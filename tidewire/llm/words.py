@@ -9,6 +9,7 @@ polynomial modulo a power of two is only weak on long inputs.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,6 +32,13 @@ NO_ID = -(1 << 63)
 _powers: dict[int, np.ndarray] = {}
 
 
+def release_memory() -> None:
+    """Hands freed memory back to the system: Python workers outlive their tasks, and what they hold counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """``base**0 .. base**(n-1)`` modulo 2**64, kept and grown between calls."""
     have = _powers.get(base)
