@@ -261,13 +261,49 @@ def test_decontamination(spark):
     assert got == want and want
 
 
+def overlaps_by_force(docs, items):
+    """Windows that agree, for each document and item, counted over all places of both."""
+    words = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    want = {}
+    for d, t in docs:
+        a = words(t)
+        for i, u in items:
+            b = words(u)
+            size = min(12, len(b))
+            least = size - (2 if size == 12 else size // 6)
+            hits = [(p, e) for p in range(len(a) - size + 1) for q in range(len(b) - size + 1) for e in [sum(x == y for x, y in zip(a[p : p + size], b[q : q + size]))] if e >= least] if b else []
+            if hits:
+                want[d, i] = (len(hits), min(p for p, _ in hits), max(p for p, _ in hits) + size, max(e for _, e in hits))
+    return want
+
+
+def test_decontamination_gives_every_item_of_a_shared_window(spark):
+    rng = random.Random(14)
+    shared = [f"s{k}" for k in range(15)]
+    items = [(i, " ".join([f"a{i}x{k}" for k in range(rng.randrange(6))] + shared[rng.randrange(3) :] + [f"b{i}x{k}" for k in range(rng.randrange(6))])) for i in range(12)]
+    items += [(20, " ".join(shared + ["mid"] + shared)), (21, "the"), (22, "the"), (23, "of the"), (24, "one two three four five six"), (25, "one two three four five six")]
+    docs = [(i, " ".join(["the"] * rng.randrange(40) + shared[: rng.randrange(16)] + [f"d{i}", "of", "the", "one", "two", "zz", "four", "five", "six"] + shared[rng.randrange(4) :])) for i in range(30)]
+    docs += [(100, "the " * 3_000), (101, "nothing of it")]
+    rows, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = overlaps_by_force(docs, items)
+    for threshold in ("10MB", "-1"):  # seeds sent to all tasks, and shuffled
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            got = {(r.doc_id, r.item_id): (r.n_windows, r.first_word, r.last_word, r.most_equal) for r in decontaminate.overlaps(rows, bench).collect()}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert got == want and len({i for _, i in want}) == len(items)
+    dirty = {d for d, _ in want}
+    assert {r.doc_id for r in decontaminate.remove_contaminated(rows, bench).collect()} == {d for d, _ in docs} - dirty
+
+
 def test_decontamination_of_odd_rows(spark):
     item = " ".join(f"k{i}" for i in range(20))
     items = spark.createDataFrame([(None, item, 1), (3, "one two three", 1), (4, "", 1), (5, None, 1), (6, item, 1), (7, "a b c d e f g", 1)], "item_id bigint, text string, bucket int")
     docs = [(None, "x " + item, 1), (None, "clean words", 2), (1, "one, TWO three!", 3), (1, "nothing", 4), (2, "a b c X e f g", 5), (2, "a b X X e f g", 6), (8, "one two", 7), (9, ("pad " * 40000) + item, 8)]
     rows = spark.createDataFrame(docs, "doc_id bigint, text string, item_id int")
     got = {(r.doc_id, r.item_id): (r.n_windows, r.most_equal) for r in decontaminate.overlaps(rows, items).collect()}
-    assert got == {(None, None): (9, 12), (1, 3): (1, 3), (2, 7): (1, 6), (9, None): (9, 12)}
+    assert got == {(None, None): (9, 12), (None, 6): (9, 12), (1, 3): (1, 3), (2, 7): (1, 6), (9, None): (9, 12), (9, 6): (9, 12)}
     assert decontaminate.overlaps(rows, items, shortest=4).filter("doc_id = 1").count() == 0
     assert sorted(r.item_id for r in decontaminate.remove_contaminated(rows, items).collect()) == [2, 4, 6, 7]
     assert decontaminate.overlaps(rows.limit(0), items).count() == 0 and decontaminate.overlaps(rows, items.limit(0)).count() == 0

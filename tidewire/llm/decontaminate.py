@@ -11,16 +11,19 @@ given) are not searched.
    way to substitute two of twelve words leaves one of the masks untouched at some offset (a
    test tries all), so no overlap is missed.  Items of 6 to 11 words have two seeds, their
    halves, of which one substitution leaves one; shorter items are their own seed.  Spark
-   tasks make the seeds of the benchmark, each with the windows of the item that hold it;
-   equal windows of several items stand once, for the smallest item.
+   tasks make the seeds of the benchmark, each with the windows that hold it; equal windows of
+   several items stand once, and which items have a window is a table of its own.
 2. *Join.*  Seeds of the documents that a bitmap of the benchmark's seeds lets pass (at most
    2**MOST_BITS bits, broadcast; where it is full more pass, none is lost) are joined with the
-   benchmark's on the seed, each with the words around it.
+   benchmark's on the seed, each with the words around it.  Spark sends the benchmark's to all
+   tasks below its own broadcast threshold and splits frequent seeds (a one-word item, say) as
+   skewed partitions beyond it.
 3. *Verification.*  Each pair is compared word by word (64-bit hashes of words); windows
    found by several seeds count once.
+4. *Items.*  The windows of a document, counted, are joined with the items that have them.
 
-A result row is a document and an item; a window that several items have counts for the
-smallest.  Null or empty texts and items overlap with nothing.  A null item id is an item like
+A result row is a document and an item; a window that several items have counts for each, and
+one that an item has twice counts twice.  Null or empty texts and items overlap with nothing.  A null item id is an item like
 any other and sorts first; rows with a null document id give one row with a null id.
 Repeated rows count as one.  Extra columns are ignored.
 """
@@ -81,7 +84,10 @@ def _around(h: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, b
 
 
 def item_seeds(benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """(seed, kind, shift, window, item_id, first): seeds of all items, each with the windows that hold it."""
+    """(seed, kind, shift, window, item_id, first): seeds of all items, each with the windows that hold it.
+
+    A window has a row for each seed, shift and place in an item.
+    """
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raw, off in slices(batches, "item_id"):
@@ -107,8 +113,7 @@ def item_seeds(benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
                     cols = [g[at[ok]].view(np.int64), np.full(n, kind, np.int32), np.full(n, shift, np.int32), pa.array([x.tobytes() for x in window[ok]], pa.binary()), ids[own[ok]], at[ok] - w.at[own[ok]] - before + shift]
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=["seed", "kind", "shift", "window", "item_id", "first"])
 
-    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(seeds, SEEDS)
-    return rows.groupBy("seed", "kind", "shift", "window").agg(F.min(F.struct("item_id", "first")).alias("m")).select("seed", "kind", "shift", "window", "m.item_id", "m.first")
+    return benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(seeds, SEEDS).distinct()
 
 
 def _bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
@@ -122,10 +127,11 @@ def _bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
     return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool), bits
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """(doc_id, item_id, n_windows, first_word, last_word, most_equal) of each overlapping document and item."""
+def window_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, window, n, first_word, last_word, most_equal): the windows of ``items``, the rows of
+    :func:`item_seeds`, that each document has, at how many places."""
     sc = docs.sparkSession.sparkContext
-    seeds = written(item_seeds(benchmark, shortest))
+    seeds = written(items.select("seed", "kind", "shift", "window").distinct())
     kinds = {r.kind: r.n for r in seeds.groupBy("kind").agg(F.max(F.octet_length("window") / 8).cast("int").alias("n")).collect()}  # at most 20 kinds
     wanted = sorted({k for n in kinds.values() for k in kind_of(n) if k[0] in kinds})
     known = sc.broadcast(_bitmap(seeds) if wanted else (np.zeros(1 << 12, bool), 12))
@@ -161,13 +167,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) ->
             good = np.flatnonzero(equal >= least)
             kept = batch.take(pa.array(good))
             start = kept.column("at").to_numpy() + shift[good]
-            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), kept.column("item_id"), pa.array(start), kept.column("first"), pa.array(lengths[good] // 8), pa.array(equal[good])], names=["doc_id", "item_id", "start", "first", "size", "equal"])
+            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), kept.column("window"), pa.array(start), pa.array(equal[good])], names=["doc_id", "window", "start", "equal"])
 
     hits = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(search, HITS)
-    pairs = hits.join(seeds.drop("kind"), "seed").select("doc_id", "item_id", "at", "around", "shift", "window", "first")
-    found = pairs.mapInArrow(verify, "doc_id bigint, item_id bigint, start bigint, first bigint, size bigint, equal int")
-    once = found.groupBy("doc_id", "item_id", "start", "first", "size").agg(F.max("equal").alias("equal"))
-    out = once.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.min("start").alias("first_word"), F.max(F.col("start") + F.col("size")).alias("last_word"), F.max("equal").alias("most_equal"))
+    pairs = hits.join(seeds.drop("kind"), "seed").select("doc_id", "at", "around", "shift", "window")
+    found = pairs.mapInArrow(verify, "doc_id bigint, window binary, start bigint, equal int")
+    once = found.groupBy("doc_id", "window", "start").agg(F.max("equal").alias("equal"))
+    last = F.col("start") + F.octet_length("window") / 8
+    return once.groupBy("doc_id", "window").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_word"), F.max(last.cast("bigint")).alias("last_word"), F.max("equal").alias("most_equal"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """(doc_id, item_id, n_windows, first_word, last_word, most_equal) of each overlapping document and item."""
+    items = written(item_seeds(benchmark, shortest))
+    owners = items.select("window", "item_id", "first").distinct().groupBy("window", "item_id").agg(F.count(F.lit(1)).alias("times"))
+    out = window_hits(docs, items).join(owners, "window").groupBy("doc_id", "item_id").agg(
+        F.sum(F.col("n") * F.col("times")).alias("n_windows"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.max("most_equal").alias("most_equal")
+    )
     return out.withColumns({c: F.nullif(c, F.lit(NO_ID)) for c in ("doc_id", "item_id")})
 
 
@@ -179,5 +195,6 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = S
     move only where it is too large for Spark to broadcast.
     """
     key = lambda: F.xxhash64("doc_id", "text")
-    leaks = written(overlaps(docs.select(key().alias("doc_id"), "text"), benchmark, shortest).select(F.col("doc_id").alias("_key")).distinct())
+    hits = window_hits(docs.select(key().alias("doc_id"), "text"), written(item_seeds(benchmark, shortest)))
+    leaks = written(hits.select(F.col("doc_id").alias("_key")).distinct())
     return docs.withColumn("_key", key()).join(leaks, "_key", "left_anti").select(*docs.columns)
