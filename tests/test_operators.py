@@ -208,3 +208,21 @@ def test_zones_are_single_linkage(spark):
     points = [("a", 89.5, 0.0), ("b", 89.5, 180.0), ("c", 0.0, 179.5), ("d", 0.0, -179.0), ("e", 0.0, -176.5), ("f", 40.0, 10.0)]
     got = {r.id: r.zone for r in zones(spark.createDataFrame(points, "id string, lat double, lon double")).collect()}
     assert got == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "c", "f": "f"}
+
+
+def test_merge_roots_over_gaps_and_repeats(spark):
+    import duckdb
+
+    from tidewire.plans import clusters
+
+    ids = [1, 2, 2, 3, 5, 9, 10, 11, 11, None, 40]
+    customer = spark.createDataFrame([(i,) for i in ids], "c_custkey bigint")
+    got = {(r.id, r.root) for r in clusters.c18(customer).collect()}
+    assert got == {(2, 1), (3, 1), (10, 9), (11, 9)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE customer (c_custkey BIGINT)")
+    con.executemany("INSERT INTO customer VALUES (?)", [[i] for i in ids])
+    from tidewire.plans import registry
+
+    assert set(con.execute(registry.oracle_sql()["C18_merge_roots"]).fetchall()) == got
+    assert clusters.c18(customer.limit(0)).count() == 0
