@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.words import GRAM_BASE, LOWER, NO_ID, SPACE, Words, mix, slices
+from tidewire.llm.words import GRAM_BASE, LOWER, NO_ID, SPACE, Words, handing_back, mix, slices
 from tidewire.operators.graph import written
 
 WINDOW, ALLOWED, SHORTEST = 12, 2, 1
@@ -89,6 +89,7 @@ def item_seeds(benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     A window has a row for each seed, shift and place in an item.
     """
 
+    @handing_back
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raw, off in slices(batches, "item_id"):
             w = Words(PLAIN[raw], off)
@@ -136,6 +137,7 @@ def window_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     wanted = sorted({k for n in kinds.values() for k in kind_of(n) if k[0] in kinds})
     known = sc.broadcast(_bitmap(seeds) if wanted else (np.zeros(1 << 12, bool), 12))
 
+    @handing_back
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, bits = known.value
         for ids, raw, off in slices(batches):
@@ -151,6 +153,7 @@ def window_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
                     words = _around(h, at, w.at[own], w.at[own + 1], before, around)
                     yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(ids[own]), pa.array(at - w.at[own] - before), pa.array([x.tobytes() for x in words], pa.binary())], names=["seed", "doc_id", "at", "around"])
 
+    @handing_back
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             around, window = (batch.column(c).to_pylist() for c in ("around", "window"))

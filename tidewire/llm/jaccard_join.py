@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from tidewire.llm import exchange as X
 from tidewire.llm.components import components, written
 from tidewire.llm.skew import join_on_key
-from tidewire.llm.words import Words, mix, shingle_sets, slices
+from tidewire.llm.words import Words, handing_back, mix, shingle_sets, slices
 
 SHINGLE, PERCENT, SUBSET, ROUNDS = 5, 80, 2, 5
 #: bits of a set's parity map; pairs of a group are bounded in square blocks of BLOCK sets
@@ -76,6 +76,7 @@ def _owner(prints: list[bytes]) -> np.ndarray:
 def set_sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, n, fp, owner) for each row: size and fingerprint of its set."""
 
+    @handing_back
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raw, off in slices(batches):
             _, _, n, prints = _sets(ids, raw, off)
@@ -85,6 +86,7 @@ def set_sizes(docs: DataFrame) -> DataFrame:
 
 
 def _prefix_facts(n_buckets: int):
+    @handing_back
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raw, off in slices(batches):
             g, at, n, prints = _sets(ids, raw, off)
@@ -121,6 +123,7 @@ def candidate_sets(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     least = F.floor(partner - F.floor((partner * PERCENT + 99) / 100)) + 1
     chosen = classes.join(shared, "owner").filter(F.col("shared") >= least).select(F.col("id").alias("doc_id"), "fp")
 
+    @handing_back
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             want = np.array(batch.column("fp").to_pylist(), object)
@@ -149,6 +152,7 @@ def _gram_counts(n: int):
     return count
 
 
+@handing_back
 def _total_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Total count of each shared shingle, for each block that has it."""
     block, counts, keys = [], [], []
@@ -214,6 +218,7 @@ def boundary(prefix: DataFrame) -> int:
 def keys(prefix: DataFrame, x: int) -> DataFrame:
     """(key, id, n): subset keys of light sets, list keys of heavy sets and of those near the boundary."""
 
+    @handing_back
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part in range(0, len(frame), 500):
@@ -238,6 +243,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).join(sets.select(F.col("id").alias("a"), F.col("grams").alias("left")), "a")
     rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("right")), "b").select("a", "b", "right")
 
+    @handing_back
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -273,6 +279,7 @@ def _plausible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     """Pairs (a, b) that their parity maps don't rule out."""
     rows = pairs.join(maps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a").join(maps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
 
+    @handing_back
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

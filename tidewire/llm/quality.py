@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.words import Words, mix, slices
+from tidewire.llm.words import Words, handing_back, mix, slices
 
 BITS = 20
 SAMPLE = 8_000
@@ -95,6 +95,7 @@ def _distinct(feature: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _sample_features(docs: DataFrame) -> pd.DataFrame:
+    @handing_back
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raw, off in slices(batches):
             f, r = _distinct(*features(raw, off))
@@ -208,6 +209,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """Per row: doc_id, score, tail probabilities and expected grade."""
     scorer = _model(docs, labels, sample)
 
+    @handing_back
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = scorer()
         for batch in batches:
@@ -225,6 +227,7 @@ def select_good(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, sa
     """The rows of ``docs`` that the classifier keeps, with their columns; rows are judged where they are read."""
     scorer = _model(docs, labels, sample)
 
+    @handing_back
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = scorer()
         for batch in batches:

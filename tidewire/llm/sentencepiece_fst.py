@@ -39,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.words import BASE, BASE_INVERSE, powers, release_memory, slices
+from tidewire.llm.words import BASE, BASE_INVERSE, handing_back, powers, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 OUT = "doc_id bigint, n_pieces bigint, ids array<int>, decoded_sha256 string, round_trip boolean"
-KEPT_PATHS, KEPT_PAIRS, PAIR_BITS, SLICE = 100_000, 300_000, 20, 2 << 20
+KEPT_PATHS, KEPT_PAIRS, PAIR_BITS, SLICE = 100_000, 300_000, 20, 1 << 19
 
 
 def vocabulary(model_file: str) -> list[tuple[str, float, str]]:
@@ -385,6 +385,7 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     """Per row: doc_id, ids, their number, digest of the decoded text, exact round trip."""
     pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(model_file))  # one model file: tens of thousands of pieces
 
+    @handing_back
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = _compiled.get(model_file) or _compiled.setdefault(model_file, PieceTransducer(pieces.value))
         mark = SPACE.encode()
@@ -405,6 +406,5 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
                 same = [x == text[a:b] for x, a, b in zip(decoded, off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 col = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([own, pa.array(np.diff(at)), col, pa.array([hashlib.sha256(x).hexdigest() for x in decoded]), pa.array(same)], names=["doc_id", "n_pieces", "ids", "decoded_sha256", "round_trip"])
-        release_memory()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, OUT)

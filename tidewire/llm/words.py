@@ -10,7 +10,8 @@ polynomial modulo a power of two is only weak on long inputs.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,19 @@ def release_memory() -> None:
         trim(0)
 
 
+def handing_back(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task over batches that hands freed memory back at its end."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """``base**0 .. base**(n-1)`` modulo 2**64, kept and grown between calls."""
     have = _powers.get(base)
