@@ -72,9 +72,12 @@ def route_topics(rows: DataFrame, known: list[str], forced: list[str] | None = N
     return rows.withColumn("topic", F.explode(pick)).drop("topics")
 
 
-def export_events(lines: DataFrame) -> DataFrame:
+def export_events(lines: DataFrame, all_placed: bool = False) -> DataFrame:
     """Tab-separated export lines (id, day, root, quad class, country, place, latitude,
-    longitude, actor, mentions) as structured events; the first line of an id wins."""
+    longitude, actor, mentions) as structured events; the first line of an id wins.
+
+    A point at 0, 0 stands for no place and is dropped, unless ``all_placed`` says that every line has a place.
+    """
     f = F.split("line", "\t")
     at = lambda k: F.trim(F.try_element_at(f, F.lit(k + 1)))
     rows = lines.select(
@@ -83,7 +86,7 @@ def export_events(lines: DataFrame) -> DataFrame:
     )
     from tidewire.operators.indices import lookup
 
-    rows = rows.filter((F.col("quad").isin(3, 4) | F.col("root").try_cast("int").between(13, 20)) & F.col("event_date").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & ~((F.col("latitude") == 0) & (F.col("longitude") == 0)))
+    rows = rows.filter((F.col("quad").isin(3, 4) | F.col("root").try_cast("int").between(13, 20)) & F.col("event_date").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & (F.lit(all_placed) | ~((F.col("latitude") == 0) & (F.col("longitude") == 0))))
     kind = lookup(F.col("root"), ROOT_TYPES, "Strategic developments")
     summary = F.substring(F.concat_ws(" ", F.coalesce(F.nullif("actor_primary", F.lit("")), F.lit("Unknown actor")), F.lit("-"), kind, F.lit("in"), F.col("location")), 1, 220)
     rows = rows.withColumn("event_type", kind).withColumn("summary", summary)
