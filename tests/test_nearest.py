@@ -35,3 +35,22 @@ def test_structured_links(spark):
     # a block of equal events costs a link for each rule at most, not one for each pair
     many = spark.range(300).select(F.col("id").alias("event_id"), *[F.lit(x).alias(c) for c, x in (("country", "A"), ("event_type", "T"), ("event_date", day), ("sub_event_type", "s"), ("admin1", "a"), ("admin2", ""), ("location", "l"))], F.array(F.lit("p")).alias("actors"), F.array(F.lit("p")).alias("actor_tokens"))
     assert C.structured_links(many, [F.col("event_date")]).count() < 300 * len(C.structured_rules(3.0))
+
+
+def test_lexical_links(spark):
+    rng = random.Random(5)
+    start = datetime.datetime(2024, 1, 1)
+    words = ["strike", "port", "talks", "vote", "market", "aid", "border", "court"]
+    schema = "id bigint, actor string, topic string, published_at timestamp, entities array<string>, keywords array<string>, anchors array<string>"
+    data = [
+        (i, rng.choice("XY"), "t", start + datetime.timedelta(minutes=rng.randrange(14 * 1440)), rng.choice([["e1"], ["e1", "e2"], [], ["e3"]]), sorted(rng.sample(words, rng.randrange(1, 3))), rng.choice([[], ["strike"], ["ceasefire"], ["aid"], ["vote"]]))
+        for i in range(220)
+    ]
+    rows = spark.createDataFrame(data, schema).withColumn("newest", -F.unix_micros("published_at"))
+    pairs = O.lexical_pairs(rows, ["actor", "topic"], 3.0).filter("related").select("a", "b")
+    links = O.lexical_links(rows, ["actor", "topic"], 3.0)
+    assert both(links, rows, "id", ["newest"]) == both(pairs, rows, "id", ["newest"])
+    assert links.join(pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")), (F.greatest("a", "b") == F.col("x")) & (F.least("a", "b") == F.col("y")), "left_anti").isEmpty()
+    # of alike reports each is linked with the one before alone
+    alike = spark.range(300).select("id", F.lit("X").alias("actor"), F.lit("t").alias("topic"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60).alias("published_at"), F.array(F.lit("e1")).alias("entities"), F.array(F.lit("port")).alias("keywords"), F.array(F.lit("strike")).alias("anchors"))
+    assert O.lexical_links(alike, ["actor", "topic"], 3.0).count() == 299
